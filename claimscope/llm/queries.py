@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import packing, simhash
+from claimscope.llm import packing, quality, simhash
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,14 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+    "op3_compression_quality": op3_compression_quality,
 }
 
 ORACLES: dict[str, str] = {}
