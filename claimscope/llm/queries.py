@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import packing, quality, simhash, toxicity
+from claimscope.llm import ctw, packing, quality, simhash, toxicity
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_compression_quality": op3_compression_quality,
+    "op5_context_tree_scoring": op5_context_tree_scoring,
     "op6_compression_toxicity": op6_compression_toxicity,
 }
 
