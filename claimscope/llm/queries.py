@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import ctw, packing, quality, simhash, toxicity
+from claimscope.llm import ctw, extraction, packing, quality, simhash, toxicity
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,17 @@ def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_compression_quality": op3_compression_quality,
     "op5_context_tree_scoring": op5_context_tree_scoring,
     "op6_compression_toxicity": op6_compression_toxicity,
+    "op9_tag_path_extraction": op9_tag_path_extraction,
 }
 
 ORACLES: dict[str, str] = {}
