@@ -28,6 +28,7 @@ from claimscope.llm.common import row_blocks
 #: Of the best container's score; half the weight of a path goes to its neighbours in page order.
 LEAST_SHARE, NEIGHBOURS = 0.2, 0.25
 MOST_LINKED = 0.6
+DEEPEST = 128
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -153,7 +154,9 @@ def blocks(page: str) -> list[Block]:
         flush()
         name, bad = _attributes(m["attrs"]) if m["attrs"] else ("", False)
         bad = tag not in ("html", "body") and (bad and tag not in _MAIN or tag in _NEVER or tag == "header" and not within)
-        stack.append((tag, f"{stack[-1][1] if stack else ''}/{tag}{name}", bad))
+        above = stack[-1][1] if stack else ""
+        # deeper elements share the path of the last named one: paths stay short on runaway nesting
+        stack.append((tag, f"{above}/{tag}{name}" if len(stack) < DEEPEST else above, bad))
         never += bad
         within += tag in _MAIN
     close(0)

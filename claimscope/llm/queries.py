@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import ctw, extraction, packing, quality, simhash, toxicity
+from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, toxicity
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op3_compression_quality": op3_compression_quality,
     "op5_context_tree_scoring": op5_context_tree_scoring,
     "op6_compression_toxicity": op6_compression_toxicity,
+    "op7_bm25_decontamination": op7_bm25_decontamination,
     "op9_tag_path_extraction": op9_tag_path_extraction,
 }
 
