@@ -18,7 +18,6 @@ occur. An empty table, or one without training texts, gives rows scored by the u
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +35,67 @@ DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: Most grams, and most words, of a model shard.
 SHARD_GRAMS, SHARD_WORDS = 4_000_000, 8_000_000
-BLOCK_BYTES = 16 << 20
-_END = "\n"
+BLOCK_BYTES = 3 << 20
+#: Stands for the end token among the words' hashes.
+_END = -1
 _BITS = range(8)
 
 MODEL = "shard int, depth int, key long, a float, b float"
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+class Stream:
+    """The texts of a block as one array: lower-cased words with a space between, a newline after each text.
+
+    ``text``: each byte's text; ``words``, ``word_text``: the words' 64-bit hashes and their texts.
+    """
+
+    def __init__(self, texts: list[str]):
+        # 0xFF is in no UTF-8 text: it marks the ends until white space has been folded
+        x = np.frombuffer(b"".join([t.encode("utf-8", "replace").lower() + b"\xff" for t in texts]), dtype=np.uint8)
+        blank = (x == 32) | ((x >= 9) & (x <= 13))
+        end = x == 255
+        after = np.concatenate([[True], (blank | end)[:-1]])  # stands after white space or an end
+        kept = ~blank | ~after
+        x, end = np.where(blank, 32, x)[kept].astype(np.uint8), end[kept]
+        kept = ~((x == 32) & np.concatenate([end[1:], [True]]))  # white space before an end
+        x, end = x[kept], end[kept]
+        self.bytes = np.where(end, 10, x).astype(np.uint8)
+        self.text = np.cumsum(end) - end
+        starts = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]) if len(texts) else np.empty(0, np.int64)
+        self.place = np.arange(len(x)) - starts[self.text]
+        parting = end | (x == 32)
+        first = np.flatnonzero(~parting & np.concatenate([[True], parting[:-1]]))
+        self.word_text = self.text[first]
+        if len(first):
+            run = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) if first[0] == 0 else None
+            if run is None:
+                run = np.arange(len(x))
+                run[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(x))))
+            mixed = np.where(parting, np.uint64(0), (x.astype(np.uint64) + np.uint64(1)) * _weights(int(run.max()) + 1)[run])
+            self.words = np.add.reduceat(mixed, first).view(np.int64)
+        else:
+            self.words = np.empty(0, np.int64)
+
+    def grams(self) -> np.ndarray:
+        """For each byte: the bytes before it in its text (newlines before its start), nearest first in the highest place, then the byte."""
+        x, out = self.bytes.astype(np.int64), self.bytes.astype(np.int64)
+        for back in range(1, DEPTH + 1):
+            before = np.concatenate([np.full(min(back, len(x)), 10), x[: max(0, len(x) - back)]])
+            out |= np.where(self.place < back, 10, before) << (8 * (DEPTH + 1 - back))
+        return out
 
 
-def stream(words: list[bytes]) -> bytes:
-    return b" ".join(words) + b"\n"
+@lru_cache(maxsize=4)
+def _odd_numbers(n: int) -> np.ndarray:
+    x = (np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
 
 
-def grams(data: bytes) -> np.ndarray:
-    """For each byte: the bytes before it, nearest first in the highest place, then the byte."""
-    x = np.frombuffer(b"\n" * DEPTH + data, dtype=np.uint8).astype(np.int64)
-    n, out = len(data), np.zeros(len(data), dtype=np.int64)
-    for back in range(1, DEPTH + 1):
-        out |= x[DEPTH - back : DEPTH - back + n] << (8 * (DEPTH + 1 - back))
-    return out | x[DEPTH:]
+def _weights(n: int) -> np.ndarray:
+    """Odd 64-bit factors by place in a word; the multilinear hash of words is the sum of (byte + 1) times its factor."""
+    return _odd_numbers(1 << max(8, (n - 1).bit_length()))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -158,9 +195,11 @@ def byte_log10(gram: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray,
 class Table:
     """Values by 64-bit keys, found through a hash slot first, by bisection where slots clash."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, slots: bool = True):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
+        if not slots:
+            return
         self.bits = max(4, int(2 * len(keys)).bit_length() + 1)
         self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
         self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
@@ -168,6 +207,13 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
+    def get_sorted(self, keys: np.ndarray) -> np.ndarray:
+        """The values of ascending keys; NaN where a key is absent."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values; NaN where a key is absent."""
         out = np.full(len(keys), np.nan)
@@ -184,11 +230,6 @@ class Table:
         return out
 
 
-def _word_hash(word: bytes) -> int:
-    x = xxhash.xxh3_64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _read(folder: str, shard: int) -> pa.Table | None:
     files, path = opened(f"{folder}/shard={shard}")
     if files.get_file_info(path).type.name == "NotFound":
@@ -201,7 +242,7 @@ def _gram_shard(folder: str, shard: int) -> tuple[Table, dict]:
     t = _read(folder, shard)
     empty = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
     if t is None:
-        return Table(empty[0], empty[1]), dict.fromkeys(range(2, DEPTH + 1), empty)
+        return Table(empty[0], empty[1], slots=False), dict.fromkeys(range(2, DEPTH + 1), empty)
     depth, key, a, b = (t.column(c).to_numpy() for c in ("depth", "key", "a", "b"))
     levels = {}
     for d in range(2, DEPTH + 1):
@@ -209,7 +250,7 @@ def _gram_shard(folder: str, shard: int) -> tuple[Table, dict]:
         own = own[np.argsort(key[own])]
         levels[d] = key[own], a[own], b[own]
     whole = depth == DEPTH + 1
-    return Table(key[whole], a[whole]), levels
+    return Table(key[whole], a[whole], slots=False), levels
 
 
 @lru_cache(maxsize=1)
@@ -229,37 +270,22 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def gathered(training: DataFrame) -> DataFrame:
-    """(kind, key, n) of all training texts, summed per task: grams of the streams (0), words by hash (1)."""
+    """(kind, key, n) of all training texts, summed per task: grams of the streams (0), words by hash, ends among them (1)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        words: Counter = Counter()
-
-        def word_rows() -> pa.RecordBatch:
-            keys, n = np.array([_word_hash(w) for w in words], dtype=np.int64), np.array(list(words.values()), dtype=np.int64)
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
-
+        parts: tuple[list, list] = ([], [])
         for block in row_blocks(batches, BLOCK_BYTES):
-            own = []
-            for text in block.column(0).to_pylist():
-                w = tokens(text)
-                words.update(w)
-                words[_END.encode()] += 1
-                own.append(grams(stream(w)))
-            keys, n = np.unique(np.concatenate(own), return_counts=True)
-            parts.append((keys, n))
-            if len(parts) > 1 and sum(len(k) for k, _ in parts) > 4 * len(parts[0][0]):
-                parts = [_merged(parts)]
-            if len(words) > 1_500_000:  # summed by Spark later; only this task's memory is bounded
-                yield word_rows()
-        if words:
-            yield word_rows()
-        if parts:
-            keys, n = _merged(parts)
+            read = Stream(block.column(0).to_pylist())
+            ends = np.full(block.num_rows, _END)
+            for own, keys in zip(parts, (read.grams(), np.concatenate([read.words, ends])), strict=True):
+                own.append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in own[1:]) > max(1 << 20, 2 * len(own[0][0])):
+                    own[:] = [_merged(own)]
+        for kind, own in enumerate(parts):
+            keys, n = _merged(own) if own else (np.empty(0, np.int64),) * 2
             for at in range(0, len(keys), 1 << 17):
                 k = keys[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(k), pa.array(n[at : at + (1 << 17)])], ["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[at : at + (1 << 17)])], ["kind", "key", "n"])
 
     return training.select("text").mapInArrow(scan, "kind int, key long, n long")
 
@@ -320,46 +346,38 @@ def score(docs: DataFrame) -> DataFrame:
     floor = math.log10(model.total + model.distinct + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, float] = {}
-
-        def counts(new: list[bytes]) -> None:
-            keys = np.array([_word_hash(w) for w in new], dtype=np.int64)
-            found = np.zeros(len(new))
-            for k in range(shards):
-                own = np.flatnonzero(keys % shards == k)
-                found[own] = np.nan_to_num(_word_shard(words_at, k).get(keys[own]))
-            memo.update(zip(new, found.tolist(), strict=True))
-
         for block in row_blocks(batches, BLOCK_BYTES):
-            tokened = [[*tokens(t), _END.encode()] for t in block.column(2).to_pylist()]
-            if len(memo) > 600_000:
-                memo.clear()
-            new = list({w for ws in tokened for w in ws}.difference(memo))
-            if new:
-                counts(new)
-            found = [np.array(list(map(memo.__getitem__, ws))) for ws in tokened]
-            base = [float(np.log10(c + 1).sum()) - len(c) * floor for c in found]
-            own = [grams(stream(ws[:-1])) for ws in tokened]
-            gram, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
-            value = np.empty(len(gram))
-            shard = pairs[gram >> (8 * (DEPTH - 1))] if shards > 1 else None
+            texts = block.num_rows
+            read = Stream(block.column(2).to_pylist())
+            words = np.concatenate([read.words, np.full(texts, _END)])
+            owner = np.concatenate([read.word_text, np.arange(texts)])
+            found = np.zeros(len(words))
+            for k in range(shards):
+                own = slice(None) if shards == 1 else np.flatnonzero(words % shards == k)
+                found[own] = np.nan_to_num(_word_shard(words_at, k).get(words[own]))
+            tokens, known = np.bincount(owner, minlength=texts), np.bincount(owner, found > 0, texts)
+            base = np.bincount(owner, np.log10(found + 1), texts) - tokens * floor
+            # sorted by gram, then text: each distinct gram is looked up once, in the order of the table
+            both = np.sort(read.grams().view(np.uint64) << np.uint64(16) | read.text.astype(np.uint64))
+            gram = (both >> np.uint64(16)).view(np.int64)
+            fresh = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            distinct, value = gram[fresh], np.empty(len(fresh))
+            shard = pairs[distinct >> (8 * (DEPTH - 1))] if shards > 1 else None
             for k in range(shards):
-                at = slice(None) if shard is None else np.flatnonzero(shard == k)
+                at = np.arange(len(distinct)) if shard is None else np.flatnonzero(shard == k)
                 table, levels = _gram_shard(grams_at, k)
-                v = table.get(gram[at])
+                v = table.get_sorted(distinct[at])
                 lost = np.flatnonzero(np.isnan(v))
                 for low in range(0, len(lost), 1 << 16):
                     part = lost[low : low + (1 << 16)]
-                    v[part] = byte_log10(gram[at][part], levels, upper)
+                    v[part] = byte_log10(distinct[at][part], levels, upper)
                 value[at] = v
-            scores = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
+            owner = (both & np.uint64(0xFFFF)).astype(np.int64)
+            scores = np.bincount(owner, np.repeat(value, np.diff(np.append(fresh, len(gram)))), texts)
             yield pa.RecordBatch.from_arrays(
-                [
-                    block.column(0), block.column(1), pa.array([len(c) for c in found], pa.int64()),
-                    pa.array([int((c > 0).sum()) for c in found], pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(ends - np.concatenate([[0], ends[:-1]]), pa.int64()),
-                ],
+                [block.column(0), block.column(1), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array(np.bincount(read.text, minlength=texts))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
-            )
+            )
 
     out = _texts(docs).mapInArrow(scan, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
