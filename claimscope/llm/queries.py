@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, toxicity
+from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, toxicity, warc
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_compression_quality": op3_compression_quality,
+    "op4_warc_round_trip": op4_warc_round_trip,
     "op5_context_tree_scoring": op5_context_tree_scoring,
     "op6_compression_toxicity": op6_compression_toxicity,
     "op7_bm25_decontamination": op7_bm25_decontamination,
