@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, toxicity, warc
+from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, token_files, toxicity, warc
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op9_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_feistel_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.materialised(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op6_compression_toxicity": op6_compression_toxicity,
     "op7_bm25_decontamination": op7_bm25_decontamination,
     "op9_tag_path_extraction": op9_tag_path_extraction,
+    "op10_feistel_token_files": op10_feistel_token_files,
 }
 
 ORACLES: dict[str, str] = {}
