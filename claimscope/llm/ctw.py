@@ -35,7 +35,7 @@ DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: Most grams, and most words, of a model shard.
 SHARD_GRAMS, SHARD_WORDS = 4_000_000, 8_000_000
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Stands for the end token among the words' hashes.
 _END = -1
 _BITS = range(8)
@@ -139,19 +139,24 @@ def _weighted(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: tupl
     return both, np.exp(own - math.log(2) - both)
 
 
+def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Of the Krichevsky-Trofimov estimate; keeps estimates near 0 and 1 apart from them in few bits."""
+    return np.log((ones + 0.5) / (zeros + 0.5))
+
+
 def subtree(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per depth from ``DEPTH`` down to 2: keys, probability of a one, weight, log weighted probability."""
+    """Per depth from ``DEPTH`` down to 2: keys, log odds of a one, weight, log weighted probability."""
     out, below = [], None
     for depth in range(DEPTH, 1, -1):
         keys, zeros, ones = _nodes(gram, n, depth)
         value, weight = _weighted(keys, zeros, ones, below)
-        out.append((keys, (ones + 0.5) / (zeros + ones + 1), weight, value))
+        out.append((keys, _log_odds(zeros, ones), weight, value))
         below = keys, value
     return out
 
 
 class Upper:
-    """The nodes of contexts of one byte and of none, as dense tables of (probability of a one, weight)."""
+    """The nodes of contexts of one byte and of none, as dense tables of (log odds of a one, weight)."""
 
     def __init__(self, rows: list[tuple[int, float, float, float]]):
         """rows: key, zeros, ones, sum of the children's values, of contexts of one byte."""
@@ -161,12 +166,12 @@ class Upper:
         keys, zeros, ones, children = (np.array(x) for x in zip(*sorted(rows), strict=True))
         own = _log_kt(zeros, ones)
         value = np.logaddexp(own, children) - math.log(2)
-        self.tables[1][keys] = np.stack([(ones + 0.5) / (zeros + ones + 1), np.exp(own - math.log(2) - value)], 1)
+        self.tables[1][keys] = np.stack([_log_odds(zeros, ones), np.exp(own - math.log(2) - value)], 1)
         top, at = np.unique(keys & 255, return_inverse=True)
         zeros, ones = np.bincount(at, zeros), np.bincount(at, ones)
         own, children = _log_kt(zeros, ones), np.bincount(at, value)
         both = np.logaddexp(own, children) - math.log(2)
-        self.tables[0][top] = np.stack([(ones + 0.5) / (zeros + ones + 1), np.exp(own - math.log(2) - both)], 1)
+        self.tables[0][top] = np.stack([_log_odds(zeros, ones), np.exp(own - math.log(2) - both)], 1)
 
 
 def byte_log10(gram: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], upper: Upper) -> np.ndarray:
@@ -174,7 +179,8 @@ def byte_log10(gram: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray,
     byte, total = gram & 255, np.zeros(len(gram))
     for j in _BITS:
         place = (1 << j) | (byte >> (8 - j))
-        q = np.full(len(gram), np.nan)
+        q = np.full(len(gram), np.nan)  # of the byte's own decision
+        sign = 1 - 2.0 * ((byte >> (7 - j)) & 1)
         for depth in range(DEPTH, -1, -1):
             key = (gram >> (8 * (DEPTH + 1 - depth))) << 8 | place
             if depth < 2:
@@ -185,78 +191,51 @@ def byte_log10(gram: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray,
                     continue
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 there = keys[at] == key
-                p, w = np.where(there, ps[at], np.nan), ws[at]
+                p, w = np.where(there, ps[at], np.nan).astype(float), ws[at].astype(float)
+            p = 1 / (1 + np.exp(sign * p))
             q = np.where(np.isnan(p), q, np.where(np.isnan(q), p, w * p + (1 - w) * q))
-        q = np.where(np.isnan(q), 0.5, q)
-        total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, q, 1 - q))
+        total += np.log10(np.where(np.isnan(q), 0.5, q))
     return total
 
 
 class Table:
-    """Values by 64-bit keys, found through a hash slot first, by bisection where slots clash."""
+    """Values by 64-bit keys, looked up in ascending order."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, slots: bool = True):
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        if not slots:
-            return
-        self.bits = max(4, int(2 * len(keys)).bit_length() + 1)
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
+        self.keys, self.values = keys[order], [v[order] for v in values]
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
-
-    def get_sorted(self, keys: np.ndarray) -> np.ndarray:
-        """The values of ascending keys; NaN where a key is absent."""
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The first values of ascending keys; NaN where a key is absent."""
         if not len(self.keys):
             return np.full(len(keys), np.nan)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+        return np.where(self.keys[at] == keys, self.values[0][at], np.nan)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values; NaN where a key is absent."""
-        out = np.full(len(keys), np.nan)
-        if not len(self.keys):
-            return out
-        at = self.slots[self._slot(keys)]
-        hit = (at >= 0) & (self.keys[at] == keys)
-        out[hit] = self.values[at[hit]]
-        rest = np.flatnonzero(~hit & (at >= 0))
-        if len(rest):
-            at = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
-            there = self.keys[at] == keys[rest]
-            out[rest[there]] = self.values[at[there]]
-        return out
 
-
-def _read(folder: str, shard: int) -> pa.Table | None:
-    files, path = opened(f"{folder}/shard={shard}")
+def _read(folder: str, columns: dict[str, type]) -> Table:
+    """A stored table below ``folder`` by its key column; empty if no task had rows for it."""
+    files, path = opened(folder)
     if files.get_file_info(path).type.name == "NotFound":
-        return None
-    return ds.dataset(path, filesystem=files, format="parquet", partitioning=None).to_table()
+        return Table(*(np.empty(0, kind) for kind in columns.values()))
+    found = ds.dataset(path, filesystem=files, format="parquet", partitioning=None).to_table(columns=list(columns))
+    out = Table(*(found.column(c).to_numpy().astype(kind) for c, kind in columns.items()))
+    del found
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 @lru_cache(maxsize=1)
 def _gram_shard(folder: str, shard: int) -> tuple[Table, dict]:
-    t = _read(folder, shard)
-    empty = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
-    if t is None:
-        return Table(empty[0], empty[1], slots=False), dict.fromkeys(range(2, DEPTH + 1), empty)
-    depth, key, a, b = (t.column(c).to_numpy() for c in ("depth", "key", "a", "b"))
-    levels = {}
-    for d in range(2, DEPTH + 1):
-        own = np.flatnonzero(depth == d)
-        own = own[np.argsort(key[own])]
-        levels[d] = key[own], a[own], b[own]
-    whole = depth == DEPTH + 1
-    return Table(key[whole], a[whole], slots=False), levels
+    """The bytes' log10 probabilities by gram, and per depth the nodes (key, log odds of a one, weight)."""
+    node = {"key": np.int64, "a": np.float16, "b": np.float16}
+    levels = {d: _read(f"{folder}/shard={shard}/depth={d}", node) for d in range(2, DEPTH + 1)}
+    return _read(f"{folder}/shard={shard}/depth={DEPTH + 1}", {"key": np.int64, "a": np.float32}), {d: (t.keys, *t.values) for d, t in levels.items()}
 
 
 @lru_cache(maxsize=1)
 def _word_shard(folder: str, shard: int) -> Table:
-    t = _read(folder, shard)
-    return Table(np.empty(0, np.int64), np.empty(0)) if t is None else Table(t.column("word").to_numpy(), t.column("n").to_numpy().astype(float))
+    return _read(f"{folder}/shard={shard}", {"word": np.int64, "n": np.float64})
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -327,7 +306,7 @@ class Trained:
             shard = int(pdf["bucket"].iloc[0]) % shards
             return pd.concat([pd.DataFrame({"shard": np.int32(shard), "depth": np.int32(d), "key": k, "a": a.astype(np.float32), "b": b.astype(np.float32)}) for d, k, a, b in parts])
 
-        found.groupBy("bucket").applyInPandas(finished, MODEL).write.partitionBy("shard").parquet(self.grams)
+        found.groupBy("bucket").applyInPandas(finished, MODEL).write.partitionBy("shard", "depth").parquet(self.grams)
         self.buckets = buckets
 
     def pairs(self, spark) -> np.ndarray:
@@ -350,7 +329,8 @@ def score(docs: DataFrame) -> DataFrame:
             texts = block.num_rows
             read = Stream(block.column(2).to_pylist())
             words = np.concatenate([read.words, np.full(texts, _END)])
-            owner = np.concatenate([read.word_text, np.arange(texts)])
+            order = np.argsort(words)
+            words, owner = words[order], np.concatenate([read.word_text, np.arange(texts)])[order]
             found = np.zeros(len(words))
             for k in range(shards):
                 own = slice(None) if shards == 1 else np.flatnonzero(words % shards == k)
@@ -366,7 +346,7 @@ def score(docs: DataFrame) -> DataFrame:
             for k in range(shards):
                 at = np.arange(len(distinct)) if shard is None else np.flatnonzero(shard == k)
                 table, levels = _gram_shard(grams_at, k)
-                v = table.get_sorted(distinct[at])
+                v = table.get(distinct[at])
                 lost = np.flatnonzero(np.isnan(v))
                 for low in range(0, len(lost), 1 << 16):
                     part = lost[low : low + (1 << 16)]
