@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, token_files, toxicity, warc
+from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, token_files, toxicity, url_filters, warc
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,12 @@ def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filters.as_of(url_filters.dated_captures(pages), url_filters.dated_entries(pages))
+    return judged.withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
 def op9_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -56,8 +63,9 @@ QUERIES: dict[str, Query] = {
     "op5_context_tree_scoring": op5_context_tree_scoring,
     "op6_compression_toxicity": op6_compression_toxicity,
     "op7_bm25_decontamination": op7_bm25_decontamination,
+    "op8_temporal_url_filters": op8_temporal_url_filters,
     "op9_tag_path_extraction": op9_tag_path_extraction,
     "op10_feistel_token_files": op10_feistel_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_temporal_url_filters": url_filters.ORACLE}

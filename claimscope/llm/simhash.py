@@ -129,3 +129,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = prints.join(joined, prints["fp"] == joined["node"], "left").select(F.col("fp").alias("print"), F.coalesce("least", "first").alias("component_id"))
     out = marked.join(own, marked["fp"] == own["print"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
+
+    A ``doc_id`` is taken to name one document: of rows that share a kept one, any one stays. Documents without an id
+    stay only where their whole group has none, one for each group's fingerprints.
+    """
+    groups = stored(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    kept = groups.select(F.col("doc_id").alias("__kept"))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    if groups.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out
