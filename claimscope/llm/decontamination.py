@@ -30,7 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import row_blocks, text_or_empty
@@ -184,7 +184,7 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> list[Index]:
+def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items in blocks; each holds at most about ``BLOCK_ITEMS`` items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
@@ -216,12 +216,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
     spark = docs.sparkSession
-    for index in _blocks(benchmark):
+
+    def clean(index: Index) -> Column:
         shared = spark.sparkContext.broadcast(index)
 
         @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
+        def holds_none(texts: pd.Series) -> pd.Series:
             return pd.Series([not shared.value.search(t) for t in texts], dtype=bool)
 
-        docs = docs.where(clean(text_or_empty()))
-    return docs
+        return holds_none(text_or_empty())
+
+    return reduce(lambda rows, index: rows.where(clean(index)), _blocks(benchmark), docs)
