@@ -1,13 +1,14 @@
 """Token files in training order: a keyed permutation gives every sequence a global slot in fixed-stride shards.
 
-Texts become ids with an end id, cut into sequences of ``length`` ids, the last one padded. Sequences are numbered
-without gaps: within each task as it writes its rows, and across tasks by the tasks' totals. A Feistel network keyed by
-``seed`` permutes the numbers, walking its cycle until the value falls below the number of sequences. Slots are cut
-into ranges, one file each, in which every record has the same stride, so that a reader finds slot s by arithmetic and
-resumes anywhere. Records are self-describing: doc_id, sequence of the document, number of ids, ids.
-
-Nulls: a null text is empty (a sequence with the end id alone); a null ``doc_id`` comes back as null. Repeated rows have
-sequences of their own. An empty table gives no files and no rows. Extra columns are ignored.
+Texts become ids with an end id; the ids of a task's documents, one after another, are cut into sequences of ``length``
+ids, the last one of a task padded. Sequences are numbered without gaps: within each task as it writes its rows, and
+across tasks by the tasks' totals. A Feistel network keyed by ``seed`` permutes the numbers, walking its cycle until
+the value falls below the number of sequences. Slots are cut into ranges, one file each, in which every record has the
+same stride, so that a reader finds slot s by arithmetic and resumes anywhere. A record says which document its first
+id belongs to, how many of that document's ids come before, how many ids it has, and the ids.
+
+Nulls: a null text is empty (the end id alone); a null ``doc_id`` comes back as null. Repeated rows are written as often
+as they occur. An empty table gives no files and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +30,27 @@ from claimscope.llm.tokens import TextEncoder, default_vocabulary
 
 LENGTH, END_ID, SEED = 256, 50256, 20240101
 SHARD_BYTES, FLUSH_BYTES, READ_RECORDS = 32 << 20, 16 << 20, 16384
+LEVEL = 6
 _NO_ID = -(1 << 63)
 
 #: (shard, path, first slot, number of slots, ids in a record)
 FILES = "shard long, path string, first long, slots long, length int"
-SEQUENCES = "slot long, shard long, doc_id long, piece int, n_tokens int, ids binary"
+SEQUENCES = "slot long, shard long, doc_id long, start int, n_tokens int, ids binary"
 
 
 def record_type(length: int) -> np.dtype:
     """Layout of a record: little-endian, ids as unsigned 16-bit integers."""
-    return np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4"), ("ids", "<u2", (length,))])
+    return np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ids", "<u2", (length,))])
+
+
+#: A document's share of a sequence, on its way to a shard.
+_SHARE = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("start", "<i4"), ("at", "<i4"), ("n", "<i4")])
+
+
+def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    before = np.cumsum(n) - n
+    return np.arange(n.sum()) + np.repeat(first - before, n)
 
 
 def _round(half: np.ndarray, key: int) -> np.ndarray:
@@ -62,8 +74,8 @@ def permuted(index: np.ndarray, size: int, seed: int = SEED, rounds: int = 6) ->
     return out.astype(np.int64)
 
 
-def numbered_ids(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """Stored (part, start, doc_id, ids): ids as 16-bit integers; ``start`` counts the sequences before it in its part."""
+def numbered_ids(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+    """Stored (part, start, doc_id, ids): ids as 16-bit integers; ``start`` counts the ids before them in their part."""
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +88,7 @@ def numbered_ids(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vo
                     raise ValueError("the vocabulary has ids of more than 16 bits")
                 starts.append(start)
                 ids.append(own.astype("<u2").tobytes())
-                start += -(-len(own) // length)
+                start += len(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(starts, pa.int64()), block.column(0), pa.array(ids, pa.binary())], ["part", "start", "doc_id", "ids"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -86,10 +98,10 @@ def numbered_ids(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vo
 def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, vocabulary: str | None = None) -> DataFrame:
     """Write all documents' sequences in training order below ``folder``; returns the stored list of files."""
     spark = docs.sparkSession
-    table = numbered_ids(docs, length, vocabulary=vocabulary)
+    table = numbered_ids(docs, vocabulary=vocabulary)
     # one row per task of the encoding job goes to the driver
-    sequences = F.ceil(F.octet_length("ids") / 2 / length)
-    totals = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.sum(sequences).alias("n")).collect()}
+    ids = F.octet_length("ids") / 2
+    totals = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.ceil(F.sum(ids) / length).alias("n")).collect()}
     starts, size = {}, 0
     for part in sorted(totals):
         starts[part], size = size, size + totals[part]
@@ -98,51 +110,58 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
     base = spark.sparkContext.broadcast(starts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        rows: list[np.ndarray] = []
-        numbers: list[np.ndarray] = []
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        shares: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            slots, records = permuted(np.concatenate(numbers), size, seed), np.concatenate(rows)
-            rows.clear(), numbers.clear()
-            order = np.argsort(slots)
-            slots, records = slots[order], records[order]
-            shards = slots // per_shard
-            edges = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(slots))
-            parts = [(int(shards[a]), slots[a:b].tobytes(), packer.compress(records[a:b].tobytes())) for a, b in zip(edges, edges[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "slots", "records"])
+            share, ids = np.concatenate(shares), np.concatenate(tokens)
+            shares.clear(), tokens.clear()
+            begins = np.cumsum(share["n"], dtype=np.int64) - share["n"]
+            share["slot"] = permuted(share["slot"], size, seed)
+            order = np.argsort(share["slot"], kind="stable")
+            share, begins = share[order], begins[order]
+            shards = share["slot"] // per_shard
+            edges = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(share))
+            parts = [
+                (int(shards[a]), packer.compress(share[a:b].tobytes()), packer.compress(ids[_places(begins[a:b], share["n"][a:b])].tobytes()))
+                for a, b in zip(edges, edges[1:], strict=False)
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "shares", "ids"])
 
         held = 0
         for block in row_blocks(batches, 4 << 20):
             for part, start, doc, ids in zip(*(c.to_pylist() for c in block.columns), strict=True):
                 own = np.frombuffer(ids, dtype="<u2")
-                n = -(-len(own) // length)
-                made = np.zeros(n, dtype=layout)
-                made["doc_id"], made["piece"], made["n"] = _NO_ID if doc is None else doc, np.arange(n), length
-                made["n"][-1] = len(own) - (n - 1) * length
-                padded = np.full(n * length, END_ID, dtype="<u2")
-                padded[: len(own)] = own
-                made["ids"] = padded.reshape(n, length)
-                rows.append(made)
-                numbers.append(base.value[part] + start + np.arange(n))
-                held += made.nbytes
+                cuts = np.concatenate([[start], np.arange(start // length + 1, (start + len(own) - 1) // length + 1) * length, [start + len(own)]])
+                share = np.zeros(len(cuts) - 1, dtype=_SHARE)
+                share["slot"], share["doc_id"] = base.value[part] + cuts[:-1] // length, _NO_ID if doc is None else doc
+                share["start"], share["at"], share["n"] = cuts[:-1] - start, cuts[:-1] % length, np.diff(cuts)
+                shares.append(share)
+                tokens.append(own)
+                held += own.nbytes
                 if held > FLUSH_BYTES:
                     yield flush()
                     held = 0
-        if rows:
+        if shares:
             yield flush()
 
     def write(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         first = shard * per_shard
         out = np.zeros(min(per_shard, size - first), dtype=layout)
-        filled, unpacker = 0, zstandard.ZstdDecompressor()
-        for slots, records in zip(group.column("slots").to_pylist(), group.column("records").to_pylist(), strict=True):
-            at = np.frombuffer(slots, dtype=np.int64) - first
-            out[at] = np.frombuffer(unpacker.decompress(records), dtype=layout)
-            filled += len(at)
-        if filled != len(out):
-            raise ValueError(f"shard {shard} holds {filled} of {len(out)} sequences")
+        placed = np.full(len(out) * length, END_ID, dtype="<u2")
+        unpacker = zstandard.ZstdDecompressor()
+        for shares, ids in zip(group.column("shares").to_pylist(), group.column("ids").to_pylist(), strict=True):
+            share = np.frombuffer(unpacker.decompress(shares), dtype=_SHARE)
+            at = share["slot"] - first
+            placed[_places(at * length + share["at"], share["n"])] = np.frombuffer(unpacker.decompress(ids), dtype="<u2")
+            np.add.at(out["n"], at, share["n"])
+            lead = share["at"] == 0
+            out["doc_id"][at[lead]], out["start"][at[lead]] = share["doc_id"][lead], share["start"][lead]
+        out["ids"] = placed.reshape(len(out), length)
+        if len(out) and out["n"].min() < 1:
+            raise ValueError(f"shard {shard} lacks sequences")
         files, root = opened(folder)
         files.create_dir(root, recursive=True)
         name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
@@ -150,7 +169,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
             file.write(out.tobytes())
         return pa.table({"shard": [shard], "path": [f"{folder}/{name}"], "first": [first], "slots": [len(out)], "length": pa.array([length], pa.int32())})
 
-    dealt = table.mapInArrow(deal, "shard long, slots binary, records binary")
+    dealt = table.mapInArrow(deal, "shard long, shares binary, ids binary")
     return stored(dealt.groupBy("shard").applyInArrow(write, FILES), "shards")
 
 
@@ -174,13 +193,13 @@ def read_shards(files: DataFrame, first: int = 0, last: int | None = None, ids:
                 doc = pa.array(found["doc_id"], mask=found["doc_id"] == _NO_ID)
                 body = pa.array(own, pa.binary()) if ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(slot, upto)), pa.array(np.full(len(own), shard)), doc, pa.array(found["piece"].copy()), pa.array(found["n"].copy()), body],
-                    ["slot", "shard", "doc_id", "piece", "n_tokens", "ids" if ids else "ids_crc32"],
+                    [pa.array(np.arange(slot, upto)), pa.array(np.full(len(own), shard)), doc, pa.array(found["start"].copy()), pa.array(found["n"].copy()), body],
+                    ["slot", "shard", "doc_id", "start", "n_tokens", "ids" if ids else "ids_crc32"],
                 )
 
     return ranges.repartition(tasks).mapInArrow(read, SEQUENCES if ids else SEQUENCES.replace("ids binary", "ids_crc32 long"))
 
 
 def materialised(docs: DataFrame) -> DataFrame:
-    """Write the documents' shards and read them back: slot, shard, doc_id, piece, n_tokens, ids_crc32."""
+    """Write the documents' shards and read them back: slot, shard, doc_id and start of the first id, n_tokens, ids_crc32."""
     return read_shards(write_shards(docs, scratch_path(docs.sparkSession, "tokens")), ids=False)
