@@ -497,11 +497,11 @@ def nb_model(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {_MODEL}, scores AS (SELECT doc_id, label, round(sum(w * loglik) + max(prior), 6) AS score FROM unit JOIN model USING (term) GROUP BY ALL),
     best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM scores)
-    SELECT doc_id, label, round(score, 4) AS score FROM best WHERE r = 1"""
+    SELECT doc_id, label, score FROM best WHERE r = 1"""
 )
 def nb_predict(spark: SparkSession, sf: str) -> DataFrame:
     unit, model = _model(spark, sf)
-    return classify.predict(unit, model, "doc_id").select("doc_id", "label", F.round("score", 4).alias("score"))
+    return classify.predict(unit, model, "doc_id").select("doc_id", "label", "score")
 
 
 _SENTIMENT = f"""{_COUNTS}, lab AS (SELECT DISTINCT doc_id, quality AS positive FROM labels),
