@@ -27,6 +27,8 @@ from claimscope.llm.common import row_blocks
 
 #: Of the best container's score; half the weight of a path goes to its neighbours in page order.
 LEAST_SHARE, NEIGHBOURS = 0.2, 0.25
+#: A marked article of such a share of the best container's score is taken for the article.
+LEAST_MARKED = 0.1
 MOST_LINKED = 0.6
 DEEPEST = 128
 
@@ -54,6 +56,9 @@ _NAMED = re.compile(
     r"cookies?\w*|consent\w*|gdpr|notices?|notification\w*|alert\w*|disclaimer|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|"
     r"comments?\w*|commentlist|replies|reply|respond|disqus\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|widget\w*|toolbar\w*|paginat\w*|pager|search\w*|skip)$"
 )
+_COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+_AROUND = frozenset("has with no without wrapper container layout".split())
+_ARTICLE = frozenset("article entry post story".split())
 _PART = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?、。，．；！？…]")
 _DIGITS = re.compile(r"\d+")
@@ -66,6 +71,18 @@ class Block(NamedTuple):
     linked: int
 
 
+def _unwanted(word: str) -> bool:
+    """Whether a class or id names something that is no part of an article."""
+    parts = {p.lower() for p in _PART.split(word)}
+    if parts & _COMMENTS:
+        return True
+    if parts & _AROUND:  # has-sidebar, nav-wrapper: what stands around both
+        return False
+    if parts & _ARTICLE:  # an article's own header holds its title
+        parts.discard("header")
+    return any(map(_NAMED.match, parts)) or bool(_NAMED.match(word.lower())) and word.lower() != "header"
+
+
 def _attributes(attrs: str) -> tuple[str, bool]:
     """What names an element, and whether that marks it as no part of an article."""
     name, never = "", False
@@ -73,8 +90,7 @@ def _attributes(attrs: str) -> tuple[str, bool]:
         value, key = next((v for v in values if v), ""), key.lower()
         if key in ("class", "id"):
             name += "." + _DIGITS.sub("", value)
-            words = value.split()
-            never = never or any(_NAMED.match(w.lower()) or any(_NAMED.match(p.lower()) for p in _PART.split(w)) for w in words)
+            never = never or any(map(_unwanted, value.split()))
         elif key == "role":
             never = never or value.lower() in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -153,7 +169,9 @@ def blocks(page: str) -> list[Block]:
                     break
         flush()
         name, bad = _attributes(m["attrs"]) if m["attrs"] else ("", False)
-        bad = tag not in ("html", "body") and (bad and tag not in _MAIN or tag in _NEVER or tag == "header" and not within)
+        if tag in _MAIN:  # only what calls itself a comment or an advert is none
+            bad = bad and within > 0 or any(w.lower() in _COMMENTS or w.lower() in ("teaser", "related", "promo", "ad") for w in name.replace(".", " ").split())
+        bad = tag not in ("html", "body") and (bad or tag in _NEVER or tag == "header" and not within)
         above = stack[-1][1] if stack else ""
         # deeper elements share the path of the last named one: paths stay short on runaway nesting
         stack.append((tag, f"{above}/{tag}{name}" if len(stack) < DEEPEST else above, bad))
@@ -186,6 +204,9 @@ def content(found: list[Block]) -> list[str]:
         by_container[b.container] = by_container.get(b.container, 0.0) + by_path[b.path] * math.sqrt(len(b.text))
     least = LEAST_SHARE * max(by_container.values())
     best = max(by_container, key=by_container.__getitem__)
+    marked = {c: x for c, x in by_container.items() if any(f"/{tag}" in c for tag in _MAIN)}
+    if marked and max(marked.values()) >= LEAST_MARKED * by_container[best]:
+        best = max(marked, key=marked.__getitem__)
     if any(f"/{tag}" in best for tag in _MAIN):  # where the page marks its article, nothing outside is part of it
         root = next(best[: m.end()] for m in re.finditer(r"/(?:article|main)[^/]*", best))
         chosen = {c for c in by_container if (c + "/").startswith(root + "/")}

@@ -30,8 +30,8 @@ MOST_REPEATED_PERCENT = 20
 LEVEL = 3
 CHUNK = 4096
 #: (bytes from which the band holds, least ratio, most ratio) of whole texts.
-BANDS = ((0, 0.0, 9.9), (256, 0.42, 1.0), (512, 0.40, 0.95), (1024, 0.36, 0.90), (4096, 0.33, 0.85), (16384, 0.30, 0.85))
-CHUNK_BAND = (0.36, 0.90)
+BANDS = ((0, 0.0, 9.9), (256, 0.42, 1.0), (512, 0.40, 0.85), (1024, 0.36, 0.74), (4096, 0.33, 0.70), (16384, 0.30, 0.68))
+CHUNK_BAND = (0.36, 0.74)
 MOST_CHUNKS_OUTSIDE = 0.25
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
