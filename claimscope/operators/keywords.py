@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,17 @@ def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Jaccard similarity of two keyword sets per document. Both: key, keywords (array)."""
     both = a.select(key, F.col("keywords").alias("ka")).join(b.select(key, F.col("keywords").alias("kb")), key)
     return both.withColumn("jaccard", F.round(F.try_divide(F.size(F.array_intersect("ka", "kb")), F.size(F.array_union("ka", "kb"))), 6))
+
+
+def by_embedding(docs: DataFrame, key: str, content: Column, words: Column, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """(key, term, similarity, rank): the k distinct words most like their whole text, by an embedding provider.
+
+    Every distinct word of the corpus is embedded once, not once per document.
+    """
+    own = docs.select(key, content.alias("__content"), F.array_distinct(words).alias("__words"))
+    vectors = own.select(key, embed(F.col("__content")).alias("dv"))
+    pairs = own.select(key, F.explode("__words").alias("term"))
+    terms = pairs.select("term").distinct().withColumn("tv", embed(F.col("term")))
+    scored = pairs.join(terms, "term").join(vectors, key).select(key, "term", F.round(cosine(F.col("dv"), F.col("tv")), 6).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc_nulls_last(), "term"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

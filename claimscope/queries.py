@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions import html, text, urls
-from claimscope.operators import classify, factcheck, feedback, keywords, paragraphs, sentiment
+from claimscope.functions.providers import hashed_embedding
+from claimscope.operators import classify, dom, factcheck, feedback, keywords, paragraphs, sentiment
 from claimscope.plans import article, render
-from claimscope.rules import ICON_URL, LATIN_STOP_WORDS, NO_VERDICT, REPORT_HEADINGS, TWO_LEVEL_SUFFIXES
-from claimscope.session import table
+from claimscope.rules import ICON_URL, LATIN_STOP_WORDS, NO_VERDICT, REPORT_HEADINGS, TWO_LEVEL_SUFFIXES, ban_lines
+from claimscope.session import shared_path, table
+from claimscope.sources import readers
+from claimscope.streaming import posts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,10 +329,8 @@ def status_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, 'Result ' || turn AS title, 'https://a.example/' || conv_id || '/' || turn AS link FROM conversations")
 def search_json(spark: SparkSession, sf: str) -> DataFrame:
-    from claimscope.sources.readers import search_results
-
     record = F.to_json(F.array(F.struct(F.concat(F.lit("Result "), F.col("turn")).alias("title"), F.concat(F.lit("https://a.example/"), F.col("conv_id"), F.lit("/"), F.col("turn")).alias("link"))))
-    found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(search_results(record)).alias("r"))
+    found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(readers.search_results(record)).alias("r"))
     return found.select("conv_id", "turn", "r.title", "r.link")
 
 
@@ -670,3 +671,33 @@ def result_panel(spark: SparkSession, sf: str) -> DataFrame:
 @query(article.ORACLE.format(domains=_DOMAINS, paragraphs=_PARAGRAPHS, token=text.TOKEN, stop=_STOP, title=_title_sql(), bucket=_bucket_sql(sentiment.SENTIMENT_LABELS, 0.9), none=NO_VERDICT))
 def article_report(spark: SparkSession, sf: str) -> DataFrame:
     return article.report(table(spark, sf, "pages"), table(spark, sf, "documents"), table(spark, sf, "labels"), table(spark, sf, "benchmark"))
+
+
+# --- sources, streams, trees ---
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "csv")
+    readers.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), path)
+    return spark.read.option("header", True).schema("doc_id long, lang string, source string, n_chars long").csv(path)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*")
+    once = posts.first_seen(events, ["user_id", "event_type"], late="3650 days").select("user_id", "event_type")
+    return posts.drained(once, shared_path(spark, "stream"), shared_path(spark, "stream-state"))
+
+
+@query(f"WITH {_DOMAINS}, {_PARAGRAPHS}, c AS (SELECT page_id, string_agg(text, '' ORDER BY pos) AS content FROM paragraphs GROUP BY page_id) SELECT url, domain, md5(content) AS content_md5 FROM domains JOIN c USING (page_id) WHERE domain <> 'example.org'")
+def page_dom_extract(spark: SparkSession, sf: str) -> DataFrame:
+    columns = "domain string, priority int, title_sel string, body_sel string, stop_mode string, stop_text string"
+    rules = spark.createDataFrame([("example.com", 1, "article h1", "article p", "none", None), ("example.net", 1, "h2", "p", "none", None), ("example.net", 2, "h1", "p", "none", None)], columns)
+    return dom.extract(table(spark, sf, "pages"), rules, ban_lines(spark)).select("url", "domain", F.md5("content").alias("content_md5"))
+
+
+@query()
+def doc_keywords_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return keywords.by_embedding(docs, "doc_id", F.col("text"), text.tokens(F.col("text")), hashed_embedding(), 5).select("doc_id", "rank", "term", "similarity")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps timestamps comparable between machines; AQE re-plans joins, skew and partition counts at run time.
@@ -25,3 +28,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``, a path or URI that Spark can open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``; unset, as in tests: a temporary one)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='claimscope-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/claimscope/{name}-{uuid.uuid4().hex}"

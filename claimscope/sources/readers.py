@@ -64,3 +64,8 @@ def append_articles(rows: DataFrame, path: str) -> None:
 def point_lookup(stored: DataFrame, column: str, value: str) -> DataFrame:
     """The first stored row of a value; the filter reaches the source."""
     return stored.where(F.col(column) == value).limit(1)
+
+
+def append_bug_reports(rows: DataFrame, path: str) -> None:
+    """Append bug reports (Bug_ID, Bug_DATE, COMMENT, Bug_IMAGE as binary) in the stored schema."""
+    rows.select("Bug_ID", "Bug_DATE", "COMMENT", F.col("Bug_IMAGE").cast("binary")).write.mode("append").parquet(path)

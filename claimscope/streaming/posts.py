@@ -41,3 +41,8 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     spark: SparkSession = stream.sparkSession
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def polled(stream: DataFrame, path: str, checkpoint: str, seconds: int = 4):
+    """Run for good, one micro-batch every so many seconds; however often posts change meanwhile, they are read once."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
