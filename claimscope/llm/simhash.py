@@ -139,7 +139,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     groups = stored(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
     kept = groups.select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    # always by shuffle: the kept ids grow with the corpus, and a plan that changes with its size cannot be projected
+    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
     if groups.where("rows > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out
