@@ -146,7 +146,11 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
         if shares:
             yield flush()
 
-    def write(group: pa.Table) -> pa.Table:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # every partition holds one shard, so what is gathered here is bounded by its size
+        group = pa.Table.from_batches([b for b in batches if b.num_rows], schema=pa.schema([("shard", pa.int64()), ("shares", pa.binary()), ("ids", pa.binary())]))
+        if not group.num_rows:
+            return
         shard = group.column("shard")[0].as_py()
         first = shard * per_shard
         out = np.zeros(min(per_shard, size - first), dtype=layout)
@@ -167,10 +171,13 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
         name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
         with files.open_output_stream(f"{root}/{name}", compression=None) as file:
             file.write(out.tobytes())
-        return pa.table({"shard": [shard], "path": [f"{folder}/{name}"], "first": [first], "slots": [len(out)], "length": pa.array([length], pa.int32())})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard]), pa.array([f"{folder}/{name}"]), pa.array([first]), pa.array([len(out)]), pa.array([length], pa.int32())], ["shard", "path", "first", "slots", "length"]
+        )
 
     dealt = table.mapInArrow(deal, "shard long, shares binary, ids binary")
-    return stored(dealt.groupBy("shard").applyInArrow(write, FILES), "shards")
+    placed_by_range = dealt.repartitionById(max(1, -(-size // per_shard)), F.col("shard").cast("int"))
+    return stored(placed_by_range.mapInArrow(write, FILES), "shards")
 
 
 def read_shards(files: DataFrame, first: int = 0, last: int | None = None, ids: bool = True) -> DataFrame:
