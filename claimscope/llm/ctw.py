@@ -280,7 +280,7 @@ class Trained:
         self.shards = max(1, -(-sizes.get(0, (0, 0))[0] // SHARD_GRAMS), -(-self.distinct // SHARD_WORDS))
         self.words, self.grams = scratch_path(spark, "words"), scratch_path(spark, "grams")
         counts.where("kind = 1").select(F.pmod("key", F.lit(self.shards)).cast("int").alias("shard"), F.col("key").alias("word"), "n").repartition(
-            self.shards, "shard"
+            16 * self.shards, "word"
         ).write.partitionBy("shard").parquet(self.words)
         shards, buckets = self.shards, 32 * self.shards
         found = counts.where("kind = 0").select(
