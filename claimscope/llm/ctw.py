@@ -28,8 +28,9 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import row_blocks, scratch_path, stored, text_or_empty
+from claimscope.llm.common import row_blocks, stored, text_or_empty
 from claimscope.llm.files import opened
+from claimscope.session import shared_path
 
 DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
@@ -278,7 +279,7 @@ class Trained:
         sizes = {r["kind"]: (r["rows"], r["n"]) for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
         self.distinct, self.total = sizes.get(1, (0, 0))
         self.shards = max(1, -(-sizes.get(0, (0, 0))[0] // SHARD_GRAMS), -(-self.distinct // SHARD_WORDS))
-        self.words, self.grams = scratch_path(spark, "words"), scratch_path(spark, "grams")
+        self.words, self.grams = shared_path(spark, "words"), shared_path(spark, "grams")
         counts.where("kind = 1").select(F.pmod("key", F.lit(self.shards)).cast("int").alias("shard"), F.col("key").alias("word"), "n").repartition(
             16 * self.shards, "word"
         ).write.partitionBy("shard").parquet(self.words)

@@ -24,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import row_blocks, scratch_path, stored, text_or_empty
+from claimscope.llm.common import row_blocks, stored, text_or_empty
 from claimscope.llm.files import opened
 from claimscope.llm.tokens import TextEncoder, default_vocabulary
+from claimscope.session import shared_path
 
 LENGTH, END_ID, SEED = 256, 50256, 20240101
 SHARD_BYTES, FLUSH_BYTES, READ_RECORDS = 32 << 20, 16 << 20, 16384
@@ -209,4 +210,4 @@ def read_shards(files: DataFrame, first: int = 0, last: int | None = None, ids:
 
 def materialised(docs: DataFrame) -> DataFrame:
     """Write the documents' shards and read them back: slot, shard, doc_id and start of the first id, n_tokens, ids_crc32."""
-    return read_shards(write_shards(docs, scratch_path(docs.sparkSession, "tokens")), ids=False)
+    return read_shards(write_shards(docs, shared_path(docs.sparkSession, "tokens")), ids=False)

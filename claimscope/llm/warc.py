@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import row_blocks, scratch_path, stored
+from claimscope.llm.common import row_blocks, stored
 from claimscope.llm.files import opened
+from claimscope.session import shared_path
 
 LEAST_BYTES = 0
 RANGE_BYTES = 4 << 20
@@ -215,5 +216,5 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    archives = write_archives(pages, scratch_path(pages.sparkSession, "warc"))
+    archives = write_archives(pages, shared_path(pages.sparkSession, "warc"))
     return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,6 +17,9 @@ DEFAULTS = {
 }
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("claimscope")
@@ -31,9 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``; unset, as in tests: a temporary one)."""
+    """A fresh path in the folder that all executors share, removed when the driver ends.
+
+    The folder is ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='claimscope-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/claimscope/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/claimscope/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release_shared)
+    _made[path] = spark
+    return path
+
+
+def release_shared() -> None:
+    """Remove every path made so far; results that were not yet written must not be read afterwards."""
+    while _made:
+        path, spark = _made.popitem()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone by now; the folder's owner cleans it then
+            continue

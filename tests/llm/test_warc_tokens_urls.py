@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 
 from claimscope.llm import token_files, url_filters, warc
-from claimscope.llm.common import scratch_path
 from claimscope.llm.tokens import TextEncoder, default_vocabulary
+from claimscope.session import shared_path
 
 PAGES = "page_id long, url string, html string, digest string, payload int"
 
@@ -26,7 +26,7 @@ def _pages(spark):
 @pytest.mark.parametrize("range_bytes", [700, 5000, 1 << 22])
 def test_archives_read_back_whole_at_any_split(spark, range_bytes):
     pages = _pages(spark)
-    archives = warc.write_archives(pages, scratch_path(spark, "test"))
+    archives = warc.write_archives(pages, shared_path(spark, "test"))
     got = warc.read_archives(archives, range_bytes).collect()
     rows = [(r["page_id"], r["html"] or "", r["url"]) for r in pages.collect()]
     first: dict[str, int] = {}
@@ -70,7 +70,7 @@ def test_slots_are_a_permutation(size):
 def test_shards_hold_every_id_and_resume_anywhere(spark):
     rows = [(k, "some words " * (k % 40), 1, "x") for k in range(60)] + [(None, None, 1, "x"), (7, "again", 1, "x"), (99, "long text " * 20000, 1, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int, shard string").coalesce(1)
-    files = token_files.write_shards(docs, scratch_path(spark, "test"), length=32, shard_bytes=80 * 60)
+    files = token_files.write_shards(docs, shared_path(spark, "test"), length=32, shard_bytes=80 * 60)
     got = token_files.read_shards(files).collect()
     size = len(got)
     assert sorted(r["slot"] for r in got) == list(range(size)) and files.count() > 5
