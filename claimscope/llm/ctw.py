@@ -7,8 +7,9 @@ A node's weight against the deeper ones is the posterior of context-tree weighti
 probabilities. A text's score is the sum of log10 of the mixed probabilities of its bytes, with frozen counts.
 
 Subtrees below a context of two bytes are independent: they are built in buckets of such contexts, and the model is
-stored in shards of bounded size in the shared folder. A task reads one shard at a time and adds up, for its block of
-texts, the bytes and words that belong to it, so memory is bounded by a shard and a block whatever the vocabulary is.
+stored in shards of bounded size in the shared folder. A task holds so many blocks of texts, reads one shard at a time
+and adds up, for each block, the bytes and words that belong to it: memory is bounded by a shard and the texts held,
+whatever the vocabulary is, and the model is read once for all of these texts.
 Only the at most 65,536 nodes of contexts of one byte pass the driver.
 
 Nulls: a null text is empty (one end token); a null ``doc_id`` is never held out. Repeated rows count as often as they
@@ -35,8 +36,9 @@ from claimscope.session import shared_path
 DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: Most grams, and most words, of a model shard.
-SHARD_GRAMS, SHARD_WORDS = 4_000_000, 8_000_000
-BLOCK_BYTES = 1 << 20
+SHARD_GRAMS, SHARD_WORDS = 1_000_000, 2_000_000
+#: Text scored at once, and text that a task holds while it goes through the shards.
+BLOCK_BYTES, HELD_BYTES = 1 << 20, 64 << 20
 #: Stands for the end token among the words' hashes.
 _END = -1
 _BITS = range(8)
@@ -239,6 +241,19 @@ def _word_shard(folder: str, shard: int) -> Table:
     return _read(f"{folder}/shard={shard}", {"word": np.int64, "n": np.float64})
 
 
+def _held(blocks: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Successive blocks together, at most ``HELD_BYTES`` unless one alone is larger."""
+    held, size = [], 0
+    for block in blocks:
+        if held and size + block.nbytes > HELD_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(block)
+        size += block.nbytes
+    if held:
+        yield held
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), text_or_empty().alias("text"))
@@ -326,39 +341,40 @@ def score(docs: DataFrame) -> DataFrame:
     floor = math.log10(model.total + model.distinct + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, BLOCK_BYTES):
-            texts = block.num_rows
-            read = Stream(block.column(2).to_pylist())
-            words = np.concatenate([read.words, np.full(texts, _END)])
-            order = np.argsort(words)
-            words, owner = words[order], np.concatenate([read.word_text, np.arange(texts)])[order]
-            found = np.zeros(len(words))
-            for k in range(shards):
-                own = slice(None) if shards == 1 else np.flatnonzero(words % shards == k)
-                found[own] = np.nan_to_num(_word_shard(words_at, k).get(words[own]))
-            tokens, known = np.bincount(owner, minlength=texts), np.bincount(owner, found > 0, texts)
-            base = np.bincount(owner, np.log10(found + 1), texts) - tokens * floor
-            # sorted by gram, then text: each distinct gram is looked up once, in the order of the table
-            both = np.sort(read.grams().view(np.uint64) << np.uint64(16) | read.text.astype(np.uint64))
-            gram = (both >> np.uint64(16)).view(np.int64)
-            fresh = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            distinct, value = gram[fresh], np.empty(len(fresh))
-            shard = pairs[distinct >> (8 * (DEPTH - 1))] if shards > 1 else None
+        for blocks in _held(row_blocks(batches, BLOCK_BYTES)):
+            sums = [np.zeros((5, block.num_rows)) for block in blocks]  # tokens, known, base, score, bytes
             for k in range(shards):
-                at = np.arange(len(distinct)) if shard is None else np.flatnonzero(shard == k)
-                table, levels = _gram_shard(grams_at, k)
-                v = table.get(distinct[at])
-                lost = np.flatnonzero(np.isnan(v))
-                for low in range(0, len(lost), 1 << 16):
-                    part = lost[low : low + (1 << 16)]
-                    v[part] = byte_log10(distinct[at][part], levels, upper)
-                value[at] = v
-            owner = (both & np.uint64(0xFFFF)).astype(np.int64)
-            scores = np.bincount(owner, np.repeat(value, np.diff(np.append(fresh, len(gram)))), texts)
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), block.column(1), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array(np.bincount(read.text, minlength=texts))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
-            )
+                counted, (table, levels) = _word_shard(words_at, k), _gram_shard(grams_at, k)
+                for block, total in zip(blocks, sums, strict=True):
+                    texts, read = block.num_rows, Stream(block.column(2).to_pylist())
+                    words, owner = np.concatenate([read.words, np.full(texts, _END)]), np.concatenate([read.word_text, np.arange(texts)])
+                    if not k:
+                        total[0], total[4] = np.bincount(owner, minlength=texts), np.bincount(read.text, minlength=texts)
+                    order = np.argsort(words) if shards == 1 else (own := np.flatnonzero(words % shards == k))[np.argsort(words[own])]
+                    found, owner = np.nan_to_num(counted.get(words[order])), owner[order]
+                    total[1] += np.bincount(owner, found > 0, texts)
+                    total[2] += np.bincount(owner, np.log10(found + 1), texts)
+                    gram, owner = read.grams(), read.text
+                    if shards > 1:
+                        own = pairs[gram >> (8 * (DEPTH - 1))] == k
+                        gram, owner = gram[own], owner[own]
+                    # sorted by gram, then text: each distinct gram is looked up once, in the order of the table
+                    both = np.sort(gram.view(np.uint64) << np.uint64(16) | owner.astype(np.uint64))
+                    gram, owner = (both >> np.uint64(16)).view(np.int64), (both & np.uint64(0xFFFF)).astype(np.int64)
+                    fresh = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
+                    distinct = gram[fresh]
+                    value = table.get(distinct)
+                    lost = np.flatnonzero(np.isnan(value))
+                    for low in range(0, len(lost), 1 << 16):
+                        part = lost[low : low + (1 << 16)]
+                        value[part] = byte_log10(distinct[part], levels, upper)
+                    total[3] += np.bincount(owner, np.repeat(value, np.diff(np.append(fresh, len(gram)))), texts)
+            for block, (tokens, known, base, scores, n_bytes) in zip(blocks, sums, strict=True):
+                counts = [pa.array(x.astype(np.int64)) for x in (tokens, known, n_bytes)]
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(0), block.column(1), counts[0], counts[1], pa.array(base - tokens * floor), pa.array(scores), counts[2]],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
+                )
 
     out = _texts(docs).mapInArrow(scan, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
