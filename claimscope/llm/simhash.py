@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm import resemblance
 from claimscope.llm.common import row_blocks, stored, text_or_empty
 from claimscope.llm.graph import components
 
@@ -131,16 +132,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
-    A ``doc_id`` is taken to name one document: of rows that share a kept one, any one stays. Documents without an id
-    stay only where their whole group has none, one for each group's fingerprints.
+    Near-duplicates are documents whose shingles of ``words`` words have at least this Jaccard similarity, not those of
+    ``near_duplicates``. A ``doc_id`` is taken to name one document: of rows that share a kept one, any one stays.
+    Documents without an id stay only where their whole group has none.
     """
-    groups = stored(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    found = resemblance.groups(docs, words, similarity)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    groups = stored(least.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
     kept = groups.select(F.col("doc_id").alias("__kept"))
     # always by shuffle: the kept ids grow with the corpus, and a plan that changes with its size cannot be projected
     out = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    if groups.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    return out.dropDuplicates(["doc_id"])

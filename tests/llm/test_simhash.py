@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from claimscope.llm import graph, simhash
+from claimscope.llm import graph, resemblance, simhash
 
 DOCS = "doc_id long, text string, fp string, component_id int"
 
@@ -77,3 +77,39 @@ def test_documents_of_all_kinds(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 7, 8]
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+def _replaced(words, at, mark):
+    return " ".join(f"{mark}{k}" if k in at else w for k, w in enumerate(words))
+
+
+def test_stage_drops_copies_of_five_word_similarity(spark):
+    draw = random.Random(4)
+    rows, want = [], set()
+    for k in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(200, 600))]
+        copy = _replaced(words, set(draw.sample(range(len(words)), 4)), f"new{k}x")
+        other = _replaced(words, set(range(0, len(words), 9)), f"far{k}x")
+        assert resemblance.similarity(*map(resemblance.shingles, (" ".join(words), copy))) >= 0.8 > resemblance.similarity(*map(resemblance.shingles, (" ".join(words), other)))
+        rows += [(3 * k, " ".join(words), "x", 1), (3 * k + 1, copy, "x", 1), (3 * k + 2, other, "x", 1)]
+        want |= {3 * k, 3 * k + 2}
+    assert {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_groups_are_the_closure_of_all_similar_pairs(spark, monkeypatch, rounds):
+    monkeypatch.setattr(resemblance, "ROUNDS", rounds)
+    draw = random.Random(rounds)
+    texts = []
+    for c in range(3):
+        words = [f"c{c}w{k}" for k in range(150)]
+        texts += [_replaced(words, set(draw.sample(range(150), draw.randint(1, 5))), f"n{len(texts)}x{m}") for m in range(25)]
+    sets = [set(resemblance.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [root[b] if x == root[a] else x for x in root]
+    got = {r["doc_id"]: r["root"] for r in resemblance.groups(spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], DOCS)).collect()}
+    assert len(set(root)) > 3
+    assert all((got[a] == got[b]) == (root[a] == root[b]) for a in got for b in got)
