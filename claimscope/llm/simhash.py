@@ -136,13 +136,16 @@ def keep_first(docs: DataFrame, words: int = resemblance.WORDS, similarity: floa
     """One document of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
     Near-duplicates are documents whose shingles of ``words`` words have at least this Jaccard similarity, not those of
-    ``near_duplicates``. A ``doc_id`` is taken to name one document: of rows that share a kept one, any one stays.
-    Documents without an id stay only where their whole group has none.
+    ``near_duplicates``. Documents without an id come after those with one, and documents with one id are told apart by
+    their texts; of rows with the same id and text one stays.
     """
     found = resemblance.groups(docs, words, similarity)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    groups = stored(least.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    kept = groups.select(F.col("doc_id").alias("__kept"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    first = stored(found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).select("first.doc_id", "first.tie", "rows"), "kept")
+    kept = first.select(F.col("doc_id").alias("__kept"), F.col("tie").alias("__text"))
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__tie", F.xxhash64(text_or_empty()))
     # always by shuffle: the kept ids grow with the corpus, and a plan that changes with its size cannot be projected
-    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    out = rows.join(kept.hint("merge"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__tie") == F.col("__text")), "left_semi")
+    if first.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["__id", "__tie"])
+    return out.drop("__id", "__tie")

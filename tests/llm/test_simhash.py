@@ -113,3 +113,14 @@ def test_groups_are_the_closure_of_all_similar_pairs(spark, monkeypatch, rounds)
     got = {r["doc_id"]: r["root"] for r in resemblance.groups(spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], DOCS)).collect()}
     assert len(set(root)) > 3
     assert all((got[a] == got[b]) == (root[a] == root[b]) for a in got for b in got)
+
+
+def test_rows_without_id_or_with_a_repeated_id_stay_unless_they_are_copies(spark):
+    draw = random.Random(8)
+    text = [" ".join(f"t{k}x{draw.randrange(900)}" for _ in range(60)) for k in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (4, text[2]), (5, text[3]), (5, text[4]), (5, text[4]), (6, text[4]), (5, text[5]), (3, text[5].upper())]
+    got = simhash.keep_first(spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)).collect()
+    key = lambda r: (r[0] or -1, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted([(None, text[0]), (None, text[1]), (4, text[2]), (5, text[3]), (5, text[4]), (3, text[5].upper())], key=key)
+    one = spark.createDataFrame([(None, text[0], "x", 1), (None, text[2], "x", 1), (4, text[2], "x", 1)], DOCS)
+    assert sorted(r["doc_id"] or -1 for r in simhash.keep_first(one).collect()) == [-1, 4]
