@@ -1,8 +1,9 @@
 """Quality rules: counts of a text, and compression bands.
 
 A text is rejected if it has too few words or too many repeated five-word windows (base rules), or if its zstandard
-ratio lies outside the band for its length, or if more than a share of its fixed chunks lie outside the chunks' band.
-Low ratios are repetitive text, high ones incompressible text. Short texts have no band: a few dozen bytes say nothing.
+ratio lies outside the band for its length, or if more than a share of its bytes lie in chunks outside the chunks' band.
+The last chunk ends with the text and stands for the bytes that no other chunk holds; a text of less than a chunk is
+judged by its whole ratio. Low ratios are repetitive text, high ones incompressible text. Short texts have no band: a few dozen bytes say nothing.
 
 Nulls: a null text has no words, all counts 0, and is not kept; a null ``doc_id`` is passed through. Each row is judged
 by itself, so ties and repeated rows get equal verdicts and an empty table gives no rows. Texts are read whole,
@@ -74,9 +75,14 @@ def in_bands(data: bytes, compressor: zstandard.ZstdCompressor) -> bool:
     least, most = next((low, high) for start, low, high in reversed(BANDS) if size >= start)
     if size >= BANDS[1][0] and not least <= len(compressor.compress(data)) / size <= most:
         return False
-    chunks = range(0, size - CHUNK + 1, CHUNK)
-    outside = sum(not CHUNK_BAND[0] <= len(compressor.compress(data[at : at + CHUNK])) / CHUNK <= CHUNK_BAND[1] for at in chunks)
-    return outside <= MOST_CHUNKS_OUTSIDE * len(chunks)
+    if size < CHUNK:
+        return True
+    outside = 0
+    for at in range(0, size, CHUNK):
+        chunk = data[min(at, size - CHUNK) : min(at + CHUNK, size)]  # the last one is anchored at the end
+        if not CHUNK_BAND[0] <= len(compressor.compress(chunk)) / CHUNK <= CHUNK_BAND[1]:
+            outside += min(CHUNK, size - at)
+    return outside <= MOST_CHUNKS_OUTSIDE * size
 
 
 def judge(text: str, compressor: zstandard.ZstdCompressor) -> Counts:

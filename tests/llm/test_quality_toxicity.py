@@ -44,6 +44,17 @@ def test_bands_reject_repetition_and_noise_but_not_prose():
     assert not judged(_prose(draw, 1000) + " ".join(f"{k % 7} x{k % 3} same same" for k in range(6000)))
 
 
+def test_junk_is_found_at_head_and_tail_alike():
+    draw, compressor = random.Random(6), zstandard.ZstdCompressor(level=3, write_content_size=False)
+    kept = lambda t: quality.judge(t, compressor).kept
+    for _ in range(10):
+        prose = _prose(draw, 2000)[:4200]
+        junk = " ".join(base64.b64encode(draw.randbytes(12)).decode() for _ in range(400))[:3900]
+        whole = len(compressor.compress(f"{prose} {junk}".encode())) / 8101
+        assert whole <= 0.70 and kept(_prose(draw, 3000)[:8101])
+        assert not kept(f"{prose} {junk}") and not kept(f"{junk} {prose}")
+
+
 def test_quality_of_documents_of_all_kinds(spark):
     good = _prose(random.Random(1), 80)
     rows = [(1, None, 0.0, "x"), (None, good, 0.0, "x"), (2, "", 0.0, "x"), (3, good, 0.0, "x"), (3, good, 0.0, "x"), (4, "long word " * 50000, 0.0, "x")]
