@@ -5,7 +5,9 @@ ids, the last one of a task padded. Sequences are numbered without gaps: within
 across tasks by the tasks' totals. A Feistel network keyed by ``seed`` permutes the numbers, walking its cycle until
 the value falls below the number of sequences. Slots are cut into ranges, one file each, in which every record has the
 same stride, so that a reader finds slot s by arithmetic and resumes anywhere. A record says which document its first
-id belongs to, how many of that document's ids come before, how many ids it has, and the ids.
+id belongs to, how many of that document's ids come before, how many ids it has, and the ids. Behind the records of a
+shard an index lists the documents that begin inside a record, with their place; ``INDEX_STEP`` records apart it can be
+entered without reading what is before.
 
 Nulls: a null text is empty (the end id alone); a null ``doc_id`` comes back as null. Repeated rows are written as often
 as they occur. An empty table gives no files and no rows. Extra columns are ignored.
@@ -36,7 +38,8 @@ _NO_ID = -(1 << 63)
 
 #: (shard, path, first slot, number of slots, ids in a record)
 FILES = "shard long, path string, first long, slots long, length int"
-SEQUENCES = "slot long, shard long, doc_id long, start int, n_tokens int, ids binary"
+SEQUENCES = "slot long, shard long, doc_id long, start int, n_tokens int, ids binary, documents array<struct<doc_id: long, start: int, at: int, n: int>>"
+INDEX_STEP = 1024
 
 
 def record_type(length: int) -> np.dtype:
@@ -44,6 +47,8 @@ def record_type(length: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ids", "<u2", (length,))])
 
 
+#: A document that begins inside a record; the index is a long per INDEX_STEP records (entries before them) and these.
+_BEGIN = np.dtype([("record", "<u4"), ("at", "<u2"), ("doc_id", "<i8")])
 #: A document's share of a sequence, on its way to a shard.
 _SHARE = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("start", "<i4"), ("at", "<i4"), ("n", "<i4")])
 
@@ -54,6 +59,32 @@ def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first - before, n)
 
 
+def _steps(slots: int) -> np.ndarray:
+    """The records at which the index of a shard can be entered, and its end."""
+    return np.append(np.arange(0, slots, INDEX_STEP), slots)
+
+
+def _documents(source: pa.NativeFile, found: np.ndarray, a: int, b: int, slots: int) -> pa.ListArray:
+    """For each of the records a to b of a shard the documents in it: doc_id, start, at and n."""
+    base = slots * found.dtype.itemsize
+    one, last = a // INDEX_STEP, -(-b // INDEX_STEP)
+    low, *_, high = np.frombuffer(source.read_at((last - one + 1) * 8, base + one * 8), dtype="<i8").tolist()
+    index = np.frombuffer(source.read_at((high - low) * _BEGIN.itemsize, base + len(_steps(slots)) * 8 + low * _BEGIN.itemsize), dtype=_BEGIN)
+    index = index[(index["record"] >= a) & (index["record"] < b)]
+    record = np.concatenate([np.arange(b - a), index["record"].astype(np.int64) - a])
+    order = np.argsort(record, kind="stable")  # a record's first document comes before those that begin inside
+    record = record[order]
+    doc = np.concatenate([found["doc_id"], index["doc_id"]])[order]
+    start = np.concatenate([found["start"], np.zeros(len(index), "<i4")])[order]
+    at = np.concatenate([np.zeros(b - a, "<i4"), index["at"].astype("<i4")])[order]
+    ends = np.append(at[1:], 0)
+    closing = np.append(np.diff(record) > 0, True)
+    ends[closing] = found["n"]
+    offsets = np.append(np.searchsorted(record, np.arange(b - a)), len(record)).astype(np.int32)
+    fields = [pa.array(doc, mask=doc == _NO_ID), pa.array(start, pa.int32()), pa.array(at, pa.int32()), pa.array(ends - at, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["doc_id", "start", "at", "n"]))
+
+
 def _round(half: np.ndarray, key: int) -> np.ndarray:
     x = (half + np.uint64(key & ((1 << 64) - 1))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -157,6 +188,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
         out = np.zeros(min(per_shard, size - first), dtype=layout)
         placed = np.full(len(out) * length, END_ID, dtype="<u2")
         unpacker = zstandard.ZstdDecompressor()
+        inside = [np.zeros(0, dtype=_BEGIN)]
         for shares, ids in zip(group.column("shares").to_pylist(), group.column("ids").to_pylist(), strict=True):
             share = np.frombuffer(unpacker.decompress(shares), dtype=_SHARE)
             at = share["slot"] - first
@@ -164,6 +196,9 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
             np.add.at(out["n"], at, share["n"])
             lead = share["at"] == 0
             out["doc_id"][at[lead]], out["start"][at[lead]] = share["doc_id"][lead], share["start"][lead]
+            begin = np.zeros(len(share) - np.count_nonzero(lead), dtype=_BEGIN)
+            begin["record"], begin["at"], begin["doc_id"] = at[~lead], share["at"][~lead], share["doc_id"][~lead]
+            inside.append(begin)
         out["ids"] = placed.reshape(len(out), length)
         if len(out) and out["n"].min() < 1:
             raise ValueError(f"shard {shard} lacks sequences")
@@ -172,6 +207,10 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
         name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
         with files.open_output_stream(f"{root}/{name}", compression=None) as file:
             file.write(out.tobytes())
+            index = np.concatenate(inside)
+            index = index[np.lexsort((index["at"], index["record"]))]
+            file.write(np.searchsorted(index["record"], _steps(len(out))).astype("<i8").tobytes())
+            file.write(index.tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard]), pa.array([f"{folder}/{name}"]), pa.array([first]), pa.array([len(out)]), pa.array([length], pa.int32())], ["shard", "path", "first", "slots", "length"]
         )
@@ -184,30 +223,31 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
 def read_shards(files: DataFrame, first: int = 0, last: int | None = None, ids: bool = True) -> DataFrame:
     """The sequences of slots ``first`` to ``last`` (excluded), read from their places in the shards, in slot order per task."""
     ranges = files.select("shard", "path", "length", F.col("first").alias("begins"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1, F.lit(READ_RECORDS).cast("long"))).alias("slot"), "slots")
-    ranges = ranges.select("shard", "path", "length", "begins", "slot", F.least(F.col("slot") + READ_RECORDS, F.col("begins") + F.col("slots")).alias("upto")).where(F.col("upto") > first)
+    ranges = ranges.select("shard", "path", "length", "begins", "slot", F.least(F.col("slot") + READ_RECORDS, F.col("begins") + F.col("slots")).alias("upto"), "slots").where(F.col("upto") > first)
     if last is not None:
         ranges = ranges.where(F.col("slot") < last)
     tasks = max(1, ranges.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in batches:
-            for shard, path, length, begins, slot, upto in zip(*(c.to_pylist() for c in block.columns), strict=True):
+            for shard, path, length, begins, slot, upto, slots in zip(*(c.to_pylist() for c in block.columns), strict=True):
                 slot, upto = max(slot, first), upto if last is None else min(upto, last)
                 layout = record_type(length)
                 store, root = opened(path)
                 with store.open_input_file(root) as source:
                     found = np.frombuffer(source.read_at((upto - slot) * layout.itemsize, (slot - begins) * layout.itemsize), dtype=layout)
+                    documents = _documents(source, found, slot - begins, upto - begins, slots)
                 own = [bytes(r["ids"][: r["n"]].tobytes()) for r in found]
                 doc = pa.array(found["doc_id"], mask=found["doc_id"] == _NO_ID)
                 body = pa.array(own, pa.binary()) if ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(slot, upto)), pa.array(np.full(len(own), shard)), doc, pa.array(found["start"].copy()), pa.array(found["n"].copy()), body],
-                    ["slot", "shard", "doc_id", "start", "n_tokens", "ids" if ids else "ids_crc32"],
+                    [pa.array(np.arange(slot, upto)), pa.array(np.full(len(own), shard)), doc, pa.array(found["start"].copy()), pa.array(found["n"].copy()), body, documents],
+                    ["slot", "shard", "doc_id", "start", "n_tokens", "ids" if ids else "ids_crc32", "documents"],
                 )
 
     return ranges.repartition(tasks).mapInArrow(read, SEQUENCES if ids else SEQUENCES.replace("ids binary", "ids_crc32 long"))
 
 
 def materialised(docs: DataFrame) -> DataFrame:
-    """Write the documents' shards and read them back: slot, shard, doc_id and start of the first id, n_tokens, ids_crc32."""
+    """Write the documents' shards and read them back: slot, shard, doc_id and start of the first id, n_tokens, ids_crc32, documents."""
     return read_shards(write_shards(docs, shared_path(docs.sparkSession, "tokens")), ids=False)

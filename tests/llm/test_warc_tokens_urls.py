@@ -89,6 +89,29 @@ def test_shards_hold_every_id_and_resume_anywhere(spark):
     assert token_files.materialised(docs.limit(0)).count() == 0
 
 
+def test_every_document_is_found_in_the_sequences(spark):
+    rows = [(k if k % 9 else None, "word " * (k % 7)) for k in range(300)] + [(900, "long text " * 30000)] + [(1000 + k, "") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    files = token_files.write_shards(docs, shared_path(spark, "test"), length=32, shard_bytes=80 * 1500)
+    encoder, want, at = TextEncoder(default_vocabulary()), [], 0
+    for doc, text in rows:
+        n, done = len(encoder.encode(text)) + 1, 0
+        while done < n:
+            share = min(n - done, 32 - at % 32)
+            want.append((at // 32, doc, done, at % 32, share))
+            done, at = done + share, at + share
+    size = -(-at // 32)
+    slots = token_files.permuted(np.arange(size), size).tolist()
+    assert files.count() > 1 and size > 1100
+
+    def found(first, last):
+        return sorted(((r["slot"], d["at"], d["doc_id"], d["start"], d["n"]) for r in token_files.read_shards(files, first, last, ids=False).collect() for d in r["documents"]), key=lambda x: x[:2])
+
+    asked = sorted(((slots[k], a, doc, start, n) for k, doc, start, a, n in want), key=lambda x: x[:2])
+    assert found(0, None) == asked
+    assert found(1000, 1100) == [x for x in asked if 1000 <= x[0] < 1100]
+
+
 def test_url_filters_as_of_fetch_time(spark):
     entries = spark.createDataFrame(
         [
