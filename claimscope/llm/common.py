@@ -33,23 +33,34 @@ def row_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) ->
             yield batch.slice(at, step)
 
 
+#: Groups of a key whose starts one window sums up.
+_STARTS = 1 << 16
+
+
 def numbered(
-    df: DataFrame, keys: list[str], order: list[str], counts: DataFrame | None = None, *, salts: Column | None = None, name: str = "rank"
+    df: DataFrame, keys: list[str], order: list[str], *, salts: Column | None = None, name: str = "rank"
 ) -> DataFrame:
     """Add a gapless rank from 0 within ``keys`` without gathering a key in one task.
 
-    Rows of a key are dealt to salted groups by a hash of ``order``; each group is numbered by a window of its
-    own, and starts where the groups before it end. ``salts`` is the number of groups of a row's key (a column).
-    Null keys or order values form ordinary groups. Repeated rows take different ranks, in any order.
+    Rows of a key are dealt to salted groups by a hash of ``order``; each group is numbered by a window of its own, and
+    starts where the groups before it end. The starts are summed up in two levels, so no window sees more than
+    ``_STARTS`` groups of a key. ``salts`` is the number of groups of a row's key (a column). Null keys or order values
+    form ordinary groups. Rows with equal ``order`` share a group, so it should name a row: they take different ranks,
+    in any order.
     """
     salts = F.lit(1) if salts is None else salts
     dealt = df.withColumn("__salt", F.pmod(F.xxhash64(*order), salts.cast("long")))
     within = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    sizes = dealt.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__salt").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    joined = dealt.withColumn("__at", F.row_number().over(within) - 1).join(
-        starts,
-        [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__salt") == F.col("__s")],
-    )
-    return joined.withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).select(*df.columns, name)
+    block = F.shiftright(F.col("__salt"), _STARTS.bit_length() - 1)
+    sizes = dealt.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", block)
+    before = Window.partitionBy(*keys, "__block").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    blocks_before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    starts = sizes.select(*named, "__block", F.col("__salt").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    blocks = sizes.groupBy(*keys, "__block").agg(F.sum("__n").alias("__n"))
+    bases = blocks.select(*keys, F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(blocks_before), F.lit(0)).alias("__base")).where("__base > 0")
+    ranked = dealt.withColumn("__at", F.row_number().over(within) - 1).join(starts, [*same, F.col("__salt") == F.col("__s")]).drop(*[f"__k{i}" for i in range(len(keys))])
+    # blocks that start at 0, and so all rows of a key with few groups, need no base
+    based = ranked.join(bases.select(*named, "__b", "__base"), [*same, F.col("__block") == F.col("__b")], "left")
+    return based.withColumn(name, (F.col("__start") + F.col("__at") + F.coalesce("__base", F.lit(0))).cast("long")).select(*df.columns, name)

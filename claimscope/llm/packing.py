@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import numbered, row_blocks, stored, text_or_empty
-from claimscope.llm.tokens import TextEncoder, default_vocabulary
+from claimscope.llm.tokens import default_vocabulary, worker_encoder
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that a numbering window sees at once, on average.
-RANK_GROUP = 500
+RANK_GROUP = 2000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -58,7 +58,7 @@ def token_pieces(
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextEncoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         for block in row_blocks(batches, 4 << 20):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
@@ -126,9 +126,10 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slo
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Place pieces (doc_id, piece, length and any further columns) in sequences: adds sequence_id and offset.
+    """Place pieces (row, length and any further columns) in sequences: adds sequence_id and offset.
 
-    ``pieces`` is read twice and should be a stored table. To the driver go the counts per length only, at most
+    ``row`` tells pieces apart, also those of repeated documents, so that a document's copies are dealt to many tasks.
+    ``pieces`` is read several times and must be a stored table. To the driver go the counts per length only, at most
     ``capacity`` rows; the slots go back to the tasks as a table of a size that likewise depends on ``capacity`` alone.
     """
     spark = pieces.sparkSession
@@ -140,7 +141,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     tables = spark.sparkContext.broadcast({n: tuple(np.array(x, dtype=np.int64) for x in zip(*((s.first, s.sequence, s.offset) for s in own), strict=True)) for n, own in by_length.items()})
     sizes = spark.createDataFrame([(n, 1 + c // RANK_GROUP) for n, c in counts.items()], "__length long, __groups long")
     ranked = numbered(
-        pieces.join(F.broadcast(sizes), F.col("length") == F.col("__length")).drop("__length"), ["length"], ["doc_id", "piece"], salts=F.col("__groups"), name="__rank"
+        pieces.join(F.broadcast(sizes), F.col("length") == F.col("__length")).drop("__length"), ["length"], ["row"], salts=F.col("__groups"), name="__rank"
     ).drop("__groups")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,5 +165,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Digest of a whole packing: doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row per piece."""
-    pieces = stored(token_pieces(docs, capacity, vocabulary=vocabulary, checksum=True), "pieces")
+    pieces = stored(token_pieces(docs, capacity, vocabulary=vocabulary, checksum=True).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.common import row_blocks, stored, text_or_empty
 from claimscope.llm.files import opened
-from claimscope.llm.tokens import TextEncoder, default_vocabulary
+from claimscope.llm.tokens import default_vocabulary, worker_encoder
 from claimscope.session import shared_path
 
 LENGTH, END_ID, SEED = 256, 50256, 20240101
@@ -111,7 +111,7 @@ def numbered_ids(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None =
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = TextEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, start = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for block in row_blocks(batches, 4 << 20):
             starts, ids = [], []
             for text in block.column(1).to_pylist():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -34,23 +35,31 @@ def _byte_of_letter() -> dict[str, int]:
 class TextEncoder:
     """Ids by a ``tokenizers`` byte-level BPE file, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    Special-token strings inside a text are ordinary text. The file's vocabulary is loaded as merge ranks, which
-    encode a new part several times faster; ids of parts met before are kept, in two generations of at most
-    ``most_kept`` parts. Only that memory is bounded, never the text.
+    Strings of the file's special tokens inside a text become those tokens' ids, as in the library. The file's
+    vocabulary is loaded as merge ranks, which encode a new part several times faster; ids of parts met before are kept,
+    in two generations of at most ``most_bytes`` each. Only that memory is bounded, never the text.
     """
 
-    def __init__(self, vocabulary: str, most_kept: int = 450_000, longest_kept: int = 48):
+    #: What an entry takes besides its part and ids: two objects and a place in the table.
+    ENTRY_BYTES = 200
+
+    def __init__(self, vocabulary: str, most_bytes: int = 16 << 20, longest_kept: int = 48):
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as file:
             spec = json.load(file)
-        letters, special = _byte_of_letter(), {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
+        letters, added = _byte_of_letter(), spec.get("added_tokens", [])
+        if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.special = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
+        self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in self.special}
         self.encoding = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.single = self.encoding._core_bpe.encode_single_piece
-        self.most_kept, self.longest_kept = most_kept, longest_kept
+        self.most_bytes, self.longest_kept = most_bytes, longest_kept
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _new(self, part: str) -> bytes:
         ids = self.older.get(part)
@@ -60,13 +69,13 @@ class TextEncoder:
             found = self.single(part.encode()) if word.isalpha() else self.encoding.encode_ordinary(part)
             ids = array("I", found).tobytes()
         if len(part) <= self.longest_kept:
-            if len(self.kept) >= self.most_kept:
-                self.older, self.kept = self.kept, {}
+            if self.held >= self.most_bytes:
+                self.older, self.kept, self.held = self.kept, {}, 0
             self.kept[part] = ids
+            self.held += self.ENTRY_BYTES + len(part) + len(ids)
         return ids
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
+    def _ordinary(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
             cut = _CUT.split(text)
             parts = cut[:1] + [" " + x for x in cut[1:]]
@@ -77,5 +86,17 @@ class TextEncoder:
             ids = [x if x is not None else self._new(p) for p, x in zip(parts, ids, strict=True)]
         return b"".join(ids)
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if self.parting is None or not any(x in text for x in self.special):
+            return self._ordinary(text)
+        return b"".join(self.special[x] if k % 2 else self._ordinary(x) for k, x in enumerate(self.parting.split(text)))
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(vocabulary: str) -> TextEncoder:
+    """The encoder of this worker process: read once, whatever the number of tasks that it runs."""
+    return TextEncoder(vocabulary)

@@ -11,9 +11,10 @@ DOCS = "doc_id long, text string, piece string, length int"
 
 def test_encoder_equals_the_tokenizers_library():
     library = Tokenizer.from_file(tokens.default_vocabulary())
-    library.encode_special_tokens = True
-    encoder, draw = tokens.TextEncoder(tokens.default_vocabulary(), most_kept=50), random.Random(1)
+    encoder, draw = tokens.TextEncoder(tokens.default_vocabulary(), most_bytes=20_000), random.Random(1)
     texts = ["", " ", "a  b", "a   b \n c\n\n  d", " \n \nx  ", "<|endoftext|> a", "it's  'll", " é  x ", "The quick, brown fox."]
+    texts += ["<|endoftext|>", "a <|endoftext|>", "a  <|endoftext|><|endoftext|>  b\n", "x<|endoftext|", "it <|endoftext|>'s <|ENDOFTEXT|>"]
+    texts += ["".join(draw.choice(["a ", " b", "<|endoftext|>", " ", "\n"]) for _ in range(draw.randint(0, 9))) for _ in range(500)]
     texts += ["".join(draw.choice(" \n\t ab1.'é\r sß%") for _ in range(draw.randint(0, 14))) for _ in range(3000)]
     for text in texts:
         assert library.encode(text, add_special_tokens=False).ids == encoder.encode(text).tolist(), repr(text)
@@ -61,9 +62,9 @@ def test_planning_on_counts_equals_best_fit_decreasing(seed):
 
 def test_documents_of_all_kinds_are_packed_whole(spark):
     rows = [(1, None, "x", 9), (None, "no id", "x", 9), (2, "", "x", 9), (3, "word " * 3000, "x", 9), (4, "same", "x", 9), (4, "same", "x", 9)]
-    rows += [(10 + k, "copy of a text", "x", 9) for k in range(1200)]
+    rows += [(10 + k, "copy of a text", "x", 9) for k in range(1200)] + [(None, "no id", "x", 9)] * 1300
     got = packing.packed_documents(spark.createDataFrame(rows, DOCS)).toPandas()
-    assert sorted(got[got.doc_id.isin([1, 2])].length) == [1, 1] and len(got[got.doc_id == 4]) == 2
+    assert len(got) == len(rows) - 1 + len(got[got.doc_id == 3]) and sorted(got[got.doc_id.isin([1, 2])].length) == [1, 1] and len(got[got.doc_id == 4]) == 2
     long = got[got.doc_id == 3].sort_values("piece")
     assert long.length.tolist()[1:] == [1024] * (len(long) - 1) and long.start.tolist() == [0, *np.cumsum(long.length)[:-1]]
     for _, own in got.groupby("sequence_id"):
