@@ -27,7 +27,7 @@ from claimscope.llm.tokens import default_vocabulary, worker_encoder
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that a numbering window sees at once, on average.
-RANK_GROUP = 2000
+RANK_GROUP = 1000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 

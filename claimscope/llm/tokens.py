@@ -43,7 +43,7 @@ class TextEncoder:
     #: What an entry takes besides its part and ids: two objects and a place in the table.
     ENTRY_BYTES = 200
 
-    def __init__(self, vocabulary: str, most_bytes: int = 16 << 20, longest_kept: int = 48):
+    def __init__(self, vocabulary: str, most_bytes: int = 40 << 20, longest_kept: int = 48):
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as file:
