@@ -140,12 +140,12 @@ def keep_first(docs: DataFrame, words: int = resemblance.WORDS, similarity: floa
     their texts; of rows with the same id and text one stays.
     """
     found = resemblance.groups(docs, words, similarity)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    first = stored(found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).select("first.doc_id", "first.tie", "rows"), "kept")
-    kept = first.select(F.col("doc_id").alias("__kept"), F.col("tie").alias("__text"))
+    rows = found.groupBy("root", "doc_id", "tie").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "rows")
+    kept = stored(rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.tie").alias("__text"), (F.col("first.rows") > 1).alias("__many")), "kept")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__tie", F.xxhash64(text_or_empty()))
-    # always by shuffle: the kept ids grow with the corpus, and a plan that changes with its size cannot be projected
-    out = rows.join(kept.hint("merge"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__tie") == F.col("__text")), "left_semi")
-    if first.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates(["__id", "__tie"])
-    return out.drop("__id", "__tie")
+    # by shuffle: the kept ids grow with the corpus, so a broadcast of them has no bound
+    out = rows.join(kept.hint("merge"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__tie") == F.col("__text")))
+    # where a kept id and text stand in several rows, one of them stays
+    many = out.where("__many").dropDuplicates(["__id", "__tie"])
+    return out.where("not __many").unionByName(many).select(*docs.columns)
