@@ -96,10 +96,10 @@ def test_stage_drops_copies_of_five_word_similarity(spark):
     assert {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()} == want
 
 
-@pytest.mark.parametrize("rounds", [1, 6])
-def test_groups_are_the_closure_of_all_similar_pairs(spark, monkeypatch, rounds):
-    monkeypatch.setattr(resemblance, "ROUNDS", rounds)
-    draw = random.Random(rounds)
+@pytest.mark.parametrize("centres", [1, 16])
+def test_groups_are_the_closure_of_all_similar_pairs(spark, monkeypatch, centres):
+    monkeypatch.setattr(resemblance, "CENTRES", centres)
+    draw = random.Random(centres)
     texts = []
     for c in range(3):
         words = [f"c{c}w{k}" for k in range(150)]
