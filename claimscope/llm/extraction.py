@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text, each with its root-to-leaf path of block tags. Per path the text length, the
-punctuation and the number of blocks are summed; length and punctuation per block, both damped by the share of link
-text, are smoothed over the paths in page order, fused by their geometric mean, and gathered by the containers that
-hold the paths. Containers that reach a share of the best one hold the article; their blocks are the content, except
-for paths made of links. Elements that are never part of an article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments), told by tag, role, class or id, take no part.
+A page is read once into blocks of text, each with its root-to-leaf path of block tags. Per path the text length and the
+punctuation per block, both damped by the share of link text, are smoothed over the paths in page order and fused by
+their geometric mean. A path counts with its container's share of the page's text (an element inside a container takes
+part in that, less so in boxes of its own), headings with the path that they announce, paths inside an article or main
+element ``MARKED`` times, and those whose class or id speaks of menus, sidebars,
+footers, adverts, notices or comments a tenth. Paths that reach a
+share of the best one are the content; inside a marked article a smaller share is enough. Elements that are never part
+of an article by the meaning of their tag or role (menus, footers, sidebars, forms, scripts, styles, a page's header) or
+that are hidden take no part.
 
 Nulls: null html is an empty page with an empty text; null page_id and url are passed through. Each page is read by
 itself, whole, whatever its length; repeated rows give equal texts and an empty table no rows. Extra columns are ignored.
@@ -17,6 +20,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,16 +29,14 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.common import row_blocks
 
-#: Of the best container's score; half the weight of a path goes to its neighbours in page order.
-LEAST_SHARE, NEIGHBOURS = 0.2, 0.25
-#: A marked article of such a share of the best container's score is taken for the article.
-LEAST_MARKED = 0.1
-MOST_LINKED = 0.6
+#: Of the best path's score, outside and inside of a marked article; half the weight of a path goes to its neighbours.
+LEAST_SHARE, LEAST_INSIDE, NEIGHBOURS = 0.3, 0.02, 0.25
+MARKED, NAMED, BOXED = 20.0, 0.1, 0.5
 DEEPEST = 128
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|iframe|noscript|noembed|noframes|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s++|/|[^\s>\"'=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']*+))?+)*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)[^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
@@ -42,23 +44,26 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_SVG_END = re.compile(r"</svg\s*>", re.I)
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_NEVER = frozenset("nav footer aside form button dialog menu head fieldset input audio video canvas map".split())
+_NEVER = frozenset("nav footer aside form button dialog menu head fieldset input select object template audio video canvas map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN = frozenset("article main".split())
 _CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of these tags first.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_NAMED = re.compile(
-    r"^(?:ads?|advert\w*|adv|adsense|adbox|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|aside|foot(?:er)?\w*|header|masthead|topbar|"
-    r"cookies?\w*|consent\w*|gdpr|notices?|notification\w*|alert\w*|disclaimer|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|"
-    r"comments?\w*|commentlist|replies|reply|respond|disqus\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|widget\w*|toolbar\w*|paginat\w*|pager|search\w*|skip)$"
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Boxes that stand apart from what is around them.
+_BOXES = frozenset("div section td".split())
+#: What a class or id calls menus, sidebars, footers, adverts, notices and reader comments, and words that say that it
+#: stands around them.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsored cookie cookies consent notice newsletter nav navigation menu breadcrumbs sidebar footer related share social "
+    "comment comments commentlist disqus replies respond".split()
 )
-_COMMENTS = frozenset("comment comments commentlist disqus replies".split())
 _AROUND = frozenset("has with no without wrapper container layout".split())
-_ARTICLE = frozenset("article entry post story".split())
 _PART = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?、。，．；！？…]")
 _DIGITS = re.compile(r"\d+")
@@ -69,28 +74,16 @@ class Block(NamedTuple):
     container: str
     text: str
     linked: int
-
-
-def _unwanted(word: str) -> bool:
-    """Whether a class or id names something that is no part of an article."""
-    parts = {p.lower() for p in _PART.split(word)}
-    if parts & _COMMENTS:
-        return True
-    if parts & _AROUND:  # has-sidebar, nav-wrapper: what stands around both
-        return False
-    if parts & _ARTICLE:  # an article's own header holds its title
-        parts.discard("header")
-    return any(map(_NAMED.match, parts)) or bool(_NAMED.match(word.lower())) and word.lower() != "header"
+    heading: bool
 
 
 def _attributes(attrs: str) -> tuple[str, bool]:
-    """What names an element, and whether that marks it as no part of an article."""
+    """What names an element, and whether it is never content."""
     name, never = "", False
     for key, *values in _ATTR.findall(attrs):
         value, key = next((v for v in values if v), ""), key.lower()
         if key in ("class", "id"):
-            name += "." + _DIGITS.sub("", value)
-            never = never or any(map(_unwanted, value.split()))
+            name += "." + _DIGITS.sub("", value).replace("/", "").replace(" ", ".")
         elif key == "role":
             never = never or value.lower() in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -116,7 +109,7 @@ def blocks(page: str) -> list[Block]:
                 path = stack[-1][1] if stack else ""
                 # headings and paragraphs belong to the element around them
                 container = path.rpartition("/")[0] if stack and stack[-1][0] not in ("div", "section", "article", "main", "body", "td") else path
-                out.append(Block(path, container, text, linked))
+                out.append(Block(path, container, text, linked, bool(stack) and stack[-1][0] in _HEADINGS))
             words.clear()
         linked = 0
 
@@ -128,7 +121,10 @@ def blocks(page: str) -> list[Block]:
             never -= bad
             within -= tag in _MAIN
 
+    after, pictures = 0, True  # the end of the picture that is being left out; whether one can still be closed
     for m in _TOKEN.finditer(page):
+        if m.start() < after:
+            continue
         text = m["text"]
         if text is not None:
             if not never:
@@ -140,6 +136,11 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, end = tag.lower(), m["end"] or m["end2"]
+        if tag == "svg":  # a picture, left out with all that it holds; one that is never closed holds nothing
+            if pictures and not end and not m[0].endswith("/>"):
+                closed = _SVG_END.search(page, m.end())
+                pictures, after = closed is not None, closed.end() if closed else after
+            continue
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if end else 1
@@ -169,9 +170,7 @@ def blocks(page: str) -> list[Block]:
                     break
         flush()
         name, bad = _attributes(m["attrs"]) if m["attrs"] else ("", False)
-        if tag in _MAIN:  # only what calls itself a comment or an advert is none
-            bad = bad and within > 0 or any(w.lower() in _COMMENTS or w.lower() in ("teaser", "related", "promo", "ad") for w in name.replace(".", " ").split())
-        bad = tag not in ("html", "body") and (bad or tag in _NEVER or tag == "header" and not within)
+        bad = tag not in ("html", "body", *_MAIN) and (bad or tag in _NEVER or tag == "header" and not within)
         above = stack[-1][1] if stack else ""
         # deeper elements share the path of the last named one: paths stay short on runaway nesting
         stack.append((tag, f"{above}/{tag}{name}" if len(stack) < DEEPEST else above, bad))
@@ -181,40 +180,62 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def content(found: list[Block]) -> list[str]:
-    """The texts of the content blocks."""
-    if not found:
-        return []
-    paths: dict[str, list[float]] = {}  # in page order: length, punctuation, blocks, linked
+def _prior(path: str) -> float:
+    """What the path's names say before its text is looked at."""
+    parts = path.split("/")
+    tags = [x.partition(".")[0] for x in parts]
+    words = [{p.lower() for p in _PART.split(name)} for x in parts for name in x.split(".")[1:]]
+    named = any(not _NAMES.isdisjoint(w) and _AROUND.isdisjoint(w) for w in words)
+    return (MARKED if not _MAIN.isdisjoint(tags) else 1.0) * (NAMED if named else 1.0)
+
+
+def scores(found: list[Block]) -> dict[str, float]:
+    """The score of each path, in page order."""
+    paths: dict[str, list[float]] = {}  # length, punctuation, blocks, linked
+    own: dict[str, float] = {}  # text that is no link, by container
+    announces: dict[str, str] = {}  # the path after a heading's path, in its container
+    heading: Block | None = None
     for b in found:
         sums = paths.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         for k, x in enumerate((len(b.text), len(_PUNCTUATION.findall(b.text)), 1, b.linked)):
             sums[k] += x
-    names = list(paths)
+        own[b.container] = own.get(b.container, 0.0) + max(0, len(b.text) - b.linked)
+        if heading and not b.heading and b.path.startswith(heading.container.rpartition("/")[0]):
+            announces.setdefault(heading.path, b.path)
+        heading = b if b.heading else None
+    names, priors = list(paths), {p: _prior(p) for p in paths}
     plain = [max(0.0, 1 - linked / max(length, 1)) for length, _, _, linked in paths.values()]
     ratios = [(p * length / n, p * (1 + marks) / n) for p, (length, marks, n, _) in zip(plain, paths.values(), strict=True)]
-    fused = []
-    for k in range(len(names)):
+    most = max(own.values()) or 1.0
+
+    @lru_cache(maxsize=None)
+    def share(container: str) -> float:
+        if not container:
+            return math.sqrt(own.get(container, 0.0) / most)
+        above, _, last = container.rpartition("/")
+        inherited = share(above) * (BOXED if last.partition(".")[0] in _BOXES else 1.0) if above else 0.0
+        return max(math.sqrt(own.get(container, 0.0) / most), inherited)
+
+    containers = {b.path: b.container for b in found}
+    out: dict[str, float] = {}
+    for k, name in enumerate(names):
         near = [ratios[j] for j in (k - 1, k + 1) if 0 <= j < len(names)]
         smooth = [(1 - NEIGHBOURS * len(near)) * ratios[k][i] + NEIGHBOURS * sum(x[i] for x in near) for i in (0, 1)]
-        fused.append(plain[k] * math.sqrt(smooth[0] * smooth[1]))
-    by_path = dict(zip(names, fused, strict=True))
-    by_container: dict[str, float] = {}
-    for b in found:  # a container counts by its text, weighted with its paths' ratios
-        by_container[b.container] = by_container.get(b.container, 0.0) + by_path[b.path] * math.sqrt(len(b.text))
-    least = LEAST_SHARE * max(by_container.values())
-    best = max(by_container, key=by_container.__getitem__)
-    marked = {c: x for c, x in by_container.items() if any(f"/{tag}" in c for tag in _MAIN)}
-    if marked and max(marked.values()) >= LEAST_MARKED * by_container[best]:
-        best = max(marked, key=marked.__getitem__)
-    if any(f"/{tag}" in best for tag in _MAIN):  # where the page marks its article, nothing outside is part of it
-        root = next(best[: m.end()] for m in re.finditer(r"/(?:article|main)[^/]*", best))
-        chosen = {c for c in by_container if (c + "/").startswith(root + "/")}
-    else:
-        chosen = {c for c, x in by_container.items() if x >= least and x > 0}
-        chosen |= {c for c in by_container if any((c + "/").startswith(k + "/") for k in chosen)}
-    linked = {p for p, s in paths.items() if s[3] > MOST_LINKED * s[0]}
-    return [b.text for b in found if b.container in chosen and b.path not in linked]
+        out[name] = plain[k] * math.sqrt(smooth[0] * smooth[1]) * share(containers[name]) * priors[name]
+    for path, following in announces.items():
+        out[path] = max(out[path], min(1.0, priors[path] / priors[following]) * out[following])
+    return out
+
+
+def content(found: list[Block]) -> list[str]:
+    """The texts of the content blocks."""
+    if not found:
+        return []
+    by_path = scores(found)
+    best = max(by_path.values())
+    inside = {p: _prior(p) >= MARKED for p in by_path}
+    chosen = {p for p, x in by_path.items() if x > 0 and x >= (LEAST_INSIDE if inside[p] else LEAST_SHARE) * best}
+    return [b.text for b in found if b.path in chosen]
 
 
 def main_text(page: str) -> str:
