@@ -1,16 +1,17 @@
-"""Benchmark decontamination: BM25 over test items with block-max WAND, then exact overlap.
+"""Benchmark decontamination: BM25 over test items with block-max WAND, then exact overlap of question and answer.
 
-Each test item is indexed by its word pairs, with BM25 impacts divided by the item's score for itself, so that a score
-of 1 means that a passage holds all of the item and one threshold serves items of all lengths. Every document is cut
-into overlapping passages of twice the longest item at least; each passage is a query, and all items above the
-threshold are retrieved: passages whose terms' greatest impacts do not sum up to the threshold have no pivot and are
-left out at once, the others walk the postings with block maxima. A retrieved item is a leak if at least 0.8 of its
-words lie in five-word shingles that the document holds too; the shares in its question (all but its last line or
-sentence) and its answer are reported.
+Each test item is indexed by its word pairs (an item of one word by that word), with BM25 impacts divided by the item's
+score for itself, so that a score of 1 means that a passage holds all of the item and one threshold serves items of all
+lengths. Every document is cut into overlapping passages of twice the longest item at least; each passage is a query,
+and all items above the threshold are retrieved: passages whose terms' greatest impacts do not sum up to the threshold
+have no pivot and are left out at once, the others walk the postings with block maxima. A retrieved item is verified
+in the surroundings of every passage that retrieved it: a word of the item is held if it lies in a shingle of five words
+(or of all words of a shorter item) that stands there. The item is a leak if at least 0.8 of its words are held, or 0.8 of
+its question (all but its last line or sentence); both shares are reported.
 
-Words are lower-cased runs of letters and digits. Items of fewer than five words name no passage and are not indexed.
-Items are indexed in blocks of at most ``BLOCK_ITEMS``, one pass over the documents each, so what is broadcast is
-bounded by a block.
+Words are lower-cased runs of letters and digits, and single characters of scripts that put no blanks between words.
+Items without words name no passage. Items are indexed in blocks of at most ``BLOCK_ITEMS``, one pass over the documents
+each, so what is broadcast is bounded by a block.
 
 Nulls: null texts of documents or items are empty; a null ``doc_id`` is passed through, a null ``item_id`` too. Repeated
 documents and items give repeated rows. Empty tables give no rows. Extra columns are ignored by ``leaks`` and kept by
@@ -19,10 +20,8 @@ documents and items give repeated rows. Empty tables give no rows. Extra columns
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -38,12 +37,12 @@ from claimscope.llm.common import row_blocks, text_or_empty
 THRESHOLD = 0.5
 OVERLAP, SHINGLE = 0.8, 5
 K1, B = 1.2, 0.75
-LEAST_PASSAGE, POSTING_BLOCK, BLOCK_ITEMS = 128, 8, 2000
-_WORD = re.compile(r"\w+")
+LEAST_PASSAGE, POSTING_BLOCK, BLOCK_ITEMS = 128, 8, 20_000
+#: Kana, Han, Thai, Lao, Burmese and Khmer.
+_UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}](?<=\w)|[^\W{_UNSPACED}]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
-Pair = tuple[int, int]
-
 
 class Leak(NamedTuple):
     item: int
@@ -67,47 +66,52 @@ def question_words(text: str) -> int:
 
 
 class Index:
-    """Postings of a block of items with normalised impacts and block maxima."""
+    """Postings of a block of items with normalised impacts and block maxima; arrays, as a block may hold many items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         tokened = [(i, words(t), question_words(t)) for i, t in items]
-        self.items = sorted((x for x in tokened if len(x[1]) >= SHINGLE), key=lambda x: len(x[1]))
+        self.items = sorted((x for x in tokened if x[1]), key=lambda x: len(x[1]))
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws, _ in self.items for w in ws}))}
-        pairs = [Counter(zip(own, own[1:], strict=False)) for _, ws, _ in self.items for own in [[self.vocabulary[w] for w in ws]]]
-        found = Counter(p for c in pairs for p in c)
-        n, mean = len(pairs), sum(sum(c.values()) for c in pairs) / max(1, len(pairs))
-        postings: dict[Pair, list[tuple[int, float]]] = {}
-        for at, c in enumerate(pairs):
-            room = K1 * (1 - B + B * sum(c.values()) / mean)
-            impact = {p: math.log(1 + (n - found[p] + 0.5) / (found[p] + 0.5)) * tf * (K1 + 1) / (tf + room) for p, tf in c.items()}
-            own = sum(impact.values())
-            for p, x in impact.items():
-                postings.setdefault(p, []).append((at, x / own))
-        size = max(1, len(self.vocabulary))
-        terms = sorted(postings)
-        self.keys = np.array([a * size + b for a, b in terms], dtype=np.int64)
-        self.size = size
-        self.ids = [[at for at, _ in postings[p]] for p in terms]
-        self.impacts = [[x for _, x in postings[p]] for p in terms]
-        self.greatest = np.array([max(x) for x in self.impacts])
-        #: per term: greatest impact in each block of POSTING_BLOCK items that it occurs in
-        self.maxima: list[dict[int, float]] = []
-        for ids, impacts in zip(self.ids, self.impacts, strict=True):
-            own: dict[int, float] = {}
-            for at, x in zip(ids, impacts, strict=True):
-                own[at // POSTING_BLOCK] = max(x, own.get(at // POSTING_BLOCK, 0.0))
-            self.maxima.append(own)
+        self.size = size = len(self.vocabulary) + 1  # the last code stands after an item of one word
+        parts = []
+        for at, (_, ws, _) in enumerate(self.items):
+            w = np.array([self.vocabulary[x] for x in ws] + [size - 1] * (len(ws) == 1), dtype=np.int64)
+            terms, tf = np.unique(w[:-1] * size + w[1:], return_counts=True)
+            parts.append((terms, np.full(len(terms), at, dtype=np.int32), tf))
+        terms, ids, tf = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (list(zip(*parts, strict=True)) or [(), (), ()]))
+        order = np.lexsort((ids, terms))
+        terms, ids, tf = terms[order], ids[order], tf[order].astype(float)
+        #: the postings of term k are those from starts[k] to starts[k + 1]
+        self.keys, first, found = np.unique(terms, return_index=True, return_counts=True)
+        self.starts = np.append(first, len(terms))
+        lengths = np.bincount(ids, tf, len(self.items)) if len(self.items) else np.zeros(0)
+        n, df = len(self.items), np.repeat(found, found)
+        room = K1 * (1 - B + B * lengths[ids] / (lengths.mean() if n else 1))
+        impact = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + room)
+        self.ids, self.impacts = ids.astype(np.int32), impact / np.bincount(ids, impact, n)[ids] if n else impact
+        self.greatest = np.maximum.reduceat(self.impacts, first) if n else np.zeros(0)
         self.passage = max([LEAST_PASSAGE, *(2 * len(ws) for _, ws, _ in self.items)])
+        self.single = {ws[0] for _, ws, _ in self.items if len(ws) == 1}
+
+    def postings(self, term: int) -> tuple[list[int], list[float], dict[int, float]]:
+        """Items and impacts of a term, and its greatest impact in each block of POSTING_BLOCK items that it occurs in."""
+        a, b = self.starts[term], self.starts[term + 1]
+        ids, impacts, maxima = self.ids[a:b].tolist(), self.impacts[a:b].tolist(), {}
+        for at, x in zip(ids, impacts, strict=True):
+            maxima[at // POSTING_BLOCK] = max(x, maxima.get(at // POSTING_BLOCK, 0.0))
+        return ids, impacts, maxima
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items whose impacts over the given distinct terms reach the threshold, by block-max WAND."""
-        cursors = [[self.ids[t][0], 0, t] for t in terms]
+        lists = [self.postings(t) for t in terms]
+        greatest = self.greatest[terms].tolist()
+        cursors = [[ids[0], 0, k] for k, (ids, _, _) in enumerate(lists)]
         out = []
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for k, (_, _, t) in enumerate(cursors):
-                bound += self.greatest[t]
+                bound += greatest[t]
                 if bound >= THRESHOLD - 1e-9:
                     pivot = k
                     break
@@ -117,13 +121,13 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // POSTING_BLOCK
-            if sum(self.maxima[t].get(block, 0.0) for _, _, t in cursors[: pivot + 1]) < THRESHOLD - 1e-9:
+            if sum(lists[t][2].get(block, 0.0) for _, _, t in cursors[: pivot + 1]) < THRESHOLD - 1e-9:
                 upto = (block + 1) * POSTING_BLOCK  # no item of this block before the next cursor can reach it
                 if pivot + 1 < len(cursors):
                     upto = min(upto, cursors[pivot + 1][0])
             else:
                 if cursors[0][0] == item:
-                    total = sum(self.impacts[t][at] for _, at, t in cursors[: pivot + 1])
+                    total = sum(lists[t][1][at] for _, at, t in cursors[: pivot + 1])
                     if total >= THRESHOLD - 1e-9:
                         out.append((item, total))
                     upto = item + 1
@@ -131,61 +135,69 @@ class Index:
                     upto = item
             for c in cursors[: pivot + 1]:
                 if c[0] < upto:
-                    ids = self.ids[c[2]]
+                    ids = lists[c[2]][0]
                     c[1] = bisect_left(ids, upto, c[1])
                     c[0] = ids[c[1]] if c[1] < len(ids) else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def overlap(self, at: int, doc_words: list[str]) -> Leak | None:
-        """The item's words in shingles that the document's words hold; None under ``OVERLAP``."""
-        item, ws, question = self.items[at]
-        held = set(zip(*(doc_words[k:] for k in range(SHINGLE)), strict=False))
+    def held(self, at: int, found: list[str]) -> np.ndarray:
+        """Which words of the item lie in a shingle that stands in the given words."""
+        ws = self.items[at][1]
+        n = min(SHINGLE, len(ws))
+        there = set(zip(*(found[k:] for k in range(n)), strict=False))
         covered = np.zeros(len(ws), dtype=bool)
-        for k, s in enumerate(zip(*(ws[k:] for k in range(SHINGLE)), strict=False)):
-            if s in held:
-                covered[k : k + SHINGLE] = True
-        if covered.mean() < OVERLAP:
-            return None
-        return Leak(item, 0.0, float(covered[:question].mean()), float(covered[question:].mean()) if question < len(ws) else None)
+        for k, s in enumerate(zip(*(ws[k:] for k in range(n)), strict=False)):
+            if s in there:
+                covered[k : k + n] = True
+        return covered
 
     def search(self, text: str) -> list[Leak]:
         """The leaks of a document, each item once, with its best passage's score."""
         found = words(text)
-        if len(found) < 2 or not len(self.keys):
+        if not found or not len(self.keys):
             return []
         get = self.vocabulary.get
         w = np.array([get(x, -1) for x in found], dtype=np.int64)
         first = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0))
+        key = w[first] * self.size + w[first + 1]
+        if self.single:  # an item of one word stands wherever the word does
+            alone = np.array([k for k, x in enumerate(found) if x in self.single], dtype=np.int64)
+            first, key = np.concatenate([first, alone]), np.concatenate([key, w[alone] * self.size + self.size - 1])
+            order = np.argsort(first, kind="stable")
+            first, key = first[order], key[order]
         if not len(first):
             return []
-        key = w[first] * self.size + w[first + 1]
         term = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[term] == key
         first, term = first[hit], term[hit]
         if not len(first):
             return []
         sums = np.concatenate([[0.0], np.cumsum(self.greatest[term])])
-        starts = np.arange(0, max(1, len(found) - self.passage // 2), self.passage // 2)
-        low, high = np.searchsorted(first, starts), np.searchsorted(first, starts + self.passage - 1)
-        best: dict[int, tuple[float, int]] = {}
+        half = self.passage // 2
+        starts = np.arange(0, max(1, len(found) - half), half)
+        low, high = np.searchsorted(first, starts), np.searchsorted(first, starts + self.passage)
+        best: dict[int, float] = {}
+        covered: dict[int, np.ndarray] = {}
         for k in np.flatnonzero(sums[high] - sums[low] >= THRESHOLD - 1e-9):
             own = list(dict.fromkeys(term[low[k] : high[k]].tolist()))
             if self.greatest[own].sum() < THRESHOLD - 1e-9:
                 continue
+            near = found[max(0, int(starts[k]) - half) : int(starts[k]) + self.passage + half]
             for at, score in self.retrieve(own):
-                if score > best.get(at, (0.0, 0))[0]:
-                    best[at] = score, int(starts[k])
+                best[at] = max(score, best.get(at, 0.0))
+                covered[at] = self.held(at, near) | covered.get(at, False)
         out = []
-        for at, (score, start) in sorted(best.items()):
-            near = found[max(0, start - self.passage // 2) : start + self.passage + self.passage // 2]
-            if leak := self.overlap(at, near):
-                out.append(leak._replace(score=score))
+        for at, score in sorted(best.items()):
+            item, ws, question = self.items[at]
+            asked, answered = float(covered[at][:question].mean()), float(covered[at][question:].mean()) if question < len(ws) else None
+            if covered[at].mean() >= OVERLAP or asked >= OVERLAP:
+                out.append(Leak(item, score, asked, answered))
         return out
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items in blocks; each holds at most about ``BLOCK_ITEMS`` items."""
+    """Indexes of the items in blocks; each holds about ``BLOCK_ITEMS`` items at most, and takes about 1 KB an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))

@@ -112,11 +112,65 @@ def test_wand_retrieves_all_above_the_threshold():
         terms = list(set(draw.sample(terms, int(len(terms) * draw.random()))) | set(draw.sample(range(len(index.keys)), 30)))
         scores: Counter = Counter()
         for t in terms:
-            for at, x in zip(index.ids[t], index.impacts[t], strict=True):
+            for at, x in zip(*index.postings(t)[:2], strict=True):
                 scores[at] += x
         assert {at for at, _ in index.retrieve(terms)} == {at for at, x in scores.items() if x >= decontamination.THRESHOLD - 1e-9}
 
 
+def _plain_leaks(items, text):
+    """All items by scoring every passage for every item, word by word."""
+    split = lambda t: decontamination.words(t)
+    known = [(i, split(t), decontamination.question_words(t)) for i, t in items if split(t)]
+    terms = [Counter(zip(ws, ws[1:], strict=False)) if len(ws) > 1 else Counter([(ws[0], None)]) for _, ws, _ in known]
+    df, mean, n = Counter(t for c in terms for t in c), sum(sum(c.values()) for c in terms) / len(terms), len(terms)
+    found, passage = split(text), max([128, *(2 * len(ws) for _, ws, _ in known)])
+    out = set()
+    for (item, ws, question), c in zip(known, terms, strict=True):
+        impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, tf in c.items()}
+        covered = [False] * len(ws)
+        for start in range(0, max(1, len(found) - passage // 2), passage // 2):
+            own = found[start : start + passage + 1]
+            there = set(zip(own, own[1:], strict=False)) | {(x, None) for x in own[:passage]}
+            if sum(impact[t] for t in impact if t in there) < (0.5 - 1e-9) * sum(impact.values()):
+                continue
+            near, m = found[max(0, start - passage // 2) : start + passage + passage // 2], min(5, len(ws))
+            stands = {tuple(near[k : k + m]) for k in range(len(near) - m + 1)}
+            for k in range(len(ws) - m + 1):
+                if tuple(ws[k : k + m]) in stands:
+                    covered[k : k + m] = [True] * m
+        if sum(covered) >= 0.8 * len(ws) or sum(covered[:question]) >= 0.8 * question:
+            out.add(item)
+    return out
+
+
+def test_leaks_against_scoring_every_passage():
+    draw = random.Random(21)
+    words, items = _items(draw, 40)
+    items += [(100, "kalo mite su"), (101, words[3]), (102, "日本の首都は東京である"), (103, "what is it " + words[5])]
+    index, hits = decontamination.Index(items), 0
+    for _ in range(150):
+        text = " ".join(draw.choice(words) for _ in range(draw.randint(0, 500)))
+        for _, passage in draw.sample(items, draw.randint(0, 3)):
+            part = passage.split(" ")
+            text += " " + " ".join(part[draw.choice([0, 0, len(part) // 6]) : draw.choice([len(part), len(part), 5 * len(part) // 6])])
+        got = {leak.item for leak in index.search(text)}
+        assert got == _plain_leaks(items, text)
+        hits += len(got)
+    assert hits > 100
+    assert {leak.item for leak in index.search("昨日、日本の首都は東京であると聞いた")} == {102}
+
+
+def test_a_leak_is_found_beside_a_passage_that_scores_higher():
+    draw = random.Random(22)
+    words, items = _items(draw, 20)
+    ws = items[4][1].split(" ")
+    pairs = [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+    draw.shuffle(pairs)
+    filler = " ".join(f"other{k}" for k in range(400))
+    text = " ".join(ws[: int(0.86 * len(ws))]) + " " + filler + " " + " zz ".join(pairs)
+    assert [leak.item for leak in decontamination.Index(items).search(text)] == [4]
+
+
 def test_leaks_in_documents_of_all_kinds(spark):
     draw = random.Random(7)
     words, items = _items(draw, 30)
@@ -171,7 +225,57 @@ def test_main_text_without_boilerplate():
     assert extraction.main_text("<article><p>cut off here <b") == "cut off here"
 
 
-@pytest.mark.parametrize("page", ["", "<", "<p " + "a" * 50000 + '"', '<p a="' * 5000, "<div>" * 5000 + "<p>x", "<!--" * 5000, "<script>" * 5000, "</p>" * 5000, "&#0;&bogus;" * 100, "<p><p>" * 20000])
+def test_foreign_elements_end_and_form_controls_hold_no_text():
+    assert extraction.main_text("<p>One, one.</p><svg/><p>Two <svg><title>no</title><text>no</text></svg>two, two.</p><select><option>no</select><p>Three<math/> three, <math><mi>x</mi></math>.</p>") == "One, one.\nTwo two, two.\nThree three, x."
+
+
+def test_ratios_decide_without_marked_articles():
+    """Pages of plain div elements: long paragraphs among link lists, an advert and a footer; and a short main beside the text."""
+    draw, found, wrong, right = random.Random(11), 0, 0, 0
+    prose = lambda n: " ".join("".join(draw.choice(["ka", "lo", "mi", "te"]) for _ in range(draw.randint(1, 4))) + draw.choice(["", "", "", ",", "."]) for _ in range(n)) + "."
+    for _ in range(60):
+        parts = [prose(draw.randint(20, 120)) for _ in range(draw.randint(3, 12))]
+        links = "".join(f"<li><a href=x>{prose(2)}</a></li>" for _ in range(8))
+        page = f"<body><div><ul>{links}</ul></div><div>{prose(8)}</div><div class=post><h1>{prose(5)}</h1>{''.join(f'<p>{p}</p>' for p in parts)}<ul>{links}</ul></div><div>&copy; {prose(5)}</div></body>"
+        got = extraction.main_text(page).split("\n")
+        found, wrong, right = found + len(parts), wrong + sum(x not in parts for x in got[1:]), right + sum(p in got for p in parts)
+    assert right == found and wrong <= 0.05 * found
+    beside = extraction.main_text(f"<main><p>Short, it is.</p></main><div class=post><p>{parts[0]}</p><p>{parts[1]}</p><p>{parts[2]}</p></div>").split("\n")
+    assert parts[0] in beside and parts[2] in beside and "Short, it is." in beside
+
+
+def _plain_scores(found):
+    """The scores by their definition, path by path."""
+    paths = list(dict.fromkeys(b.path for b in found))
+    of = {p: [b for b in found if b.path == p] for p in paths}
+    texts = {c: sum(max(0, len(b.text) - b.linked) for b in found if b.container == c) for c in {b.container for b in found}}
+    plain = {p: max(0.0, 1 - sum(b.linked for b in of[p]) / sum(len(b.text) for b in of[p])) for p in paths}
+    ratio = {p: (plain[p] * sum(len(b.text) for b in of[p]) / len(of[p]), plain[p] * (1 + sum(len(extraction._PUNCTUATION.findall(b.text)) for b in of[p])) / len(of[p])) for p in paths}
+
+    def share(container):
+        above = container.rpartition("/")[0]
+        own = math.sqrt(texts.get(container, 0) / (max(texts.values()) or 1))
+        return max(own, share(above) * (0.5 if container.rpartition("/")[2].split(".")[0] in ("div", "section", "td") else 1) if above else 0)
+
+    out = {}
+    for k, p in enumerate(paths):
+        near = paths[max(0, k - 1) : k] + paths[k + 1 : k + 2]
+        length, marks = (ratio[p][i] * (1 - 0.25 * len(near)) + 0.25 * sum(ratio[q][i] for q in near) for i in (0, 1))
+        out[p] = plain[p] * math.sqrt(length * marks) * share(of[p][0].container) * extraction._prior(p)
+    return out
+
+
+def test_scores_against_their_definition():
+    draw = random.Random(12)
+    for _ in range(200):
+        page = "".join(draw.choice(["<div>", "</div>", "<p>", "</p>", "<ul><li>", "</ul>", "<a href=x>link, it is</a>", "Some text, with marks. ", "more ", "<div class=ad>", "<main>", "</main>", "<section>", "</section>"]) for _ in range(60))
+        found = extraction.blocks(page)
+        if found:
+            want, got = _plain_scores(found), extraction.scores(found)
+            assert want.keys() == got.keys() and all(math.isclose(want[p], got[p], rel_tol=1e-9, abs_tol=1e-12) for p in want)
+
+
+@pytest.mark.parametrize("page", ["", "<", "<p " + "a" * 50000 + '"', '<p a="' * 5000, "<div>" * 5000 + "<p>x", "<!--" * 5000, "<script>" * 5000, "</p>" * 5000, "&#0;&bogus;" * 100, "<p><p>" * 20000, "<svg>" * 50000])
 def test_broken_pages_end(page):
     assert isinstance(extraction.main_text(page), str)
 
