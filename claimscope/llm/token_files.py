@@ -1,13 +1,15 @@
 """Token files in training order: a keyed permutation gives every sequence a global slot in fixed-stride shards.
 
-Texts become ids with an end id; the ids of a task's documents, one after another, are cut into sequences of ``length``
-ids, the last one of a task padded. Sequences are numbered without gaps: within each task as it writes its rows, and
-across tasks by the tasks' totals. A Feistel network keyed by ``seed`` permutes the numbers, walking its cycle until
-the value falls below the number of sequences. Slots are cut into ranges, one file each, in which every record has the
-same stride, so that a reader finds slot s by arithmetic and resumes anywhere. A record says which document its first
-id belongs to, how many of that document's ids come before, how many ids it has, and the ids. Behind the records of a
-shard an index lists the documents that begin inside a record, with their place; ``INDEX_STEP`` records apart it can be
-entered without reading what is before.
+Texts become ids with an end id; the ids of all documents, one after another in the order of the table (files by path,
+rows by place), are one stream that is cut into sequences of ``length`` ids, only the last of which is padded. A Feistel
+network keyed by ``seed`` permutes the sequences' numbers, walking its cycle until the value falls below the number of
+sequences: a slot depends on the table, its order and the seed, not on how the table is split among tasks. Each task
+counts the ids of its splits; where a split starts in the stream follows from the counts of the splits before it.
+(A table that is not read from files has the order of its partitions.) Slots are cut into ranges, one file each, in which
+every record has the same stride, so that a reader finds slot s by arithmetic and resumes anywhere. A record says which
+document its first id belongs to, how many of that document's ids come before, how many ids it has, and the ids. Behind
+the records of a shard an index lists the documents that begin inside a record, with their place; ``INDEX_STEP`` records
+apart it can be entered without reading what is before.
 
 Nulls: a null text is empty (the end id alone); a null ``doc_id`` comes back as null. Repeated rows are written as often
 as they occur. An empty table gives no files and no rows. Extra columns are ignored.
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,37 +109,48 @@ def permuted(index: np.ndarray, size: int, seed: int = SEED, rounds: int = 6) ->
     return out.astype(np.int64)
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, path, block): the file and the place in it at which a row's split starts; empty and 0 without files."""
+    chosen = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")]
+    try:
+        return docs.select(*chosen, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    except AnalysisException:
+        return docs.select(*chosen, F.lit("").alias("path"), F.lit(0).cast("long").alias("block"))
+
+
 def numbered_ids(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """Stored (part, start, doc_id, ids): ids as 16-bit integers; ``start`` counts the ids before them in their part."""
+    """Stored (part, path, block, start, doc_id, ids): ids as 16-bit integers; ``start`` counts the ids before them in their split."""
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, split, start = worker_encoder(vocabulary), TaskContext.get().partitionId(), None, 0
         for block in row_blocks(batches, 4 << 20):
             starts, ids = [], []
-            for text in block.column(1).to_pylist():
+            for text, *own_split in zip(*(block.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if own_split != split:
+                    split, start = own_split, 0
                 own = np.append(encoder.encode(text), np.uint32(end_id))
                 if own.max() > 0xFFFF:
                     raise ValueError("the vocabulary has ids of more than 16 bits")
                 starts.append(start)
                 ids.append(own.astype("<u2").tobytes())
                 start += len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(starts, pa.int64()), block.column(0), pa.array(ids, pa.binary())], ["part", "start", "doc_id", "ids"])
+            columns = [pa.array(np.full(len(ids), part, np.int32)), block.column(2), block.column(3), pa.array(starts, pa.int64()), block.column(0), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "path", "block", "start", "doc_id", "ids"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(chosen.mapInArrow(encode, "part int, start long, doc_id long, ids binary"), "ids")
+    return stored(_in_order(docs).mapInArrow(encode, "part int, path string, block long, start long, doc_id long, ids binary"), "ids")
 
 
 def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, vocabulary: str | None = None) -> DataFrame:
     """Write all documents' sequences in training order below ``folder``; returns the stored list of files."""
     spark = docs.sparkSession
     table = numbered_ids(docs, vocabulary=vocabulary)
-    # one row per task of the encoding job goes to the driver
-    ids = F.octet_length("ids") / 2
-    totals = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.ceil(F.sum(ids) / length).alias("n")).collect()}
-    starts, size = {}, 0
-    for part in sorted(totals):
-        starts[part], size = size, size + totals[part]
+    # one row per split of the encoding job goes to the driver, and back to the tasks
+    counts = table.groupBy("path", "block", "part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n")).collect()
+    starts, total = {}, 0
+    for path, block, part, n in sorted(map(tuple, counts)):
+        starts[path, block, part], total = total, total + n
+    size = -(-total // length)
     layout = record_type(length)
     per_shard = max(1, shard_bytes // layout.itemsize)
     base = spark.sparkContext.broadcast(starts)
@@ -163,11 +177,12 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
 
         held = 0
         for block in row_blocks(batches, 4 << 20):
-            for part, start, doc, ids in zip(*(c.to_pylist() for c in block.columns), strict=True):
+            for part, path, place, start, doc, ids in zip(*(c.to_pylist() for c in block.columns), strict=True):
                 own = np.frombuffer(ids, dtype="<u2")
+                start += base.value[path, place, part]
                 cuts = np.concatenate([[start], np.arange(start // length + 1, (start + len(own) - 1) // length + 1) * length, [start + len(own)]])
                 share = np.zeros(len(cuts) - 1, dtype=_SHARE)
-                share["slot"], share["doc_id"] = base.value[part] + cuts[:-1] // length, _NO_ID if doc is None else doc
+                share["slot"], share["doc_id"] = cuts[:-1] // length, _NO_ID if doc is None else doc
                 share["start"], share["at"], share["n"] = cuts[:-1] - start, cuts[:-1] % length, np.diff(cuts)
                 shares.append(share)
                 tokens.append(own)

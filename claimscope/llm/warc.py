@@ -11,7 +11,9 @@ hold the magic unpacked, and a chance hit in packed bytes does not decompress to
 
 Nulls: null html is an empty payload, a null url leaves out the target header, a null page_id comes back as null and is
 a response's only if no page of its payload has an id. Repeated rows that share the smallest page_id of their payload
-are all responses. Empty pages give no archives and no rows. Extra columns are ignored. A damaged member raises.
+are all responses. Empty pages give no archives and no rows. Extra columns are ignored. A damaged member is a row that
+holds only its archive, its place and what is wrong with it (``error``); reading goes on at the next member. The round
+trip raises on such a row, as its own archives have none.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from claimscope.llm.files import opened
 from claimscope.session import shared_path
 
 LEAST_BYTES = 0
-RANGE_BYTES = 4 << 20
+#: A task's byte range, and the most tasks that read at a time: beyond them, tasks take several ranges.
+RANGE_BYTES, MOST_TASKS = 128 << 20, 100_000
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed values of the format.
@@ -40,17 +43,20 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "<urn:page:"
 
-RECORDS = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORDS = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary, path string, offset long, error string"
 
 
 class Record(NamedTuple):
     page_id: int | None
-    record_type: str
+    record_type: str | None
     target_uri: str | None
-    payload_digest: str
-    payload_bytes: int
+    payload_digest: str | None
+    payload_bytes: int | None
     refers_to: int | None
     payload: bytes | None
+    path: str | None = None
+    offset: int | None = None
+    error: str | None = None
 
 
 def digest(payload: bytes) -> str:
@@ -171,16 +177,21 @@ def _next_member(source, start: int, end: int) -> int | None:
 
 
 def records_in(uri: str, start: int, end: int) -> Iterator[Record]:
-    """The records of an archive that start in a byte range."""
+    """The records of an archive that start in a byte range; a damaged member gives a record that holds only its error."""
     files, path = opened(uri)
     with files.open_input_file(path) as source:
         size, at = source.size(), _next_member(source, start, end)
         while at is not None and at < end:
-            found = _unpacked(source, at)
+            try:
+                found = _unpacked(source, at)
+                if found is not None:
+                    yield parsed(found[0])._replace(path=uri, offset=at)
+            except (ValueError, KeyError, StopIteration, zlib.error) as error:
+                yield Record(None, None, None, None, None, None, None, uri, at, f"{type(error).__name__}: {error}")
+                found = None
             if found is None:
-                at = _next_member(source, at, end)
+                at = _next_member(source, at + 1, end)
                 continue
-            yield parsed(found[0])
             at = found[1]
             if at < min(end, size) and source.read_at(len(MAGIC), at) != MAGIC:
                 at = _next_member(source, at, end)
@@ -191,10 +202,11 @@ def records_in(uri: str, start: int, end: int) -> Iterator[Record]:
 def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """The records of archives (path, size), read in byte ranges by as many tasks as there are ranges."""
     ranges = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    tasks = max(1, ranges.count())
+    tasks = max(1, min(MOST_TASKS, ranges.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string()]
+        schema = pa.schema(list(zip(Record._fields, kinds, strict=True)))
 
         def batch(rows: list[Record]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -217,4 +229,6 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     archives = write_archives(pages, shared_path(pages.sparkSession, "warc"))
-    return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_archives(archives, payloads=False)
+    whole = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", "path", "offset", "error")))
+    return found.select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
