@@ -50,10 +50,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release_shared() -> None:
-    """Remove every path made so far; results that were not yet written must not be read afterwards."""
-    while _made:
-        path, spark = _made.popitem()
+def release_shared(*paths: str) -> None:
+    """Remove the given paths, or every path made so far; what was not yet written from them cannot be read afterwards."""
+    for path in paths or list(_made):
+        spark = _made.pop(path, None)
+        if spark is None:
+            continue
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
