@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimscope.rules import ICON_URL, TWO_LEVEL_SUFFIXES
+from claimscope.rules import ICON_URL, SECOND_LEVELS
 
+_TWO_LEVELS = rf"^(?:{'|'.join(SECOND_LEVELS)})\.[a-z]{{2}}$"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -16,10 +17,14 @@ def host(url: Column) -> Column:
 
 
 def registered_domain(url: Column) -> Column:
-    """Public suffix and one label before it; the host itself where it is an address or a single label."""
+    """Public suffix and one label before it; the host itself where it is an address or a single label.
+
+    The suffix is the last label, or the last two where a registry's second level stands before a country code. By a
+    table of suffixes: ``operators.domains.registered``.
+    """
     own = host(url)
     two, three = F.substring_index(own, ".", -2), F.substring_index(own, ".", -3)
-    return F.when(own.rlike(r"^[0-9.]+$"), own).when(two.isin(*TWO_LEVEL_SUFFIXES), three).otherwise(two)
+    return F.when(own.rlike(r"^[0-9.]+$"), own).when(two.rlike(_TWO_LEVELS), three).otherwise(two)
 
 
 def absolute(link: Column, origin: Column) -> Column:

@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.session import stored
+
+
+#: Classes that a table of codes may hold.
+MOST_CLASSES = 100_000
+
+
+def codes(rows: DataFrame, label: str) -> DataFrame:
+    """(label, code): labels numbered from 0 in alphabetical order. The number of classes is checked before they are ranked."""
+    own = stored(rows.select(label).distinct().where(F.col(label).isNotNull()), "classes")
+    if own.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    return own.withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+
 
 def encoded(rows: DataFrame, label: str) -> DataFrame:
-    """Adds code: labels numbered from 0 in alphabetical order."""
-    codes = rows.select(label).distinct().where(F.col(label).isNotNull())
-    numbered = codes.withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))  # as many rows as classes
-    return rows.join(F.broadcast(numbered), label)
+    """Adds code, the number of the row's label."""
+    return rows.join(F.broadcast(codes(rows, label)), label)
+
+
+def decoded(rows: DataFrame, table: DataFrame, label: str) -> DataFrame:
+    """The inverse: adds the label of each row's code by a table of ``codes``."""
+    return rows.join(F.broadcast(table), "code").select(*rows.columns, label)
 
 
 def fit(weights: DataFrame, labels: DataFrame, key: str, alpha: float = 1.0) -> DataFrame:
     """(label, term, loglik, prior): smoothed log likelihoods for every class and known term.
 
-    ``weights``: key, term, w; ``labels``: key, label. Classes are few; terms times classes rows are made.
+    ``weights``: key, term, w, read twice and best a stored table; ``labels``: key, label. Classes are few; terms times
+    classes rows are made.
     """
     labelled = weights.join(labels.select(key, "label"), key)
-    sums = labelled.groupBy("label", "term").agg(F.sum("w").alias("sw"))
+    sums = stored(labelled.groupBy("label", "term").agg(F.sum("w").alias("sw")), "sums")
     classes = labels.join(weights.select(key).distinct(), key, "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     totals = sums.groupBy("label").agg(F.sum("sw").alias("total"))
     size = sums.agg(F.count_distinct("term").alias("v"), F.lit(1).alias("one"))

@@ -23,6 +23,10 @@ _BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table section article heade
 _STEP = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)?(?:#(?P<id>[\w-]+))?(?:\.(?P<cls>[\w-]+))?(?:\[(?P<attr>[\w-]+)=(?:\"(?P<quoted>[^\"]*)\"|(?P<bare>[^\]]*))\])?$")
 
 
+#: Site rules, and ban lines, that may be sent to every task.
+MOST_RULES = 100_000
+
+
 class Element:
     __slots__ = ("attrs", "children", "parent", "tag")
 
@@ -130,8 +134,12 @@ def _extracted(page: str, rules: list[tuple[str, str, str, str | None]]) -> tupl
 def extract(pages: DataFrame, rules: DataFrame, bans: DataFrame) -> DataFrame:
     """(url, domain, title, content) of pages (url, html) whose site has rules; the first rule that finds a title holds.
 
-    ``rules`` and ``bans`` as in ``claimscope.rules``: tables of a few rows, broadcast. Pages of other sites are left out.
+    ``rules`` and ``bans`` as in ``claimscope.rules``: their sizes are checked before they are sent to all tasks. Pages of
+    other sites are left out.
     """
+    for name, rows in (("rules", rules), ("ban lines", bans)):
+        if rows.limit(MOST_RULES + 1).count() > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} {name}")
     by_site = rules.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("priority", "title_sel", "body_sel", "stop_mode", "stop_text"))).alias("rules"))
     skip, stop = ([r["text"] for r in bans.where((F.col("mode") == m) & F.col("domain").isNull()).collect()] for m in ("skip", "break"))
     site = bans.where("domain is not null").groupBy(F.col("domain").alias("ban_domain")).agg(F.collect_set("text").alias("site_bans"))

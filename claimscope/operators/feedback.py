@@ -31,6 +31,12 @@ def rating_summary(ratings: DataFrame, key: str, dimensions: list[str]) -> DataF
     return means.withColumn("overall", overall(F.round(total, 6))).select(key, "ratings", *[F.round(d, 6).alias(d) for d in dimensions], "overall")
 
 
+def rated_links(links: DataFrame, ratings: DataFrame, key: str, dimensions: list[str]) -> DataFrame:
+    """Reported links with their ratings' means; links without ratings come with a count of 0. Ratings are summed before the join."""
+    summary = rating_summary(ratings, key, dimensions)
+    return links.join(summary, key, "left").withColumn("ratings", F.coalesce("ratings", F.lit(0).cast("long")))
+
+
 def toggled(clicks: DataFrame, key: str) -> DataFrame:
     """Per post: clicks, whether its table was built (first click), whether it shows (odd number of clicks)."""
     return clicks.groupBy(key).agg(F.count_distinct("event_id").alias("clicks")).select(

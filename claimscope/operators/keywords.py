@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_counts(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, term, tf): one row per distinct term of a document, summed before the shuffle."""
-    return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, key: str, words: Column, stop: Sequence[str] = ()) -> DataFrame:
+    """(key, term, tf): one row per distinct term of a document that is no stop word, summed before the shuffle."""
+    found = docs.select(key, F.explode(words).alias("term"))
+    kept = found.where(~F.col("term").isin(*dict.fromkeys(stop))) if stop else found  # a hash set, tested row by row
+    return kept.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -24,9 +28,9 @@ def tf_idf(counts: DataFrame, documents: int) -> DataFrame:
 
 
 def l2_normalised(weights: DataFrame, key: str) -> DataFrame:
-    """w divided by the root of the document's sum of squares."""
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, key).withColumn("w", F.col("w") / F.col("norm")).drop("norm")
+    """w divided by the root of the document's sum of squares: one exchange, a document's terms in one window."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weights.withColumn("w", F.col("w") / norm)
 
 
 def top_terms(weights: DataFrame, key: str, k: int) -> DataFrame:
@@ -53,6 +57,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, length(a) * length(b))
 
 
+#: Query vectors that go to every task at a time.
+QUERY_BLOCK = 8192
+
+
+def nearest_of_all(queries: DataFrame, candidates: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, cand_id, similarity, rank): the k candidates most like each query vector, of all others, by cosine.
+
+    ``queries``: query_id, qv; ``candidates``: cand_id, cv. Each block of queries, of checked size, goes to all tasks and
+    passes over the candidates once; a task keeps its best k per query, which are ranked after a shuffle of those alone.
+    Similarities are rounded to six digits, ties go to the smaller candidate; vectors without length have none and come last.
+    """
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv")).withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    chosen, best = candidates.select(F.col("cand_id").cast("long").alias("cand_id"), F.col("cv").cast("array<double>").alias("cv")), None
+    for at in range(blocks):
+        rows = dealt.where(F.col("__block") == at).collect()
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], _unit([r["qv"] for r in rows])))
+
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            ids, width = np.array(ids, dtype=np.int64), vectors.shape[1]
+            top = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), dtype=np.int64)
+            for batch in batches:
+                for low in range(0, batch.num_rows, 1024):
+                    part = batch.slice(low, 1024)
+                    cand = part.column(0).to_numpy()
+                    score = np.nan_to_num(np.round(vectors @ _unit(part.column(1).to_pylist(), width).T, 6), nan=-2.0)
+                    score[ids[:, None] == cand[None, :]] = -np.inf
+                    both, own = np.concatenate([top[0], score], axis=1), np.concatenate([top[1], np.broadcast_to(cand, score.shape)], axis=1)
+                    order = np.lexsort((own, -both))[:, :k]
+                    top = np.take_along_axis(both, order, 1), np.take_along_axis(own, order, 1)
+            query, there = np.broadcast_to(ids[:, None], top[0].shape).ravel(), np.isfinite(top[0]).ravel()
+            similarity = top[0].ravel()[there]
+            yield pa.RecordBatch.from_arrays([pa.array(query[there]), pa.array(top[1].ravel()[there]), pa.array(similarity, mask=similarity < -1.5)], ["query_id", "cand_id", "similarity"])
+
+        found = chosen.mapInArrow(partial, "query_id long, cand_id long, similarity double")
+        best = found if best is None else best.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "cand_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _unit(vectors: list, width: int | None = None) -> np.ndarray:
+    """Vectors as rows of length one; those without length, null or of another width are NaN."""
+    width = max((len(v) for v in vectors if v is not None), default=0) if width is None else width
+    x = np.array([v if v is not None and len(v) == width else [np.nan] * width for v in vectors], dtype=float).reshape(len(vectors), width)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, cand_id, similarity, rank): the k candidates most like each query vector, within the same group.
 

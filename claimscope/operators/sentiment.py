@@ -13,10 +13,10 @@ from claimscope.rules import NO_SENTIMENT, SENTIMENT_LABELS, SENTIMENT_LABELS_EN
 def word_scores(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """(term, score): probability that a term comes from a positive document, from add-one document shares.
 
-    ``counts``: key, term; ``labels``: key, positive (0 or 1).
+    ``counts``: key, term, read twice and best a stored table; ``labels``: key, positive (0 or 1).
     """
     seen = counts.join(labels, key).groupBy("term").agg(F.sum("positive").alias("pos"), F.count(F.lit(1)).alias("n"))
-    totals = labels.join(counts.select(key).distinct(), key, "left_semi").agg(F.sum("positive").alias("all_pos"), F.count(F.lit(1)).alias("all_n"))
+    totals = labels.join(counts.select(key), key, "left_semi").agg(F.sum("positive").alias("all_pos"), F.count(F.lit(1)).alias("all_n"))
     odds = F.ln(((F.col("pos") + 1) / (F.col("all_pos") + 2)) / ((F.col("n") - F.col("pos") + 1) / (F.col("all_n") - F.col("all_pos") + 2)))
     return seen.crossJoin(F.broadcast(totals)).select("term", (1 / (1 + F.exp(-odds))).alias("score"))  # totals: one row
 

@@ -21,11 +21,11 @@ def report_row(link: Column, title: Column, *cells: Column) -> Column:
     return F.concat(F.lit("<tr>"), _cell(first), *[_cell(text(c)) for c in cells], F.lit("</tr>"))
 
 
-def report_table(rows: DataFrame, key: str, order: str, row: str, headings: tuple[str, ...] = REPORT_HEADINGS) -> DataFrame:
-    """(key, html): a table per request, its rows in order."""
+def report_table(rows: DataFrame, keys: list[str], order: str, row: str, headings: tuple[str, ...] = REPORT_HEADINGS) -> DataFrame:
+    """(keys, html, n): a table per request, its rows in order. A table is one value: ``keys`` must bound its rows."""
     head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in headings) + "</tr>"
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(row).alias("row")))), lambda x: x["row"]), "")
-    return rows.groupBy(key).agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"), F.count(F.lit(1)).alias("n"))
 
 
 def panel(text: Column, title: Column, description: Column, source: Column, url: Column) -> Column:

@@ -5,18 +5,20 @@ Arrays are returned as joined strings or rows, so that results compare by value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.functions import html, text, urls
-from claimscope.functions.providers import hashed_embedding
-from claimscope.operators import classify, dom, factcheck, feedback, keywords, paragraphs, sentiment
+from claimscope.functions.providers import ExtractLinks, dictionary_segmenter, hashed_embedding
+from claimscope.operators import classify, dom, domains, factcheck, feedback, keywords, paragraphs, sentiment
 from claimscope.plans import article, render
-from claimscope.rules import ICON_URL, LATIN_STOP_WORDS, NO_VERDICT, REPORT_HEADINGS, TWO_LEVEL_SUFFIXES, ban_lines
-from claimscope.session import shared_path, table
+from claimscope.rules import ICON_URL, LATIN_STOP_WORDS, NO_VERDICT, REPORT_HEADINGS, SITE_RULES, STOP_WORDS, ban_lines, site_rules
+from claimscope.session import shared_path, stored, table
 from claimscope.sources import readers
+from claimscope.sources.replay import PageReplay
 from claimscope.streaming import posts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,13 +26,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _HOST = f"nullif(lower(regexp_extract(url, '{urls.HOST}', 1)), '')"
-_SUFFIXES = ", ".join(f"'{x}'" for x in TWO_LEVEL_SUFFIXES)
 _STOP = ", ".join(f"'{x}'" for x in dict.fromkeys(LATIN_STOP_WORDS))
 
 
 def _decoded_sql(x: str) -> str:
-    for entity, character in html.ENTITIES:
-        x = f"replace({x}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    """The references that the test pages hold, the ampersand last."""
+    for entity, character in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("#39", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{entity};', '{character}')"
     return x
 
 
@@ -50,7 +52,7 @@ hosts AS (SELECT page_id, url, html, {_HOST} AS host FROM pages),
 labelled AS (SELECT *, string_split(host, '.') AS l FROM hosts),
 domains AS (
   SELECT page_id, url, html, host, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host
-    WHEN array_to_string(l[-2:], '.') IN ({_SUFFIXES}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain
+    WHEN regexp_matches(array_to_string(l[-2:], '.'), '^(com|co|org|net|gov|edu|ac|idv)[.][a-z][a-z]$') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain
   FROM labelled)"""
 #: page_id, pos (from 1), text.
 _PARAGRAPHS = f"""
@@ -94,6 +96,34 @@ def url_domain(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", urls.registered_domain(F.col("url")).alias("domain"))
 
 
+#: Suffixes of the test hosts, a rule for any label below one, and an exception to it.
+_SUFFIX_ROWS = ("com", "net", "org", "example.com", "*.example.net", "!www.example.net", "example.org")
+
+
+@query(
+    f"""WITH {_DOMAINS}, s AS (SELECT page_id, host, l, len(l) AS n, CASE
+      WHEN host = 'www.example.net' OR ends_with(host, '.www.example.net') THEN 2
+      WHEN ends_with(host, '.example.net') THEN 3
+      WHEN host IN ('example.com', 'example.org') OR ends_with(host, '.example.com') OR ends_with(host, '.example.org') THEN 2 ELSE 1 END AS k FROM (SELECT *, string_split(host, '.') AS l FROM (SELECT page_id, host FROM domains)))
+    SELECT page_id, host, array_to_string(l[-k:], '.') AS suffix, array_to_string(l[-(k + 1):], '.') AS domain FROM s"""
+)
+def url_domain_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    suffixes = spark.createDataFrame([(x,) for x in _SUFFIX_ROWS], "suffix string")
+    return domains.registered(table(spark, sf, "pages"), suffixes)
+
+
+@query(
+    r"""WITH q AS (SELECT page_id, string_split(replace(regexp_extract(url, '\?([^#]*)', 1), '+', ' '), '&') AS q FROM pages),
+    p AS (SELECT page_id, unnest(list_filter(list_concat(q, q), lambda x: x <> '')) AS x FROM q)
+    SELECT page_id, url_decode(CASE WHEN instr(x, '=') > 0 THEN left(x, instr(x, '=') - 1) ELSE x END) AS name, count(*) AS n_values FROM p GROUP BY ALL"""
+)
+def url_parameter_map(spark: SparkSession, sf: str) -> DataFrame:
+    query_string = F.regexp_extract("url", r"\?([^#]*)", 1)
+    twice = F.concat(F.lit("https://a.example/?"), query_string, F.lit("&"), query_string)  # every parameter is repeated
+    found = table(spark, sf, "pages").select("page_id", F.explode(urls.parameter_map(twice)).alias("name", "values"))
+    return found.select("page_id", "name", F.size("values").cast("long").alias("n_values"))
+
+
 @query(f"WITH {_DOMAINS} SELECT host, count(*) AS n FROM domains GROUP BY host")
 def url_host_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
@@ -161,7 +191,13 @@ def search_urls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+_ENCODED = "replace(replace(replace(url_encode({}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, {_stripped_sql(f"regexp_extract(html, '{html.TITLE.replace('(?s)', '')}', 1, 's')")} AS title FROM pages)
+    SELECT page_id, 'https://search.example/?q=' || {_ENCODED.format("title")} || '&hl=zh-TW&site=https%3A%2F%2Fclaims.example%2F' AS address FROM t"""
+)
 def search_urls_encoded(spark: SparkSession, sf: str) -> DataFrame:
     titled = table(spark, sf, "pages").select("page_id", F.coalesce(html.title(F.col("html")), F.lit("")).alias("title"))
     return titled.select("page_id", urls.encoded_search_url("https://search.example/?", q=F.col("title"), hl=F.lit("zh-TW"), site=F.lit("https://claims.example/")).alias("address"))
@@ -194,6 +230,11 @@ def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.paragraphs(F.col("html")).alias("paras"))
 
 
+def _paragraph_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs as a stored table: pages are parsed once, whatever reads the rows afterwards."""
+    return stored(_rows(_paragraphs(spark, sf)), "paragraphs")
+
+
 def _rows(paras: DataFrame) -> DataFrame:
     return paras.select("page_id", F.posexplode("paras").alias("at", "text")).select("page_id", (F.col("at") + 1).cast("long").alias("pos"), "text")
 
@@ -223,7 +264,7 @@ def page_content(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_PARAGRAPHS}, {_RECURRING} SELECT {_CONTENT} FROM paragraphs WHERE text NOT IN (SELECT text FROM ban) GROUP BY page_id")
 def page_content_skip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(_paragraphs(spark, sf))
+    rows = _paragraph_rows(spark, sf)
     return _content(paragraphs.rows_without(rows, _recurring(rows, _BAN_PAGES)))
 
 
@@ -232,7 +273,7 @@ def page_content_skip(spark: SparkSession, sf: str) -> DataFrame:
     SELECT {_CONTENT} FROM paragraphs LEFT JOIN hits USING (page_id) WHERE hit IS NULL OR pos < hit GROUP BY page_id"""
 )
 def page_content_break(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(_paragraphs(spark, sf))
+    rows = _paragraph_rows(spark, sf)
     return _content(paragraphs.rows_before(rows, _recurring(rows, _BAN_PAGES)))
 
 
@@ -251,7 +292,7 @@ def page_content_break_substr(spark: SparkSession, sf: str) -> DataFrame:
     SELECT {_CONTENT} FROM kept LEFT JOIN hits USING (page_id) WHERE hit IS NULL OR pos < hit GROUP BY page_id"""
 )
 def page_content_skip_break(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(_paragraphs(spark, sf))
+    rows = _paragraph_rows(spark, sf)
     kept = paragraphs.rows_without(rows, _recurring(rows, _BAN_PAGES).where(F.length("text") % 2 == 0))
     return _content(paragraphs.rows_before(kept, _recurring(rows, _BREAK_PAGES)))
 
@@ -392,6 +433,27 @@ def doc_tokens_nostop(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
+#: Words of made-up Chinese titles: content words, and stop words of the keyword extraction.
+_ZH_WORDS = ("颱風", "登陸", "股市", "上漲", "醫院", "學校", "分享", "新聞", "討論", "這個")
+_ZH_STOPPED = "('分享', '新聞', '討論', '這個')"
+_ZH_SQL = "[" + ", ".join(f"'{x}'" for x in _ZH_WORDS) + "]"
+
+
+@query(
+    f"""WITH w AS (SELECT page_id, list_transform(range(2, 9), lambda k: ({_ZH_SQL})[1 + CAST((page_id * k + k * k) % 10 AS INTEGER)]) AS w FROM pages)
+    SELECT page_id, array_to_string(w, ' ') AS segmented, array_to_string(list_filter(w, lambda x: x NOT IN {_ZH_STOPPED}), ' ') AS keywords FROM w"""
+)
+def title_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles without blanks through the dictionary segmenter, then without the stop words."""
+    words = F.array(*map(F.lit, _ZH_WORDS))
+    at = lambda k: ((F.col("page_id") * k + k * k) % len(_ZH_WORDS) + 1).cast("int")
+    titled = table(spark, sf, "pages").select("page_id", F.concat(*[F.element_at(words, at(k)) for k in range(2, 9)]).alias("title"))
+    dictionary = spark.createDataFrame([(x, 10 + k) for k, x in enumerate(_ZH_WORDS)], "term string, freq int")
+    cut = dictionary_segmenter(dictionary)
+    segmented = titled.select("page_id", text.segmented_or_raw(F.col("title"), F.lit("zh-TW"), cut).alias("segmented"))
+    return segmented.select("page_id", "segmented", F.array_join(text.without(F.split("segmented", " "), STOP_WORDS), " ").alias("keywords"))
+
+
 @query("SELECT lang, doc_id, md5(CASE WHEN lang = 'de' THEN replace(text, ' ', '/') ELSE text END) AS branch_md5 FROM documents")
 def doc_lang_branch(spark: SparkSession, sf: str) -> DataFrame:
     lang = F.when(F.col("lang") == "de", "zh-TW").otherwise(F.col("lang"))  # the tables have no Chinese; German stands for it
@@ -400,11 +462,16 @@ def doc_lang_branch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return keywords.term_counts(table(spark, sf, "documents"), "doc_id", text.without(text.tokens(F.col("text")), LATIN_STOP_WORDS))
+    """Term counts of all documents as a stored table: texts are cut into words once, whatever reads the counts afterwards."""
+    return stored(keywords.term_counts(table(spark, sf, "documents"), "doc_id", text.tokens(F.col("text")), LATIN_STOP_WORDS), "counts")
+
+
+def _weighted(spark: SparkSession, sf: str, counts: DataFrame) -> DataFrame:
+    return keywords.tf_idf(counts, table(spark, sf, "documents").count())
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return keywords.tf_idf(_counts(spark, sf), table(spark, sf, "documents").count())
+    return _weighted(spark, sf, _counts(spark, sf))
 
 
 @query(f"WITH {_COUNTS} SELECT term, df FROM df")
@@ -444,25 +511,38 @@ def tfidf_l2(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, round(CAST(len(list_intersect(ka, kb)) AS DOUBLE) / len(list_distinct(list_concat(ka, kb))), 6) AS jaccard FROM a JOIN b USING (doc_id)"""
 )
 def model_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    weights = _weights(spark, sf)
+    weights = stored(_weights(spark, sf), "weights")
     sets = lambda w: keywords.top_terms(w, "doc_id", 5).groupBy("doc_id").agg(F.collect_set("term").alias("keywords"))
     by_count = sets(weights.withColumn("w", F.col("tf").cast("double")))
     return keywords.agreement(sets(weights), by_count, "doc_id").select("doc_id", "jaccard")
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
-    s AS (SELECT query_id, vec_id AS cand_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q JOIN embeddings e ON q.label = e.label AND e.vec_id <> query_id),
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query_id, vec_id AS cand_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q JOIN embeddings e ON e.vec_id <> query_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cand_id) AS rank FROM s)
     SELECT query_id, cand_id, similarity, rank FROM r WHERE rank <= 5"""
 )
 def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("grp"), F.col("embedding").alias("qv"))
-    candidates = vectors.select(F.col("vec_id").alias("cand_id"), F.col("label").alias("grp"), F.col("embedding").alias("cv"))
-    scored = queries.join(candidates, "grp").where("query_id <> cand_id").withColumn("similarity", F.round(keywords.cosine(F.col("qv"), F.col("cv")), 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "cand_id"))
-    return scored.withColumn("rank", rank.cast("long")).where("rank <= 5").select("query_id", "cand_id", "similarity", "rank")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    found = keywords.nearest_of_all(queries, vectors.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("cv")), 5)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    """WITH s AS (SELECT a.conv_id AS query_id, b.turn AS cand_id, round(list_cosine_similarity([length(a.text), a.turn, 1.0], [length(b.text), b.turn, 1.0]), 6) AS similarity
+      FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.turn > 0 AND a.text IS NOT NULL AND b.text IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cand_id) AS rank FROM s)
+    SELECT query_id, cand_id, similarity, rank FROM r WHERE rank <= 2"""
+)
+def nearest_in_group(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").where("text is not null")
+    vector = F.array(F.length("text").cast("double"), F.col("turn").cast("double"), F.lit(1.0))
+    queries = turns.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("grp"), vector.alias("qv"))
+    candidates = turns.where("turn > 0").select(F.col("turn").alias("cand_id"), F.col("conv_id").alias("grp"), vector.alias("cv"))
+    found = keywords.nearest(queries, candidates, 2)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- classification and sentiment ---
@@ -473,6 +553,14 @@ def label_encode(spark: SparkSession, sf: str) -> DataFrame:
     return classify.encoded(table(spark, sf, "documents").select("doc_id", "lang"), "lang").select("doc_id", "lang", "code")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL")
+def label_decode(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    codes = classify.codes(docs, "lang")
+    coded = docs.join(F.broadcast(codes), "lang").select("doc_id", "code")
+    return classify.decoded(coded, codes, "lang").select("doc_id", "lang")
+
+
 _MODEL = f"""{_COUNTS}, norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM weights GROUP BY doc_id),
     unit AS (SELECT doc_id, term, w / norm AS w FROM weights JOIN norms USING (doc_id)),
     lab AS (SELECT DISTINCT doc_id, quality AS label FROM labels),
@@ -485,7 +573,7 @@ _MODEL = f"""{_COUNTS}, norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w
 
 
 def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    unit = keywords.l2_normalised(_weights(spark, sf), "doc_id")
+    unit = stored(keywords.l2_normalised(_weights(spark, sf), "doc_id").select("doc_id", "term", "w"), "unit")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")).distinct()
     return unit, classify.fit(unit, labels, "doc_id")
 
@@ -512,19 +600,20 @@ _SENTIMENT = f"""{_COUNTS}, lab AS (SELECT DISTINCT doc_id, quality AS positive
     {_TOP}, mean AS (SELECT doc_id, round(avg(score), 6) AS mean FROM (SELECT * FROM ranked WHERE rank <= 5) LEFT JOIN wordscores USING (term) GROUP BY doc_id)"""
 
 
-def _word_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _word_scores(spark: SparkSession, sf: str, counts: DataFrame) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("positive")).distinct()
-    return sentiment.word_scores(_counts(spark, sf), labels, "doc_id")
+    return sentiment.word_scores(counts, labels, "doc_id")
 
 
 def _mean_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    top = keywords.top_terms(_weights(spark, sf), "doc_id", 5)
-    return top.join(_word_scores(spark, sf), "term", "left").groupBy("doc_id").agg(F.round(F.avg("score"), 6).alias("mean"))
+    counts = _counts(spark, sf)
+    top = keywords.top_terms(_weighted(spark, sf, counts), "doc_id", 5)
+    return top.join(_word_scores(spark, sf, counts), "term", "left").groupBy("doc_id").agg(F.round(F.avg("score"), 6).alias("mean"))
 
 
 @query(f"WITH {_SENTIMENT} SELECT term, round(score, 6) AS score FROM wordscores")
 def sentiment_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _word_scores(spark, sf).select("term", F.round("score", 6).alias("score"))
+    return _word_scores(spark, sf, _counts(spark, sf)).select("term", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_SENTIMENT} SELECT doc_id, mean FROM mean")
@@ -631,6 +720,25 @@ def click_toggle(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.toggled(table(spark, sf, "events").where("event_type = 'click'"), "user_id")
 
 
+@query(
+    "WITH l AS (SELECT page_id AS reported_id, url AS reported_url FROM pages), r AS (SELECT user_id AS reported_id, avg((event_id * 1) % 6) AS reli, count(*) AS n FROM events GROUP BY user_id) "
+    "SELECT reported_id, reported_url, coalesce(n, 0) AS ratings, round(reli, 6) AS page_reli FROM l LEFT JOIN r USING (reported_id)"
+)
+def reported_link_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    links = table(spark, sf, "pages").select(F.col("page_id").alias("reported_id"), F.col("url").alias("reported_url"))
+    ratings = table(spark, sf, "events").select(F.col("user_id").alias("reported_id"), (F.col("event_id") % 6).cast("int").alias("page_reli"))
+    return feedback.rated_links(links, ratings, "reported_id", ["page_reli"]).select("reported_id", "reported_url", "ratings", "page_reli")
+
+
+@query("SELECT user_id AS post_id, count(DISTINCT event_id) AS clicks, true AS built, count(DISTINCT event_id) % 2 = 1 AS visible FROM events WHERE event_type = 'click' GROUP BY user_id")
+def click_toggle_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The toggles as a stream with state: events are observed twice, the last state of each post is shown."""
+    events = spark.readStream.schema("event_id long, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*").where("event_type = 'click'")
+    clicks = events.select(F.col("user_id").cast("string").alias("post_id"), "event_id")
+    states = posts.latest_states(posts.toggles(clicks.unionByName(clicks)), ["post_id"], "clicks", shared_path(spark, "toggles"), shared_path(spark, "toggles-state"))
+    return states.withColumn("post_id", F.col("post_id").cast("long"))
+
+
 # --- reports ---
 
 _HEAD = "<table><tr>" + "".join(f"<th>{h}</th>" for h in REPORT_HEADINGS) + "</tr>"
@@ -643,14 +751,14 @@ def _title_sql() -> str:
 @query(
     f"""WITH {_DOMAINS}, r AS (SELECT domain, page_id, '<tr><td><img src=''' || {_escaped_sql(f"'{ICON_URL}' || host")} || ''' /><a href=''' || {_escaped_sql("url")} || '''>' || coalesce({_escaped_sql(_title_sql())}, '') || '</a></td>'
       || '<td>' || page_id || '</td><td></td><td>undefined</td><td>{NO_VERDICT}</td></tr>' AS row FROM domains)
-    SELECT domain, md5('{_HEAD}' || string_agg(row, '' ORDER BY page_id) || '</table>') AS html_md5, count(*) AS n FROM r GROUP BY domain"""
+    SELECT domain, page_id // 100 AS part, md5('{_HEAD}' || string_agg(row, '' ORDER BY page_id) || '</table>') AS html_md5, count(*) AS n FROM r GROUP BY ALL"""
 )
 def report_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").withColumn("domain", urls.registered_domain(F.col("url")))
     row = render.report_row(F.col("url"), html.title(F.col("html")), F.col("page_id"), F.lit(None).cast("string"), F.lit("undefined"), F.lit(NO_VERDICT))
-    rows = pages.select("domain", "page_id", row.alias("row"))
-    counts = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    return render.report_table(rows, "domain", "page_id", "row").join(counts, "domain").select("domain", F.md5("html").alias("html_md5"), "n")
+    # parts of a hundred page ids: a table never grows with its domain
+    rows = pages.select("domain", F.expr("page_id div 100").alias("part"), "page_id", row.alias("row"))
+    return render.report_table(rows, ["domain", "part"], "page_id", "row").select("domain", "part", F.md5("html").alias("html_md5"), "n")
 
 
 def _shown_sql(x: str) -> str:
@@ -673,14 +781,85 @@ def article_report(spark: SparkSession, sf: str) -> DataFrame:
     return article.report(table(spark, sf, "pages"), table(spark, sf, "documents"), table(spark, sf, "labels"), table(spark, sf, "benchmark"))
 
 
+@query(f"WITH {_DOMAINS}, t AS (SELECT page_id, url, {_title_sql()} AS title FROM domains) SELECT page_id, title FROM t WHERE title = (SELECT min(title) FROM t)")
+def article_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the pages of one title, as a request names it."""
+    pages = table(spark, sf, "pages")
+    wanted = pages.agg(F.min(html.title(F.col("html")))).first()[0]
+    return article.report(pages, table(spark, sf, "documents"), table(spark, sf, "labels"), table(spark, sf, "benchmark"), title=wanted).select("page_id", "title")
+
+
 # --- sources, streams, trees ---
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "csv")
-    readers.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), path)
-    return spark.read.option("header", True).schema("doc_id long, lang string, source string, n_chars long").csv(path)
+    readers.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text"), path)
+    back = readers.headed_csv(spark, path, "doc_id long, lang string, source string, n_chars long, text string")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT 'item ' || item_id AS title, CASE WHEN item_id % 3 = 0 THEN 'a' END AS label1, 'b \"' || item_id || '\"' AS label2, CAST(item_id AS VARCHAR) AS label3, md5(text) AS text_md5 FROM benchmark")
+def train_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "train")
+    item = F.col("item_id").cast("string")
+    rows = table(spark, sf, "benchmark").select(F.concat(F.lit("item "), item, F.lit("\n"), "text").alias("title"), F.when(F.col("item_id") % 3 == 0, "a").alias("label1"), F.concat(F.lit('b "'), item, F.lit('"')).alias("label2"), item.alias("label3"))
+    rows.write.option("header", False).option("escape", '"').csv(path)
+    title, rest = F.substring_index("title", "\n", 1), F.expr("substr(title, instr(title, chr(10)) + 1)")
+    return readers.train_csv(spark, path).select(title.alias("title"), "label1", "label2", "label3", F.md5(rest).alias("text_md5"))
+
+
+@query("SELECT DISTINCT trim(url, ' ') AS url FROM pages WHERE trim(url, ' ') <> ''")
+def link_list_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "list")
+    table(spark, sf, "pages").select(F.explode(F.array(F.concat(F.lit("  "), "url"), F.lit(""), "url")).alias("value")).write.text(path)
+    return readers.link_list(spark, path)
+
+
+@query("SELECT item_id AS line, len(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM benchmark")
+def keyword_log_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "log")
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
+    readers.write_keyword_log(table(spark, sf, "benchmark").select(F.col("item_id").alias("line"), words.alias("keywords")), path)
+    return readers.keyword_log(spark, path).select("line", F.size("keywords").cast("long").alias("n"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'news_title' || CASE WHEN page_id % 2 = 0 THEN ',news_link' ELSE '' END WHEN page_id % 2 = 0 THEN 'news_link' ELSE '' END AS reason,
+      CASE WHEN page_id % 2 <> 0 THEN url END AS news_link FROM pages"""
+)
+def stored_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawl results into the store: accepted ones, and rejected ones with their reason."""
+    path = shared_path(spark, "store")
+    rows = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 5 != 0, "a title").alias("news_title"), F.md5("html").alias("news_content"), F.when(F.col("page_id") % 2 != 0, F.col("url")).alias("news_link"))
+    readers.append_articles(rows, path)
+    columns = ["page_id", "reason", "news_link"]
+    return readers.accepted_articles(spark, path).withColumn("reason", F.lit("")).select(columns).unionByName(readers.rejected_articles(spark, path).select(columns))
+
+
+@query("SELECT CAST(doc_id AS INTEGER) AS \"Bug_ID\", source AS \"COMMENT\", md5(text) AS image_md5 FROM documents")
+def bug_report_store(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "bugs")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("int").alias("Bug_ID"), F.lit("2024-01-01").cast("timestamp").alias("Bug_DATE"), F.col("source").alias("COMMENT"), F.col("text").alias("Bug_IMAGE"))
+    readers.append_bug_reports(rows, path)
+    return spark.read.parquet(path).select("Bug_ID", "COMMENT", F.md5("Bug_IMAGE").alias("image_md5"))
+
+
+@query("SELECT page_id, url, md5(html) AS html_md5 FROM pages")
+def page_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages through the Python data source that stands in for live requests."""
+    spark.dataSource.register(PageReplay)
+    pages = spark.read.format("page_replay").option("path", f"{sf.rstrip('/')}/pages.parquet").load()
+    return pages.select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
+@query(f"WITH l AS (SELECT page_id, regexp_extract_all(html, '{html.HREF}', 1) AS links FROM pages) SELECT page_id, unnest(range(1, len(links) + 1)) AS pos, unnest(links) AS href FROM l")
+def page_links_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """Links by the table function, joined laterally."""
+    spark.udtf.register("extract_links", ExtractLinks)
+    table(spark, sf, "pages").select("page_id", "html").createOrReplaceTempView("__claimscope_pages")
+    return spark.sql("SELECT p.page_id, CAST(l.pos AS BIGINT) AS pos, l.href FROM __claimscope_pages p, LATERAL extract_links(p.html) l")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -697,6 +876,51 @@ def page_dom_extract(spark: SparkSession, sf: str) -> DataFrame:
     return dom.extract(table(spark, sf, "pages"), rules, ban_lines(spark)).select("url", "domain", F.md5("content").alias("content_md5"))
 
 
+_STEP = re.compile(r"(?P<tag>[a-z][a-z0-9]*)?(?:#(?P<id>[\w-]+))?(?:\.(?P<cls>[\w-]+))?(?:\[(?P<attr>[\w-]+)=\"?(?P<value>[^\"\]]*)\"?\])?$")
+
+
+def _opened(selector: str) -> tuple[str, str]:
+    """Start and end tags of nested elements that a selector finds."""
+    start = end = ""
+    for step in re.findall(r"(?:\[[^\]]*\]|[^\s>\[])+", selector):
+        m = _STEP.match(step if step != "*" else "span")
+        named = [f'{name}="{value}"' for name, value in (("id", m["id"]), ("class", m["cls"]), (m["attr"], m["value"])) if value is not None]
+        start, end = start + f"<{' '.join([m['tag'] or 'div', *named])}>", f"</{m['tag'] or 'div'}>" + end
+    return start, end
+
+
+#: Ban and break lines as they stand in the made-up articles of the site rules.
+_LINES = ("圖像來源，Reuters", "更多風傳媒報導")
+
+
+@query(
+    """WITH r AS (SELECT * FROM (VALUES (0, 'chinatimes.com', 'skip'), (1, 'cna.com.tw', 'skip'), (2, 'ettoday.net', 'break'), (3, 'ltn.com.tw', 'break'), (4, 'pts.org.tw', 'all'), (5, 'newtalk.tw', 'all'),
+      (6, 'setn.com', 'all'), (7, 'thenewslens.com', 'skip'), (8, 'udn.com', 'all'), (9, 'udn.com', 'all'), (10, 'yahoo.com', 'both'), (11, 'yahoo.com', 'all'), (12, 'yahoo.com', 'all'), (13, 'rfi.fr', 'skip'),
+      (14, 'rti.org.tw', 'all'), (15, 'storm.mg', 'both'), (16, 'bbc.com', 'skip'), (17, 'bbc.com', 'skip'), (18, 'mirrormedia.mg', 'all'), (19, 'cw.com.tw', 'all'), (20, 'epochtimes.com', 'all'),
+      (21, 'nytimes.com', 'all'), (22, 'wsj.com', 'all'), (23, 'worldjournal.com', 'break')) v(rule, domain, ends))
+    SELECT 'https://news.' || domain || '/' || page_id AS url, domain, 'Title ' || page_id AS title, 'one ' || page_id || CASE ends WHEN 'all' THEN '圖像來源，Reuters' ELSE '' END
+      || CASE WHEN ends <> 'break' THEN 'two & ' || page_id ELSE '' END || CASE WHEN ends IN ('all', 'skip') THEN '更多風傳媒報導three' ELSE '' END AS content
+    FROM pages JOIN r ON page_id % 24 = rule"""
+)
+def site_rules_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """An article a page in the markup of each site's rules, taken apart by the rules and the ban and break lines."""
+    rows = []
+    for k, (domain, _, title_sel, body_sel, _, _) in enumerate(SITE_RULES):
+        outer, _, inner = body_sel.rpartition(" ")
+        first, _, below = title_sel.partition(" ")
+        shared = first if below and outer.startswith(f"{first} ") else ""  # an element around both
+        title, body, part = _opened(title_sel.removeprefix(shared)), _opened(outer.removeprefix(shared).rstrip("> ")), _opened(inner)
+        rows.append((k, domain, *_opened(shared), *title, *body, *part))
+    markup = spark.createDataFrame(rows, "rule int, site string, a0 string, a1 string, t0 string, t1 string, b0 string, b1 string, p0 string, p1 string")
+    line = lambda *x: F.concat("p0", *[y if isinstance(y, Column) else F.lit(y) for y in x], "p1")
+    key = F.col("page_id").cast("string")
+    parts = [line("one ", key), line(_LINES[0]), line("two &amp; ", key), line(_LINES[1]), line("three")]
+    page = F.concat(F.lit("<html><body>"), "a0", "t0", F.lit("Title "), key, "t1", "b0", *parts, "b1", "a1", F.lit("</body></html>"))
+    pages = table(spark, sf, "pages").join(F.broadcast(markup), F.col("page_id") % len(SITE_RULES) == F.col("rule"))
+    made = pages.select(F.concat(F.lit("https://news."), "site", F.lit("/"), key).alias("url"), page.alias("html"))
+    return dom.extract(made, site_rules(spark), ban_lines(spark))
+
+
 @query()
 def doc_keywords_embedding(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -49,8 +49,9 @@ LATIN_STOP_WORDS = (
     "el", "los", "las", "que", "por", "con", "para", "una", "se", "su", "al", "lo", "no",
 )
 
-#: Public suffixes of two labels that the test hosts use; any other host has a suffix of one label.
-TWO_LEVEL_SUFFIXES = ("com.tw", "org.tw", "net.tw", "gov.tw", "edu.tw", "idv.tw", "co.uk", "org.uk", "com.hk", "org.hk", "co.jp", "com.cn", "com.au")
+#: Second-level labels under which country registries register names: with a country code of two letters behind them
+#: they are a public suffix. The full list of suffixes is a table of the caller's (``operators.domains``).
+SECOND_LEVELS = ("com", "co", "org", "or", "net", "ne", "gov", "go", "gob", "govt", "edu", "ac", "idv", "mil", "nom", "ltd", "plc", "sch", "nhs", "gouv", "asso")
 
 # Per site and priority, the selectors of title and paragraphs and how paragraphs end.
 # skip: drop ban lines; break: stop at the first ban line; skip_break: drop ban lines, stop at a break line;

@@ -37,10 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share, removed when the driver ends.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one.
+    The folder is ``spark.checkpoint.dir``; where that is unset on one machine, as in tests, a temporary one. A cluster
+    has no folder of its own that all executors see, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='claimscope-')}"
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/claimscope/{name}-{uuid.uuid4().hex}"
@@ -50,6 +53,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release_shared(*paths: str) -> None:
     """Remove the given paths, or every path made so far; what was not yet written from them cannot be read afterwards."""
     for path in paths or list(_made):

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from claimscope.schema import TITLES_CSV, TRAIN_CSV
 
 
+def headed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header whose values may hold quotes, separators and line ends."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+
+
 def titles_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header; all columns are strings."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(TITLES_CSV).csv(path)
+    return headed_csv(spark, path, TITLES_CSV)
 
 
 def train_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -53,12 +58,22 @@ def append_jdbc(rows: DataFrame, url: str, name: str, **options: str) -> None:
 
 
 def append_articles(rows: DataFrame, path: str) -> None:
-    """Append crawl results; a null title, content or link goes to ``path``_rejected with the reason."""
+    """Append crawl results in one pass and one commit; rows with a null title, content or link carry that as their reason.
+
+    The store is cut by whether rows were accepted, so readers of either part open only its files.
+    """
     required = ("news_title", "news_content", "news_link")
     bad = F.array_join(F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull()), ",")
-    marked = rows.withColumn("reason", bad)
-    marked.where("reason = ''").drop("reason").write.mode("append").parquet(path)
-    marked.where("reason <> ''").write.mode("append").parquet(f"{path}_rejected")
+    marked = rows.withColumn("reason", bad).withColumn("accepted", F.col("reason") == "")
+    marked.write.partitionBy("accepted").mode("append").parquet(path)
+
+
+def accepted_articles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("accepted = 'true'").drop("accepted", "reason")
+
+
+def rejected_articles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("accepted = 'false'").drop("accepted")
 
 
 def point_lookup(stored: DataFrame, column: str, value: str) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+def _opened(uri: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
 class PageReplay(DataSource):
     """``spark.read.format("page_replay").option("path", ...)``: rows (page_id, url, html), one partition per row group."""
 
@@ -29,7 +36,8 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         import pyarrow.dataset as ds
 
-        pieces = [(f.path, k) for f in ds.dataset(self.path.removeprefix("file://"), format="parquet").get_fragments() for k in range(f.metadata.num_row_groups)]
+        files, path = _opened(self.path)
+        pieces = [(f.path, k) for f in ds.dataset(path, filesystem=files, format="parquet").get_fragments() for k in range(f.metadata.num_row_groups)]
         return [InputPartition(p) for p in pieces] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator:
@@ -38,4 +46,5 @@ class _Reader(DataSourceReader):
         import pyarrow.parquet as pq
 
         path, group = partition.value
-        yield from pq.ParquetFile(path).read_row_group(group, columns=["page_id", "url", "html"]).to_batches()
+        with _opened(self.path)[0].open_input_file(path) as file:
+            yield from pq.ParquetFile(file).read_row_group(group, columns=["page_id", "url", "html"]).to_batches()

@@ -16,14 +16,22 @@ def first_seen(posts: DataFrame, keys: list[str], ts: str = "ts", late: str = "1
 
 
 class Toggle(StatefulProcessor):
-    """Per post: the number of clicks; the table is built by the first, and each click shows or hides it."""
+    """Per post: the number of clicks; the table is built by the first, and each click shows or hides it.
+
+    A repeated ``event_id`` counts once, as in the batch form: the ids of a post's events are part of its state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clicks = handle.getValueState("clicks", "clicks long")
+        self.events = handle.getMapState("events", "event_id long", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.clicks.get()[0] if self.clicks.exists() else 0
-        now = before + sum(len(r) for r in rows)
+        now = self.clicks.get()[0] if self.clicks.exists() else 0
+        for r in rows:
+            for event in r["event_id"].unique().tolist():
+                if not self.events.containsKey((event,)):
+                    self.events.updateValue((event,), (1,))
+                    now += 1
         self.clicks.update((now,))
         yield pd.DataFrame({"post_id": [key[0]], "clicks": [now], "built": [now > 0], "visible": [now % 2 == 1]})
 
@@ -32,10 +40,30 @@ class Toggle(StatefulProcessor):
 
 
 def toggles(clicks: DataFrame) -> DataFrame:
-    """Stream of states (post_id, clicks, built, visible) from clicks (post_id, ...)."""
+    """Stream of states (post_id, clicks, built, visible) from clicks (post_id, event_id)."""
     return clicks.groupBy("post_id").transformWithStateInPandas(Toggle(), "post_id string, clicks long, built boolean, visible boolean", "Update", "None")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def latest_states(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream of states over what its source holds now; of each key the state of greatest ``order``.
+
+    Each micro-batch appends its states, so a repeated attempt of a batch changes nothing.
+    """
+    spark: SparkSession = stream.sparkSession
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # map states need it
+    try:
+        sink = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        sink.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    rows = spark.read.schema(stream.schema).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), order).alias("state")).select(*keys, "state.*")
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now, into Parquet; a processing-time trigger does the same for good."""
     spark: SparkSession = stream.sparkSession

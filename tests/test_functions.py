@@ -21,6 +21,12 @@ def test_registered_domain(spark):
         "https://market.ltn.com.tw/article/13375": "ltn.com.tw",
         "https://newtalk.tw/news/view": "newtalk.tw",
         "https://user@M.Example.Co.UK:8080/x": "example.co.uk",
+        "https://www.chinatimes.com/realtimenews/20221103002411-260408?chdtv": "chinatimes.com",
+        "https://www.bbc.com/zhongwen/trad/world-63314791": "bbc.com",
+        "https://www.rfi.fr/tw/國際/20221110-x": "rfi.fr",
+        "https://www.storm.mg/article/4575743": "storm.mg",
+        "https://cn.nytimes.com/china/20221117/x/zh-hant/": "nytimes.com",
+        "https://a.b.gov.au/": "b.gov.au",
         "http://10.0.0.1/x": "10.0.0.1",
         "http://localhost/x": "localhost",
         "no url": None,
@@ -50,6 +56,17 @@ def test_paragraphs_recover_open_ones(spark):
     assert column(spark, [page, "", "<p>cut off"], lambda c: html.paragraphs(c)) == [["Open & bold", "Two", "Three x"], [], ["cut off"]]
 
 
+def test_paragraphs_with_attributes(spark):
+    page = '<p class="x" id=y>one</p><pre>no</pre><P>two</P ><p\nclass=z>three<param></article><p>after'
+    assert column(spark, [page], html.paragraphs) == [["one", "two", "three", "after"]]
+
+
+def test_character_references_are_decoded_once(spark):
+    texts = ["a &amp;lt; b", "&#8217;&#x2019;&hellip;&nbsp;&eacute;&Eacute;", "&bogus; & &#0; &#xD800; &#x1F600; AT&T;", "none", None, "&#39;&apos;&quot;"]
+    assert column(spark, texts, html.decoded) == ["a &lt; b", "’’…\u00a0éÉ", "&bogus; & \ufffd \ufffd 😀 AT&T;", "none", None, "''\""]
+    assert column(spark, [" a\r\n\u3000b\tc ", None], html.cleaned) == ["abc", None]
+
+
 def test_post_text_drops_only_a_trailing_marker(spark):
     rows = [["a", "b", "Show More"], ["Show More", "c"], ["x", "さらに表示"]]
     assert column(spark, rows, text.post_text, "array<string>") == ["a\nb", "Show More\nc", "x"]

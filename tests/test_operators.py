@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from claimscope import rules
-from claimscope.operators import classify, dom, feedback, keywords, paragraphs
+from claimscope.operators import classify, dom, domains, feedback, keywords, paragraphs
 
 
 def arrays(spark, rows, expression):
@@ -44,6 +45,36 @@ def test_nearest_vectors(spark):
     assert [(r["cand_id"], r["similarity"]) for r in keywords.nearest(q, c, 2).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
 
 
+def test_nearest_of_all_against_every_pair(spark):
+    draw = np.random.default_rng(3)
+    vectors = {k: draw.integers(-2, 3, 6).astype(float).tolist() for k in range(150)} | {150: [0.0] * 6, 151: None}
+    rows = spark.createDataFrame(list(vectors.items()), "cand_id long, cv array<double>").repartition(3)
+    asked = rows.where("cand_id % 10 = 0").select(F.col("cand_id").alias("query_id"), F.col("cv").alias("qv"))
+    got = {(r["query_id"], r["rank"]): (r["cand_id"], r["similarity"]) for r in keywords.nearest_of_all(asked, rows, 4, block=5).collect()}
+
+    def similarity(a, b):
+        if not a or not b or not any(a) or not any(b):
+            return None
+        return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 6)
+
+    for q in range(0, 151, 10):
+        scored = sorted(((similarity(vectors[q], v), k) for k, v in vectors.items() if k != q), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+        assert [got[q, n + 1] for n in range(4)] == [(k, s) for s, k in scored[:4]]
+    assert keywords.nearest_of_all(asked.limit(0), rows, 4).count() == 0
+
+
+def test_longest_suffix_of_a_table(spark):
+    suffixes = spark.createDataFrame([("com",), ("co.uk",), ("uk",), ("*.ck",), ("!www.ck",), ("tw",), ("com.tw",), ("github.example.com",)], "suffix string")
+    cases = {
+        "http://a.b.co.uk/": ("co.uk", "b.co.uk"), "http://b.uk": ("uk", "b.uk"), "http://co.uk/x": ("co.uk", "co.uk"), "http://x.y.gov.ck/": ("gov.ck", "y.gov.ck"), "http://a.www.ck/": ("ck", "www.ck"),
+        "https://www.cna.com.tw/news": ("com.tw", "cna.com.tw"), "https://newtalk.tw/": ("tw", "newtalk.tw"), "http://me.github.example.com/": ("github.example.com", "me.github.example.com"),
+        "http://a.b.unlisted": ("unlisted", "b.unlisted"), "http://10.0.0.1/": (None, "10.0.0.1"), "http://localhost": (None, "localhost"), "nothing": (None, None), None: (None, None),
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id int, url string")
+    got = {r["page_id"]: (r["suffix"], r["domain"]) for r in domains.registered(pages, suffixes).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_naive_bayes_against_arithmetic(spark):
     weights = spark.createDataFrame([(1, "good", 1.0), (2, "bad", 1.0), (3, "good", 1.0), (4, "new", 1.0)], "d int, term string, w double")
     labels = spark.createDataFrame([(1, "p"), (2, "n")], "d int, label string")
@@ -56,6 +87,8 @@ def test_naive_bayes_against_arithmetic(spark):
 def test_labels_are_coded_alphabetically(spark):
     rows = spark.createDataFrame([("b",), ("a",), ("b",)], "label string")
     assert sorted({(r["label"], r["code"]) for r in classify.encoded(rows, "label").collect()}) == [("a", 0), ("b", 1)]
+    back = classify.decoded(classify.encoded(rows, "label").select("code"), classify.codes(rows, "label"), "label")
+    assert sorted((r["code"], r["label"]) for r in back.collect()) == [(0, "a"), (1, "b"), (1, "b")]
 
 
 def test_toggle_counts_each_event_once(spark):

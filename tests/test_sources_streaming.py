@@ -34,9 +34,29 @@ def test_link_list_and_search_results(spark, tmp_path):
 def test_rejected_articles_keep_their_reason(spark, tmp_path):
     rows = spark.createDataFrame([("t", "it's", "l"), (None, "c", "l2")], "news_title string, news_content string, news_link string")
     readers.append_articles(rows, str(tmp_path / "store"))
-    assert [r["news_content"] for r in spark.read.parquet(str(tmp_path / "store")).collect()] == ["it's"]
-    assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "store_rejected")).collect()] == ["news_title"]
-    assert readers.point_lookup(spark.read.parquet(str(tmp_path / "store")), "news_link", "l").count() == 1
+    readers.append_articles(rows.where("news_title is null"), str(tmp_path / "store"))
+    accepted = readers.accepted_articles(spark, str(tmp_path / "store"))
+    assert accepted.columns == rows.columns and [r["news_content"] for r in accepted.collect()] == ["it's"]
+    assert [r["reason"] for r in readers.rejected_articles(spark, str(tmp_path / "store")).collect()] == ["news_title"] * 2
+    assert readers.point_lookup(accepted, "news_link", "l").count() == 1
+
+
+def test_jdbc_table_round_trip(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path / 'db'};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "it's")], "K int, V string").coalesce(1)
+    readers.append_jdbc(rows.where("K < 3"), url, "LINKS", createTableColumnTypes="V VARCHAR(100)", **options)
+    readers.append_jdbc(rows.where("K = 3"), url, "LINKS", **options)
+    stored = readers.jdbc_table(spark, url, "LINKS", **options)
+    assert sorted(tuple(r) for r in stored.collect()) == [(1, "a"), (2, "b"), (3, "it's")]
+    one = readers.point_lookup(stored, "V", "it's")
+    assert [r["K"] for r in one.collect()] == [3]
+    assert "PushedFilters: [*IsNotNull(V), *EqualTo(V,it's)]" in one._jdf.queryExecution().toString()
+
+
+def test_bug_reports_keep_their_image(spark, tmp_path):
+    rows = spark.sql("SELECT 1 AS Bug_ID, timestamp'2024-01-01' AS Bug_DATE, 'x' AS COMMENT, X'00FF' AS Bug_IMAGE, 'more' AS other")
+    readers.append_bug_reports(rows, str(tmp_path / "bugs"))
+    assert [bytes(r["Bug_IMAGE"]) for r in spark.read.parquet(str(tmp_path / "bugs")).collect()] == [b"\x00\xff"]
 
 
 def test_replay_source(spark, tmp_path):
@@ -60,8 +80,22 @@ def test_stream_dedupe_equals_batch(spark, tmp_path):
     assert sorted(r["post_id"] for r in got.collect()) == ["p0", "p1", "p2", "p3"]
 
 
-def test_stream_toggles(spark, tmp_path):
-    stream = _stream(spark, tmp_path, [("p", 1), ("p", 2), ("q", 3)], "post_id string, event_id long", 1)
-    query = posts.toggles(stream).writeStream.format("memory").queryName("toggled").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(tuple(r) for r in spark.table("toggled").collect()) == [("p", 2, True, False), ("q", 1, True, True)]
+def test_stream_toggles_count_a_repeated_event_once(spark, tmp_path):
+    rows, schema = [("p", 1), ("p", 2), ("q", 3), ("q", 3)], "post_id string, event_id long"
+    stream = _stream(spark, tmp_path, rows, schema)
+    latest = lambda: sorted(tuple(r) for r in posts.latest_states(posts.toggles(stream), ["post_id"], "clicks", str(tmp_path / "out"), str(tmp_path / "ck")).collect())
+    assert latest() == [("p", 2, True, False), ("q", 1, True, True)]
+    _stream(spark, tmp_path, [("p", 2), ("p", 4)], schema, 1)  # a later run goes on from the state
+    assert latest() == [("p", 3, True, True), ("q", 1, True, True)]
+
+
+def test_polled_reads_new_posts_once(spark, tmp_path):
+    stream = _stream(spark, tmp_path, [("a", 1)], "post_id string, n int", 1)
+    query = posts.polled(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 1)
+    try:
+        query.processAllAvailable()
+        _stream(spark, tmp_path, [("b", 2)], "post_id string, n int", 1)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 2)]
