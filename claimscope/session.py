@@ -58,7 +58,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing will read again."""
+    release_shared(df.__dict__["_stored_at"])
 
 
 def release_shared(*paths: str) -> None:
