@@ -31,8 +31,13 @@ def test_counts_against_plain_python():
         assert tuple(quality.judge(text, compressor))[:6] == _plain(text), repr(text)
 
 
+_LETTERS = random.Random(0)
+_WORDS = ["".join(_LETTERS.choice("bcdfghjklmnprstvwyz") + _LETTERS.choice("aeiouaeio") for _ in range(1 + k % 4)) for k in range(900)]
+
+
 def _prose(draw, n):
-    return " ".join("".join(draw.choice(["th", "er", "on", "in", "a", "tion", "re", "s", "li", "ou"]) for _ in range(draw.randint(1, 4))) for _ in range(n))
+    """Words of a vocabulary, common ones more often, with marks."""
+    return " ".join(_WORDS[int(len(_WORDS) * draw.random() ** 2)] + draw.choice(["", "", "", "", "", ",", ".", "s"]) for _ in range(n))
 
 
 def test_bands_reject_repetition_and_noise_but_not_prose():
@@ -55,6 +60,32 @@ def test_junk_is_found_at_head_and_tail_alike():
         assert not kept(f"{prose} {junk}") and not kept(f"{junk} {prose}")
 
 
+def _plain_kept(text: str) -> bool:
+    """The whole verdict by its rules: base, the band of the text's length, the share of bytes in chunks outside theirs."""
+    data, pack = text.encode(), zstandard.ZstdCompressor(level=3, write_content_size=False).compress
+    if _plain(text)[5]:
+        return False
+    band = [b for b in quality.BANDS if b[0] <= len(data)][-1]
+    if len(data) >= 256 and (len(pack(data)) < band[1] * len(data) or len(pack(data)) > band[2] * len(data)):
+        return False
+    outside = 0
+    for k in range(0, len(data) if len(data) >= 4096 else 0, 4096):
+        chunk = data[k : k + 4096] if k + 4096 <= len(data) else data[-4096:]
+        if len(pack(chunk)) < quality.CHUNK_BAND[0] * 4096 or len(pack(chunk)) > quality.CHUNK_BAND[1] * 4096:
+            outside += min(4096, len(data) - k)
+    return 4 * outside <= len(data)
+
+
+def test_verdicts_against_their_rules():
+    draw, compressor, kept = random.Random(15), zstandard.ZstdCompressor(level=3, write_content_size=False), 0
+    for _ in range(150):
+        parts = [_prose(draw, draw.choice([20, 100, 700])), base64.b64encode(draw.randbytes(draw.choice([30, 900, 4000]))).decode(), "same line again " * draw.choice([1, 3, 300])]
+        text = " ".join([parts[0], *draw.choices([_prose(draw, 200), *parts[1:]], [8, 1, 1], k=draw.randint(0, 4))])
+        assert quality.judge(text, compressor).kept == _plain_kept(text)
+        kept += _plain_kept(text)
+    assert 20 < kept < 130
+
+
 def test_quality_of_documents_of_all_kinds(spark):
     good = _prose(random.Random(1), 80)
     rows = [(1, None, 0.0, "x"), (None, good, 0.0, "x"), (2, "", 0.0, "x"), (3, good, 0.0, "x"), (3, good, 0.0, "x"), (4, "long word " * 50000, 0.0, "x")]
