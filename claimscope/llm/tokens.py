@@ -10,10 +10,12 @@ from functools import lru_cache
 import numpy as np
 
 #: A space before a non-space character always starts a new pre-token of the byte-level pattern, so a text may be
-#: cut before each such space and the parts encoded apart without changing an id.
+#: cut before each such space and the parts encoded apart without changing an id. So may a part at a line end between
+#: non-space characters, and between letters and the marks that follow them.
 _CUT = re.compile(r" (?=\S)")
-_PART = re.compile(r" ?[^ ]+")
 _IRREGULAR = re.compile(r" \s| $")
+_MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)\Z")
+_LINES = re.compile(r"\S+(?:\n\S+)+\Z")
 #: Fixed value: the published split pattern of byte-level BPE.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -43,7 +45,7 @@ class TextEncoder:
     #: What an entry takes besides its part and ids: two objects and a place in the table.
     ENTRY_BYTES = 200
 
-    def __init__(self, vocabulary: str, most_bytes: int = 40 << 20, longest_kept: int = 48):
+    def __init__(self, vocabulary: str, most_bytes: int = 64 << 20, longest_kept: int = 48):
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as file:
@@ -57,34 +59,40 @@ class TextEncoder:
         self.encoding = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.single = self.encoding._core_bpe.encode_single_piece
         self.most_bytes, self.longest_kept = most_bytes, longest_kept
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # by part, apart for parts with and without a leading space (which is not part of the key)
+        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.held = 0
 
-    def _new(self, part: str) -> bytes:
-        ids = self.older.get(part)
+    def _part(self, word: str, spaced: bool) -> bytes:
+        """Ids of a part: what a text holds from one cut to the next, behind the space that leads it, if any."""
+        ids = self.kept[spaced].get(word)
+        if ids is not None:
+            return ids
+        ids = self.older[spaced].get(word)
         if ids is None:
-            word = part[1:] if part[:1] == " " else part
-            # a run of letters is one pre-token: no pattern needed
-            found = self.single(part.encode()) if word.isalpha() else self.encoding.encode_ordinary(part)
-            ids = array("I", found).tobytes()
-        if len(part) <= self.longest_kept:
+            if word.isalpha():  # a run of letters is one pre-token: no pattern needed
+                ids = array("I", self.single((" " + word if spaced else word).encode())).tobytes()
+            elif marked := _MARKED.match(word):
+                ids = self._part(marked[1], spaced) + self._part(marked[2], False)
+            elif _LINES.match(word):
+                first, *lines = word.split("\n")
+                return self._part("\n", False).join([self._part(first, spaced), *(self._part(x, False) for x in lines)])
+            else:
+                ids = array("I", self.encoding.encode_ordinary(" " + word if spaced else word)).tobytes()
+        if len(word) <= self.longest_kept:
             if self.held >= self.most_bytes:
-                self.older, self.kept, self.held = self.kept, {}, 0
-            self.kept[part] = ids
-            self.held += self.ENTRY_BYTES + len(part) + len(ids)
+                self.older, self.kept, self.held = self.kept, ({}, {}), 0
+            self.kept[spaced][word] = ids
+            self.held += self.ENTRY_BYTES + len(word) + len(ids)
         return ids
 
     def _ordinary(self, text: str) -> bytes:
-        if _IRREGULAR.search(text):
-            cut = _CUT.split(text)
-            parts = cut[:1] + [" " + x for x in cut[1:]]
-        else:
-            parts = _PART.findall(text)
-        ids = list(map(self.kept.get, parts))
+        first, *parts = _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
+        ids = list(map(self.kept[True].get, parts))
         if None in ids:
-            ids = [x if x is not None else self._new(p) for p, x in zip(parts, ids, strict=True)]
-        return b"".join(ids)
+            ids = [x if x is not None else self._part(p, True) for p, x in zip(parts, ids, strict=True)]
+        return self._part(first, False) + b"".join(ids)
 
     def encode_bytes(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
