@@ -8,27 +8,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.session import shared_path
+from claimscope.session import discard, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "numbered", "row_blocks", "stored", "text_or_empty"]
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def row_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches of bounded size, so that a few long texts do not fill a worker."""
+def row_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of bounded size, so that a few long texts do not fill a worker.
+
+    (The batches themselves are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB where nothing is set.)
+    """
     for batch in batches:
         rows = batch.num_rows
         if not rows:
             continue
-        step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
+        step = min(most_rows, max(1, int(rows * most_bytes / max(batch.nbytes, 1))))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import stored
+from claimscope.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").where("a <> b").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = stored(_hung(_hung(edges, up=True), up=False), "edges")
+        before, edges = edges, stored(_hung(_hung(edges, up=True), up=False), "edges")
+        discard(before)
         after = _state(edges)
         if after == state:
             break

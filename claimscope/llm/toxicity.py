@@ -161,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     chosen = spark.createDataFrame(ids, "id long, label int")
     found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = sorted({(r["label"], r["text"]): r["id"] for r in found.join(F.broadcast(chosen), "id").select("id", "label", "text").collect()}.items(), key=lambda x: (x[1], x[0]))
+    # of rows that share an id one text is learned, so that what is collected is bounded by the sample
+    texts = found.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = sorted({(r["label"], r["text"]): r["id"] for r in texts.collect()}.items(), key=lambda x: (x[1], x[0]))
     return learn([text for (_, text), _ in rows], [label for (label, _), _ in rows], counts[1] / (counts[0] + counts[1]))
 
 
