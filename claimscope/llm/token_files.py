@@ -36,8 +36,7 @@ from claimscope.session import shared_path
 
 LENGTH, END_ID, SEED = 256, 50256, 20240101
 SHARD_BYTES, FLUSH_BYTES, READ_RECORDS = 32 << 20, 16 << 20, 16384
-#: Ids in training order hardly repeat: higher levels cost time and gain nothing.
-LEVEL = 1
+LEVEL = 3
 _NO_ID = -(1 << 63)
 
 #: (shard, path, first slot, number of slots, ids in a record)
@@ -125,18 +124,21 @@ def numbered_ids(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, split, start = worker_encoder(vocabulary), TaskContext.get().partitionId(), None, 0
+        end = np.array([end_id], dtype="<u4").tobytes()
         for block in row_blocks(batches, 4 << 20):
-            starts, ids = [], []
+            starts, own = [], []
             for text, *own_split in zip(*(block.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if own_split != split:
                     split, start = own_split, 0
-                own = np.append(encoder.encode(text), np.uint32(end_id))
-                if own.max() > 0xFFFF:
-                    raise ValueError("the vocabulary has ids of more than 16 bits")
+                own.append(encoder.encode_bytes(text) + end)
                 starts.append(start)
-                ids.append(own.astype("<u2").tobytes())
-                start += len(own)
-            columns = [pa.array(np.full(len(ids), part, np.int32)), block.column(2), block.column(3), pa.array(starts, pa.int64()), block.column(0), pa.array(ids, pa.binary())]
+                start += len(own[-1]) // 4
+            ids = np.frombuffer(b"".join(own), dtype="<u4")
+            if ids.max() > 0xFFFF:
+                raise ValueError("the vocabulary has ids of more than 16 bits")
+            offsets = np.cumsum([0, *map(len, own)], dtype=np.int64) // 2
+            packed = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+            columns = [pa.array(np.full(len(own), part, np.int32)), block.column(2), block.column(3), pa.array(starts, pa.int64()), block.column(0), packed]
             yield pa.RecordBatch.from_arrays(columns, ["part", "path", "block", "start", "doc_id", "ids"])
 
     return stored(_in_order(docs).mapInArrow(encode, "part int, path string, block long, start long, doc_id long, ids binary"), "ids")
@@ -178,19 +180,25 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
 
         held = 0
         for block in row_blocks(batches, 4 << 20):
-            for part, path, place, start, doc, ids in zip(*(c.to_pylist() for c in block.columns), strict=True):
-                own = np.frombuffer(ids, dtype="<u2")
-                start += base.value[path, place, part]
-                cuts = np.concatenate([[start], np.arange(start // length + 1, (start + len(own) - 1) // length + 1) * length, [start + len(own)]])
-                share = np.zeros(len(cuts) - 1, dtype=_SHARE)
-                share["slot"], share["doc_id"] = cuts[:-1] // length, _NO_ID if doc is None else doc
-                share["start"], share["at"], share["n"] = cuts[:-1] - start, cuts[:-1] % length, np.diff(cuts)
-                shares.append(share)
-                tokens.append(own)
-                held += own.nbytes
-                if held > FLUSH_BYTES:
-                    yield flush()
-                    held = 0
+            part, path, place, start = (block.column(k).to_pylist() for k in range(4))
+            first = np.array(start, dtype=np.int64) + np.array([base.value[x] for x in zip(path, place, part, strict=True)], dtype=np.int64)
+            ids = block.column(5).to_pylist()
+            own = np.frombuffer(b"".join(ids), dtype="<u2")
+            ends = first + np.array([len(x) // 2 for x in ids], dtype=np.int64)
+            # a document's shares: what it has of each sequence from its first id's to its last one's
+            many = (ends - 1) // length - first // length + 1
+            at = np.repeat(np.arange(len(ids)), many)
+            slot = _places(first // length, many)
+            begin, end = np.maximum(slot * length, first[at]), np.minimum((slot + 1) * length, ends[at])
+            share = np.zeros(len(at), dtype=_SHARE)
+            share["slot"], share["doc_id"] = slot, block.column(4).fill_null(_NO_ID).to_numpy()[at]
+            share["start"], share["at"], share["n"] = begin - first[at], begin - slot * length, end - begin
+            shares.append(share)
+            tokens.append(own)
+            held += own.nbytes
+            if held > FLUSH_BYTES:
+                yield flush()
+                held = 0
         if shares:
             yield flush()
 
@@ -253,9 +261,10 @@ def read_shards(files: DataFrame, first: int = 0, last: int | None = None, ids:
                 with store.open_input_file(root) as source:
                     found = np.frombuffer(source.read_at((upto - slot) * layout.itemsize, (slot - begins) * layout.itemsize), dtype=layout)
                     documents = _documents(source, found, slot - begins, upto - begins, slots)
-                own = [bytes(r["ids"][: r["n"]].tobytes()) for r in found]
+                raw, size, head = memoryview(found).cast("B"), layout.itemsize, layout.fields["ids"][1]
+                own = [raw[k * size + head : k * size + head + 2 * n] for k, n in enumerate(found["n"].tolist())]
                 doc = pa.array(found["doc_id"], mask=found["doc_id"] == _NO_ID)
-                body = pa.array(own, pa.binary()) if ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
+                body = pa.array(map(bytes, own), pa.binary()) if ids else pa.array(list(map(zlib.crc32, own)), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(slot, upto)), pa.array(np.full(len(own), shard)), doc, pa.array(found["start"].copy()), pa.array(found["n"].copy()), body, documents],
                     ["slot", "shard", "doc_id", "start", "n_tokens", "ids" if ids else "ids_crc32", "documents"],
