@@ -46,34 +46,56 @@ _BITS = range(8)
 MODEL = "shard int, depth int, key long, a float, b float"
 
 
-class Stream:
-    """The texts of a block as one array: lower-cased words with a space between, a newline after each text.
+_BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+Piece = tuple[int, bytes, bytes]
+
+
+def pieces(texts: list[str], most: int = BLOCK_BYTES) -> Iterator[list[Piece]]:
+    """Groups of pieces (text's index, up to DEPTH bytes of its stream before the piece, piece) of about ``most`` bytes.
 
-    ``text``: each byte's text; ``words``, ``word_text``: the words' 64-bit hashes and their texts.
+    A text's stream is its lower-cased words with a space between and a newline behind; long ones are cut behind a space.
     """
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        data = text.encode("utf-8", "replace").lower().translate(_BLANKS).rstrip(b" ")
+        at, before, done = 0, b"", False
+        while not done:
+            done = len(data) - at <= most
+            end = len(data) if done else data.rfind(b" ", at, at + most) + 1 or data.find(b" ", at + most) + 1 or len(data)
+            done = end == len(data)
+            words = data[at:end].split()
+            if words or done:
+                body = b" ".join(words) + (b"\n" if done else b" ")
+                group.append((k, before, body))
+                size, before = size + len(body), (before + body)[-DEPTH:]
+            at = end
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
-    def __init__(self, texts: list[str]):
-        # 0xFF is in no UTF-8 text: it marks the ends until white space has been folded
-        x = np.frombuffer(b"".join([t.encode("utf-8", "replace").lower() + b"\xff" for t in texts]), dtype=np.uint8)
-        blank = (x == 32) | ((x >= 9) & (x <= 13))
-        end = x == 255
-        after = np.concatenate([[True], (blank | end)[:-1]])  # stands after white space or an end
-        kept = ~blank | ~after
-        x, end = np.where(blank, 32, x)[kept].astype(np.uint8), end[kept]
-        kept = ~((x == 32) & np.concatenate([end[1:], [True]]))  # white space before an end
-        x, end = x[kept], end[kept]
-        self.bytes = np.where(end, 10, x).astype(np.uint8)
-        self.text = np.cumsum(end) - end
-        starts = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]) if len(texts) else np.empty(0, np.int64)
-        self.place = np.arange(len(x)) - starts[self.text]
-        parting = end | (x == 32)
-        first = np.flatnonzero(~parting & np.concatenate([[True], parting[:-1]]))
-        self.word_text = self.text[first]
+
+class Stream:
+    """A group of pieces as one array. ``text``: each byte's text; ``words``, ``word_text``: the words' 64-bit hashes and
+    their texts; ``ends``: the texts that end here."""
+
+    def __init__(self, group: list[Piece]):
+        x = np.frombuffer(b"".join(part for _, before, body in group for part in (before, body)), dtype=np.uint8)
+        lead, length = (np.array([len(p[k]) for p in group], dtype=np.int64) for k in (1, 2))
+        starts, whole = np.cumsum(lead + length) - lead - length, lead + length
+        text = np.repeat(np.array([k for k, _, _ in group], dtype=np.int64), whole)
+        self.place = np.arange(len(x)) - np.repeat(starts, whole)
+        self.own = self.place >= np.repeat(lead, whole)
+        self.all, self.bytes, self.text = x, x[self.own], text[self.own]
+        self.ends = np.array([k for k, _, body in group if body.endswith(b"\n")], dtype=np.int64)
+        parting = (x == 32) | (x == 10) | ~self.own
+        first = np.flatnonzero(~parting & np.concatenate([[True], parting[:-1]])) if len(x) else np.empty(0, np.int64)
+        self.word_text = text[first]
         if len(first):
-            run = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) if first[0] == 0 else None
-            if run is None:
-                run = np.arange(len(x))
-                run[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(x))))
+            run = np.arange(len(x))
+            run[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(x))))
             mixed = np.where(parting, np.uint64(0), (x.astype(np.uint64) + np.uint64(1)) * _weights(int(run.max()) + 1)[run])
             self.words = np.add.reduceat(mixed, first).view(np.int64)
         else:
@@ -81,11 +103,12 @@ class Stream:
 
     def grams(self) -> np.ndarray:
         """For each byte: the bytes before it in its text (newlines before its start), nearest first in the highest place, then the byte."""
-        x, out = self.bytes.astype(np.int64), self.bytes.astype(np.int64)
+        x = self.all.astype(np.int64)
+        out = x.copy()
         for back in range(1, DEPTH + 1):
             before = np.concatenate([np.full(min(back, len(x)), 10), x[: max(0, len(x) - back)]])
             out |= np.where(self.place < back, 10, before) << (8 * (DEPTH + 1 - back))
-        return out
+        return out[self.own]
 
 
 @lru_cache(maxsize=4)
@@ -270,12 +293,12 @@ def gathered(training: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: tuple[list, list] = ([], [])
         for block in row_blocks(batches, BLOCK_BYTES):
-            read = Stream(block.column(0).to_pylist())
-            ends = np.full(block.num_rows, _END)
-            for own, keys in zip(parts, (read.grams(), np.concatenate([read.words, ends])), strict=True):
-                own.append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in own[1:]) > max(1 << 20, 2 * len(own[0][0])):
-                    own[:] = [_merged(own)]
+            for group in pieces(block.column(0).to_pylist()):
+                read = Stream(group)
+                for own, keys in zip(parts, (read.grams(), np.concatenate([read.words, np.full(len(read.ends), _END)])), strict=True):
+                    own.append(np.unique(keys, return_counts=True))
+                    if sum(len(k) for k, _ in own[1:]) > max(1 << 20, 2 * len(own[0][0])):
+                        own[:] = [_merged(own)]
         for kind, own in enumerate(parts):
             keys, n = _merged(own) if own else (np.empty(0, np.int64),) * 2
             for at in range(0, len(keys), 1 << 17):
@@ -343,13 +366,15 @@ def score(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _held(row_blocks(batches, BLOCK_BYTES)):
             sums = [np.zeros((5, block.num_rows)) for block in blocks]  # tokens, known, base, score, bytes
+            held = [(list(pieces(block.column(2).to_pylist())), total) for block, total in zip(blocks, sums, strict=True)]
             for k in range(shards):
                 counted, (table, levels) = _word_shard(words_at, k), _gram_shard(grams_at, k)
-                for block, total in zip(blocks, sums, strict=True):
-                    texts, read = block.num_rows, Stream(block.column(2).to_pylist())
-                    words, owner = np.concatenate([read.words, np.full(texts, _END)]), np.concatenate([read.word_text, np.arange(texts)])
+                for group, total in ((g, total) for groups, total in held for g in groups):
+                    texts, read = total.shape[1], Stream(group)
+                    words, owner = np.concatenate([read.words, np.full(len(read.ends), _END)]), np.concatenate([read.word_text, read.ends])
                     if not k:
-                        total[0], total[4] = np.bincount(owner, minlength=texts), np.bincount(read.text, minlength=texts)
+                        total[0] += np.bincount(owner, minlength=texts)
+                        total[4] += np.bincount(read.text, minlength=texts)
                     order = np.argsort(words) if shards == 1 else (own := np.flatnonzero(words % shards == k))[np.argsort(words[own])]
                     found, owner = np.nan_to_num(counted.get(words[order])), owner[order]
                     total[1] += np.bincount(owner, found > 0, texts)

@@ -16,13 +16,18 @@ DOCS = "doc_id long, text string, score double, item_id string, n_bytes int"
 
 def test_streams_equal_joined_words():
     draw = random.Random(2)
-    for _ in range(300):
-        texts = ["".join(draw.choice("abB \n\té\x0b") for _ in range(draw.randint(0, 9))) for _ in range(draw.randint(1, 5))]
-        read = ctw.Stream(texts)
+    for _ in range(400):
+        texts = ["".join(draw.choice("abB \n\té\x0b") for _ in range(draw.choice([3, 9, 60]))) for _ in range(draw.randint(1, 5))]
         want = [b" ".join(t.encode().lower().split()) + b"\n" for t in texts]
-        words = [w for t in texts for w in t.encode().lower().split()]
-        assert read.bytes.tobytes() == b"".join(want)
-        assert len(set(zip(words, read.words.tolist(), strict=True))) == len(set(words)) == len(set(read.words.tolist()))
+        reads = [ctw.Stream(g) for g in ctw.pieces(texts, draw.choice([4, 12, 1000]))]
+        padded = [b"\n" * ctw.DEPTH + w for w in want]
+        grams = [(k, int.from_bytes(bytes(reversed(w[at - ctw.DEPTH : at])) + w[at : at + 1], "big")) for k, w in enumerate(padded) for at in range(ctw.DEPTH, len(w))]
+        assert [(k, g) for r in reads for k, g in zip(r.text.tolist(), r.grams().tolist(), strict=True)] == grams
+        assert b"".join(r.bytes.tobytes() for r in reads) == b"".join(want) and [k for r in reads for k in r.ends.tolist()] == list(range(len(texts)))
+        words = [(k, w) for k, t in enumerate(texts) for w in t.encode().lower().split()]
+        found = [(k, h) for r in reads for k, h in zip(r.word_text.tolist(), r.words.tolist(), strict=True)]
+        assert [k for k, _ in words] == [k for k, _ in found]
+        assert len({(w, h) for (_, w), (_, h) in zip(words, found, strict=True)}) == len({w for _, w in words}) == len({h for _, h in found})
 
 
 def _kt(zeros: float, ones: float) -> float:
