@@ -68,4 +68,4 @@ QUERIES: dict[str, Query] = {
     "op10_feistel_token_files": op10_feistel_token_files,
 }
 
-ORACLES: dict[str, str] = {"op8_temporal_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op8_temporal_url_filters": url_filters.ORACLE}

@@ -135,6 +135,18 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     return stored(linked.mapInArrow(write, "path string, size long, records long"), "archives")
 
 
+#: The round trip in SQL: base 32 in groups of 20 bits, as hexadecimal digits give them.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, payload, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(h, 5 * k + 1, 5) AS INTEGER)) AS v FROM d)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 def _unpacked(source, at: int, whole: bool = True) -> tuple[bytes, int] | None:
     unpacker, out, pos, size = zlib.decompressobj(31), [], at, source.size()
     known = False
