@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 
@@ -37,7 +38,7 @@ def _tables(draw):
     copy = plain[5].split(" ")
     copy[len(copy) // 2] = "changed"
     texts += [(500, plain[3]), (501, plain[3].upper()), (502, " ".join(copy)), (None, plain[4]), (None, _prose(draw, 90)), (None, _prose(draw, 90)), (7, _prose(draw, 80)), (7, texts[7][1])]
-    texts += [(503, None), (504, ""), (505, "too short"), (506, "again and again " * 200), (507, _prose(draw, 60) + " " + items[2][1] + " " + _prose(draw, 60)), (508, _prose(draw, 9000))]
+    texts += [(503, None), (504, ""), (505, "too short"), (506, "again and again " * 200), (507, _prose(draw, 60) + " " + items[2][1] + " " + _prose(draw, 60)), (508, _prose(draw, 3000))]
     texts.append((None, plain[4]))
     return texts, labels, items
 
@@ -106,5 +107,5 @@ def test_query_equals_sql(spark, name):
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {Path(f).stem} AS SELECT * FROM '{f}'")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.sql(queries.ORACLES[name]).df()
-    plain = lambda frame: sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
+    plain = lambda frame: sorted(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
