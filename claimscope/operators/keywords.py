@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def term_counts(docs: DataFrame, key: str, words: Column, stop: Sequence[str] = ()) -> DataFrame:
-    """(key, term, tf): one row per distinct term of a document that is no stop word, summed before the shuffle."""
-    found = docs.select(key, F.explode(words).alias("term"))
+    """(key, term, tf): one row per distinct term of a document that is no stop word.
+
+    Documents are dealt by their key before they are cut into words: that moves their texts once, in place of a row per
+    term, and each document is counted where it lies.
+    """
+    found = docs.repartition(key).select(key, F.explode(words).alias("term"))
     kept = found.where(~F.col("term").isin(*dict.fromkeys(stop))) if stop else found  # a hash set, tested row by row
     return kept.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
