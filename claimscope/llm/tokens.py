@@ -45,7 +45,7 @@ class TextEncoder:
     #: What an entry takes besides its part and ids: two objects and a place in the table.
     ENTRY_BYTES = 200
 
-    def __init__(self, vocabulary: str, most_bytes: int = 64 << 20, longest_kept: int = 48):
+    def __init__(self, vocabulary: str, most_bytes: int = 96 << 20, longest_kept: int = 48):
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as file:
@@ -67,8 +67,9 @@ class TextEncoder:
     def _part(self, word: str, spaced: bool) -> bytes:
         """Ids of a part: what a text holds from one cut to the next, behind the space that leads it, if any."""
         ids = self.kept[spaced].get(word)
-        if ids is not None:
-            return ids
+        return self._new(word, spaced) if ids is None else ids
+
+    def _new(self, word: str, spaced: bool) -> bytes:
         ids = self.older[spaced].get(word)
         if ids is None:
             if word.isalpha():  # a run of letters is one pre-token: no pattern needed
@@ -77,21 +78,22 @@ class TextEncoder:
                 ids = self._part(marked[1], spaced) + self._part(marked[2], False)
             elif _LINES.match(word):
                 first, *lines = word.split("\n")
-                return self._part("\n", False).join([self._part(first, spaced), *(self._part(x, False) for x in lines)])
+                return self._part("\n", False).join([self._part(first, spaced), *[self._part(x, False) for x in lines]])
             else:
                 ids = array("I", self.encoding.encode_ordinary(" " + word if spaced else word)).tobytes()
         if len(word) <= self.longest_kept:
+            self.held += self.ENTRY_BYTES + len(word) + len(ids)
             if self.held >= self.most_bytes:
                 self.older, self.kept, self.held = self.kept, ({}, {}), 0
             self.kept[spaced][word] = ids
-            self.held += self.ENTRY_BYTES + len(word) + len(ids)
         return ids
 
     def _ordinary(self, text: str) -> bytes:
         first, *parts = _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
         ids = list(map(self.kept[True].get, parts))
         if None in ids:
-            ids = [x if x is not None else self._part(p, True) for p, x in zip(parts, ids, strict=True)]
+            new = self._new
+            ids = [new(p, True) if x is None else x for p, x in zip(parts, ids)]  # noqa: B905  same length
         return self._part(first, False) + b"".join(ids)
 
     def encode_bytes(self, text: str) -> bytes:

@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 import re
 import zlib
@@ -110,6 +111,27 @@ def _labelled(n: int, seed: int) -> list[tuple[int, str, int]]:
     return rows
 
 
+def test_scores_of_texts_against_their_definition():
+    rows = _labelled(400, 7)
+    model = toxicity.learn([t for _, t, _ in rows], [y for _, _, y in rows], 0.2)
+    params = zstandard.ZstdCompressionParameters.from_level(13, min_match=3, search_log=7, hash_log=17, chain_log=17, window_log=18, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+
+    def length(content: bytes, window: bytes) -> int:
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(b"<0123456789:>" + window))
+
+    scorer, flagged = toxicity.Scorer(model), 0
+    for _, text, _ in [*rows[::25], (0, "", 0), (0, "123 ?!", 0)]:
+        words = [f" {w} ".encode() for w in re.findall(r"[a-z\u0080-\U0010ffff]+", text.lower())]
+        d = [length(model.ordinary, w) - length(model.toxic, w) for w in words]
+        hits = [sum(x >= k for x in d) for k in (2, 3, 4, 5, 6, 7)]
+        x = [1.0, max(d), math.log(len(d)), *map(math.log1p, hits), *(math.sqrt(h / len(d)) for h in hits)] if d else [1.0] + [0.0] * 14
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert math.isclose(scorer(text), 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+        flagged += scorer(text) >= 0.7
+    assert 0 < flagged < 10
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     rows = _labelled(1500, 1)
     docs = spark.createDataFrame([(k, t, 0.0, "x") for k, t, _ in rows] + [(None, "no id", 0.0, "x"), (9999, None, 0.0, "x")], DOCS)
