@@ -36,7 +36,7 @@ from claimscope.session import shared_path
 
 LENGTH, END_ID, SEED = 256, 50256, 20240101
 SHARD_BYTES, FLUSH_BYTES, READ_RECORDS = 32 << 20, 16 << 20, 16384
-LEVEL = 3
+LEVEL = 6
 _NO_ID = -(1 << 63)
 
 #: (shard, path, first slot, number of slots, ids in a record)
