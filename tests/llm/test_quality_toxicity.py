@@ -121,7 +121,7 @@ def test_scores_of_texts_against_their_definition():
         return len(zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(b"<0123456789:>" + window))
 
     scorer, flagged = toxicity.Scorer(model), 0
-    for _, text, _ in [*rows[::25], (0, "", 0), (0, "123 ?!", 0)]:
+    for _, text, _ in [*rows[::23], (0, "", 0), (0, "123 ?!", 0)]:
         words = [f" {w} ".encode() for w in re.findall(r"[a-z\u0080-\U0010ffff]+", text.lower())]
         d = [length(model.ordinary, w) - length(model.toxic, w) for w in words]
         hits = [sum(x >= k for x in d) for k in (2, 3, 4, 5, 6, 7)]
