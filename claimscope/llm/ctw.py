@@ -264,14 +264,17 @@ def _word_shard(folder: str, shard: int) -> Table:
     return _read(f"{folder}/shard={shard}", {"word": np.int64, "n": np.float64})
 
 
-def _held(blocks: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Successive blocks together, at most ``HELD_BYTES`` unless one alone is larger."""
+def _held(blocks: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, pa.Array, list[list[Piece]]]]]:
+    """Successive blocks together as (doc_id, held_out, groups of pieces), at most ``HELD_BYTES`` unless one alone is larger.
+
+    Of their texts only the pieces stay in memory.
+    """
     held, size = [], 0
     for block in blocks:
         if held and size + block.nbytes > HELD_BYTES:
             yield held
             held, size = [], 0
-        held.append(block)
+        held.append((block.column(0), block.column(1), list(pieces(block.column(2).to_pylist()))))
         size += block.nbytes
     if held:
         yield held
@@ -365,11 +368,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _held(row_blocks(batches, BLOCK_BYTES)):
-            sums = [np.zeros((5, block.num_rows)) for block in blocks]  # tokens, known, base, score, bytes
-            held = [(list(pieces(block.column(2).to_pylist())), total) for block, total in zip(blocks, sums, strict=True)]
+            sums = [np.zeros((5, len(ids))) for ids, _, _ in blocks]  # tokens, known, base, score, bytes
             for k in range(shards):
                 counted, (table, levels) = _word_shard(words_at, k), _gram_shard(grams_at, k)
-                for group, total in ((g, total) for groups, total in held for g in groups):
+                for group, total in ((g, total) for (_, _, groups), total in zip(blocks, sums, strict=True) for g in groups):
                     texts, read = total.shape[1], Stream(group)
                     words, owner = np.concatenate([read.words, np.full(len(read.ends), _END)]), np.concatenate([read.word_text, read.ends])
                     if not k:
@@ -394,10 +396,10 @@ def score(docs: DataFrame) -> DataFrame:
                         part = lost[low : low + (1 << 16)]
                         value[part] = byte_log10(distinct[part], levels, upper)
                     total[3] += np.bincount(owner, np.repeat(value, np.diff(np.append(fresh, len(gram)))), texts)
-            for block, (tokens, known, base, scores, n_bytes) in zip(blocks, sums, strict=True):
+            for (ids, out, _), (tokens, known, base, scores, n_bytes) in zip(blocks, sums, strict=True):
                 counts = [pa.array(x.astype(np.int64)) for x in (tokens, known, n_bytes)]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0), block.column(1), counts[0], counts[1], pa.array(base - tokens * floor), pa.array(scores), counts[2]],
+                    [ids, out, counts[0], counts[1], pa.array(base - tokens * floor), pa.array(scores), counts[2]],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
                 )
 
