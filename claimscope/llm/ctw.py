@@ -36,7 +36,7 @@ from claimscope.session import shared_path
 DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: Most grams, and most words, of a model shard.
-SHARD_GRAMS, SHARD_WORDS = 1_000_000, 2_000_000
+SHARD_GRAMS, SHARD_WORDS = 750_000, 2_000_000
 #: Text scored at once, and text that a task holds while it goes through the shards.
 BLOCK_BYTES, HELD_BYTES = 1 << 20, 64 << 20
 #: Stands for the end token among the words' hashes.
