@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import ctw, decontamination, extraction, packing, quality, simhash, token_files, toxicity, url_filters, warc
+from claimscope.llm import alignment, ctw, decontamination, extraction, packing, quality, simhash, token_files, toxicity, url_filters, warc, whitening
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,14 @@ def op10_feistel_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.materialised(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op8_temporal_url_filters": op8_temporal_url_filters,
     "op9_tag_path_extraction": op9_tag_path_extraction,
     "op10_feistel_token_files": op10_feistel_token_files,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op8_temporal_url_filters": url_filters.ORACLE}
