@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import alignment, ctw, decontamination, extraction, packing, quality, simhash, token_files, toxicity, url_filters, warc, whitening
+from claimscope.llm import alignment, ctw, decontamination, extraction, licenses, packing, quality, simhash, token_files, toxicity, url_filters, warc, whitening
 from claimscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_feistel_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.materialised(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -74,8 +78,9 @@ QUERIES: dict[str, Query] = {
     "op8_temporal_url_filters": op8_temporal_url_filters,
     "op9_tag_path_extraction": op9_tag_path_extraction,
     "op10_feistel_token_files": op10_feistel_token_files,
+    "op11_license_scan": op11_license_scan,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
-ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op8_temporal_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op8_temporal_url_filters": url_filters.ORACLE, "op11_license_scan": licenses.ORACLE}
