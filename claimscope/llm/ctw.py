@@ -321,8 +321,9 @@ class Trained:
         self.distinct, self.total = sizes.get(1, (0, 0))
         self.shards = max(1, -(-sizes.get(0, (0, 0))[0] // SHARD_GRAMS), -(-self.distinct // SHARD_WORDS))
         self.words, self.grams = shared_path(spark, "words"), shared_path(spark, "grams")
+        # dealt by shard: a shard of bounded size is one file, so files grow with the shards, not with their square
         counts.where("kind = 1").select(F.pmod("key", F.lit(self.shards)).cast("int").alias("shard"), F.col("key").alias("word"), "n").repartition(
-            16 * self.shards, "word"
+            self.shards, "shard"
         ).write.partitionBy("shard").parquet(self.words)
         shards, buckets = self.shards, 32 * self.shards
         found = counts.where("kind = 0").select(

@@ -95,6 +95,18 @@ def test_scores_against_plain_context_tree_and_counts(spark, shard, monkeypatch)
         assert math.isclose(r["score"], plain.log10(b" ".join(words[t][:-1]) + b"\n"), rel_tol=2e-3)
 
 
+def test_a_word_shard_is_one_file(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = [(k, " ".join("".join(draw.choice("abcdefgh") for _ in range(4)) for _ in range(60)), 0.0, "x", 1) for k in range(60)]
+    for shard in (400, 100):
+        monkeypatch.setattr(ctw, "SHARD_WORDS", shard)
+        model = ctw.Trained(spark.createDataFrame(rows, DOCS))
+        files = spark.read.parquet(model.words).inputFiles()
+        assert model.shards >= 1500 // shard and len(files) <= model.shards
+        found = spark.read.parquet(model.words)
+        assert (found.count(), found.agg({"n": "sum"}).first()[0]) == (model.distinct, model.total)
+
+
 def test_scores_of_no_documents(spark):
     assert ctw.score(spark.createDataFrame([], DOCS)).count() == 0
 
