@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.operators.segmentation import Tagger, tagger
+
 #: A dictionary of so many terms at most goes to every task.
 MOST_TERMS = 1_000_000
-_HAN = re.compile(r"[㐀-鿿]+")
+_HAN = r"[㐀-鿿]+"
 
 
 def segment(run: str, costs: dict[str, float], longest: int, unknown: float) -> list[str]:
@@ -33,22 +35,44 @@ def segment(run: str, costs: dict[str, float], longest: int, unknown: float) ->
     return out[::-1]
 
 
-def dictionary_segmenter(dictionary: DataFrame) -> Callable[[Column], Column]:
-    """A segmenter from a dictionary (term, freq): Chinese runs are cut into words, joined by blanks; the rest stays.
+def with_unknown_words(pieces: list[str], costs: dict[str, float], tagger: Tagger) -> list[str]:
+    """Neighbouring single characters are cut anew by the tagger, unless together they are a dictionary term."""
+    out, run = [], ""
+    for piece in [*pieces, ""]:
+        if len(piece) == 1:
+            run += piece
+            continue
+        if run:
+            out += [run] if len(run) == 1 else list(run) if run in costs else tagger.cut(run)
+        run = ""
+        if piece:
+            out.append(piece)
+    return out
+
+
+def dictionary_segmenter(dictionary: DataFrame, model: DataFrame | None = None, runs: str = _HAN) -> Callable[[Column], Column]:
+    """A segmenter from a dictionary (term, freq): runs of characters are cut into words, joined by blanks; the rest stays.
 
-    The dictionary's size is checked before it is collected.
+    With ``model``, a table of ``operators.segmentation.fit``, what the dictionary leaves as single characters becomes words
+    by the most probable states. ``runs`` is the pattern of a run (Chinese characters by default). The sizes of dictionary and
+    model are checked before they are collected.
     """
     if dictionary.limit(MOST_TERMS + 1).count() > MOST_TERMS:
         raise ValueError(f"the dictionary has more than {MOST_TERMS} terms")
     freq = {r["term"]: float(r["freq"]) for r in dictionary.where("term <> '' and freq > 0").collect()}
     total = sum(freq.values()) or 1.0
     costs, longest, unknown = {t: -math.log(f / total) for t, f in freq.items()}, max(map(len, freq), default=1), -math.log(0.5 / (total + 1))
-    shared = dictionary.sparkSession.sparkContext.broadcast(costs)
+    shared, pattern = dictionary.sparkSession.sparkContext.broadcast((costs, None if model is None else tagger(model))), re.compile(runs)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return texts.map(lambda t: " ".join(_HAN.sub(lambda m: " " + " ".join(segment(m[0], own, longest, unknown)) + " ", t).split()), na_action="ignore")
+        own, states = shared.value
+
+        def words(run: str) -> list[str]:
+            pieces = segment(run, own, longest, unknown)
+            return pieces if states is None else with_unknown_words(pieces, own, states)
+
+        return texts.map(lambda t: " ".join(pattern.sub(lambda m: " " + " ".join(words(m[0])) + " ", t).split()), na_action="ignore")
 
     return cut
 

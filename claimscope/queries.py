@@ -8,12 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions import html, text, urls
 from claimscope.functions.providers import ExtractLinks, dictionary_segmenter, hashed_embedding
-from claimscope.operators import classify, dom, domains, factcheck, feedback, keywords, paragraphs, sentiment
+from claimscope.operators import classify, dom, domains, factcheck, feedback, keywords, paragraphs, redirects, segmentation, sentiment
 from claimscope.plans import article, render
 from claimscope.rules import ICON_URL, LATIN_STOP_WORDS, NO_VERDICT, REPORT_HEADINGS, SITE_RULES, STOP_WORDS, ban_lines, site_rules
 from claimscope.session import shared_path, stored, table
@@ -176,6 +176,31 @@ def url_redirects(spark: SparkSession, sf: str) -> DataFrame:
     return pages.join(redirects, F.col("page_id") == F.col("src_id"), "left").select("page_id", F.coalesce("dst", "url").alias("final_url"))
 
 
+#: Each page's address leads to the next one of its domain; the last of example.net leads back to the first.
+_CHAINS = f"""{_DOMAINS},
+    named AS (SELECT page_id, url, domain, lead(url) OVER (PARTITION BY domain ORDER BY page_id) AS next, first_value(url) OVER (PARTITION BY domain ORDER BY page_id) AS first FROM domains),
+    edges AS (SELECT url AS src, min(coalesce(next, CASE WHEN domain = 'example.net' THEN first END)) AS dst FROM named WHERE url IS NOT NULL GROUP BY url),
+    redirects AS (SELECT * FROM edges WHERE dst IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAINS}, n AS (SELECT count(*) AS n FROM redirects),
+    way AS (SELECT src, dst AS stop, CAST(1 AS BIGINT) AS hops FROM redirects UNION ALL SELECT way.src, r.dst, way.hops + 1 FROM way JOIN redirects r ON r.src = way.stop, n WHERE way.hops <= n.n),
+    ends AS (SELECT src, stop, hops FROM way WHERE stop NOT IN (SELECT src FROM redirects))
+    SELECT p.page_id, CASE WHEN r.src IS NULL THEN p.url ELSE e.stop END AS final_url, e.hops, r.src IS NOT NULL AND e.src IS NULL AS loop
+    FROM pages p LEFT JOIN redirects r ON r.src = p.url LEFT JOIN ends e ON e.src = p.url"""
+)
+def redirect_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of as many hops as a domain has pages, and a loop."""
+    pages = table(spark, sf, "pages").select("page_id", "url", urls.registered_domain(F.col("url")).alias("domain"))
+    order = Window.partitionBy("domain").orderBy("page_id")
+    back = F.when(F.col("domain") == "example.net", F.first_value("url").over(order))
+    links = pages.select(F.col("url").alias("src"), F.coalesce(F.lead("url").over(order), back).alias("dst"))
+    ends = redirects.followed(links)
+    joined = pages.join(ends, F.col("url") == F.col("src"), "left")
+    return joined.select("page_id", F.when(F.col("src").isNull(), F.col("url")).otherwise(F.col("final")).alias("final_url"), "hops", F.coalesce("loop", F.lit(False)).alias("loop"))
+
+
 @query(
     f"""WITH t AS (SELECT page_id, {_stripped_sql(f"regexp_extract(html, '{html.TITLE.replace('(?s)', '')}', 1, 's')")} AS title FROM pages)
     SELECT page_id, 'https://search.example/?q=' || title AS plain, CASE WHEN contains(title, 'the') THEN right(title, 5) ELSE left(title, 5) END AS narrowed,
@@ -454,6 +479,52 @@ def title_segmented(spark: SparkSession, sf: str) -> DataFrame:
     return segmented.select("page_id", "segmented", F.array_join(text.without(F.split("segmented", " "), STOP_WORDS), " ").alias("keywords"))
 
 
+#: kind, state, value, n, logp of the hidden Markov model over the documents' words.
+_TAGS = r"""words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda x: x <> '') AS w FROM documents),
+    word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS w FROM words),
+    ch AS (SELECT doc_id, k, unnest(range(1, length(w) + 1)) AS i, length(w) AS n, w FROM word),
+    tags AS (SELECT doc_id, k, i, substr(w, i, 1) AS c, CASE WHEN n = 1 THEN 'S' WHEN i = 1 THEN 'B' WHEN i = n THEN 'E' ELSE 'M' END AS s, lead(CASE WHEN n = 1 THEN 'S' WHEN i = 1 THEN 'B' WHEN i = n THEN 'E' ELSE 'M' END) OVER (PARTITION BY doc_id ORDER BY k, i) AS next FROM ch),
+    seen AS (SELECT 'start' AS kind, s AS state, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM tags WHERE k = 1 AND i = 1 GROUP BY s UNION ALL SELECT 'emission', s, c, count(*) FROM tags GROUP BY s, c
+      UNION ALL SELECT 'transition', s, next, count(*) FROM tags WHERE next IS NOT NULL GROUP BY s, next),
+    possible(kind, state, value) AS (VALUES ('start', 'B', NULL), ('start', 'S', NULL), ('emission', 'B', NULL), ('emission', 'M', NULL), ('emission', 'E', NULL), ('emission', 'S', NULL), ('transition', 'B', 'M'), ('transition', 'B', 'E'),
+      ('transition', 'M', 'M'), ('transition', 'M', 'E'), ('transition', 'E', 'B'), ('transition', 'E', 'S'), ('transition', 'S', 'B'), ('transition', 'S', 'S')),
+    cells AS (SELECT kind, state, value, sum(n) AS n FROM (SELECT * FROM seen UNION ALL SELECT *, 0 FROM possible) GROUP BY ALL),
+    sums AS (SELECT kind, CASE WHEN kind = 'start' THEN '' ELSE state END AS state, sum(n) AS total FROM cells GROUP BY ALL), v AS (SELECT count(DISTINCT value) AS v FROM seen WHERE kind = 'emission'),
+    model AS (SELECT kind, c.state, value, CAST(n AS BIGINT) AS n, ln((n + 1.0) / (total + CASE WHEN kind = 'emission' THEN v + 1 ELSE 2 END)) AS logp FROM cells c JOIN sums s USING (kind), v WHERE s.state = CASE WHEN kind = 'start' THEN '' ELSE c.state END)"""
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    return segmentation.fit(stored(segmentation.state_counts(docs, letters), "states"))
+
+
+@query(f"WITH {_TAGS} SELECT kind, state, value, n, round(logp, 6) AS logp FROM model")
+def segmentation_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Start, transition and emission probabilities of the states of characters in the documents' words."""
+    return _states(spark, sf).select("kind", "state", "value", "n", F.round("logp", 6).alias("logp"))
+
+
+@query(
+    rf"""WITH RECURSIVE {_TAGS}, t AS (SELECT page_id, regexp_replace(lower(coalesce(nullif({_stripped_sql(f"regexp_extract(html, '{html.TITLE.replace('(?s)', '')}', 1, 's')")}, ''), '')), '[^\p{{L}}]+', '', 'g') AS run FROM pages),
+    st(state) AS (VALUES ('B'), ('M'), ('E'), ('S')),
+    e AS (SELECT state, c, coalesce(m.logp, u.logp) AS logp FROM (SELECT DISTINCT unnest(string_split(run, '')) AS c FROM t WHERE run <> '') c, st JOIN model u USING (state) LEFT JOIN model m ON m.kind = 'emission' AND m.state = st.state AND m.value = c.c WHERE u.kind = 'emission' AND u.value IS NULL),
+    best AS (
+      SELECT page_id, 1 AS pos, e.state, e.state AS path, m.logp + e.logp AS score FROM t JOIN e ON e.c = substr(run, 1, 1) JOIN model m ON m.kind = 'start' AND m.state = e.state WHERE run <> ''
+      UNION ALL
+      SELECT page_id, any_value(b.pos) + 1, e.state, arg_max(b.path, b.score + m.logp) || e.state, max(b.score + m.logp) + any_value(e.logp)
+      FROM best b JOIN t USING (page_id) JOIN model m ON m.kind = 'transition' AND m.state = b.state JOIN e ON e.state = m.value AND e.c = substr(run, b.pos + 1, 1) WHERE b.pos < length(run) GROUP BY page_id, e.state),
+    last AS (SELECT page_id, arg_max(path, score) AS path FROM best JOIN t USING (page_id) WHERE pos = length(run) AND state IN ('E', 'S') GROUP BY page_id)
+    SELECT page_id, coalesce(array_to_string(list_transform(range(1, length(run) + 1), lambda i: CASE WHEN i > 1 AND substr(path, i, 1) IN ('B', 'S') THEN ' ' ELSE '' END || substr(run, i, 1)), ''), '') AS words FROM t LEFT JOIN last USING (page_id)"""
+)
+def title_unknown_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles without their blanks, cut into words by the states alone: no word of theirs is in a dictionary."""
+    run = F.regexp_replace(F.lower(F.coalesce(html.title(F.col("html")), F.lit(""))), r"[^\p{L}]+", "")
+    nothing = spark.createDataFrame([], "term string, freq int")
+    cut = dictionary_segmenter(nothing, stored(_states(spark, sf), "model"), runs=r"[^\W\d_]+")
+    return table(spark, sf, "pages").select("page_id", cut(run).alias("words"))
+
+
 @query("SELECT lang, doc_id, md5(CASE WHEN lang = 'de' THEN replace(text, ' ', '/') ELSE text END) AS branch_md5 FROM documents")
 def doc_lang_branch(spark: SparkSession, sf: str) -> DataFrame:
     lang = F.when(F.col("lang") == "de", "zh-TW").otherwise(F.col("lang"))  # the tables have no Chinese; German stands for it
