@@ -38,7 +38,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Most grams, and most words, of a model shard.
 SHARD_GRAMS, SHARD_WORDS = 750_000, 2_000_000
 #: Text scored at once, and text that a task holds while it goes through the shards.
-BLOCK_BYTES, HELD_BYTES = 1 << 20, 64 << 20
+BLOCK_BYTES, HELD_BYTES = 1 << 20, 32 << 20
 #: Stands for the end token among the words' hashes.
 _END = -1
 _BITS = range(8)
@@ -251,7 +251,6 @@ def _read(folder: str, columns: dict[str, type]) -> Table:
     return out
 
 
-@lru_cache(maxsize=1)
 def _gram_shard(folder: str, shard: int) -> tuple[Table, dict]:
     """The bytes' log10 probabilities by gram, and per depth the nodes (key, log odds of a one, weight)."""
     node = {"key": np.int64, "a": np.float16, "b": np.float16}
@@ -259,11 +258,22 @@ def _gram_shard(folder: str, shard: int) -> tuple[Table, dict]:
     return _read(f"{folder}/shard={shard}/depth={DEPTH + 1}", {"key": np.int64, "a": np.float32}), {d: (t.keys, *t.values) for d, t in levels.items()}
 
 
-@lru_cache(maxsize=1)
 def _word_shard(folder: str, shard: int) -> Table:
     return _read(f"{folder}/shard={shard}", {"word": np.int64, "n": np.float64})
 
 
+#: The shard that this worker process read last.
+_SHARD: dict[tuple[str, str, int], tuple] = {}
+
+
+def _shard(words: str, grams: str, k: int) -> tuple[Table, tuple[Table, dict]]:
+    """Shard k of the model; the one read before is let go first, so that a worker never holds two."""
+    if (words, grams, k) not in _SHARD:
+        _SHARD.clear()
+        _SHARD[words, grams, k] = _word_shard(words, k), _gram_shard(grams, k)
+    return _SHARD[words, grams, k]
+
+
 def _held(blocks: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, pa.Array, list[list[Piece]]]]]:
     """Successive blocks together as (doc_id, held_out, groups of pieces), at most ``HELD_BYTES`` unless one alone is larger.
 
@@ -274,7 +284,8 @@ def _held(blocks: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, pa.
         if held and size + block.nbytes > HELD_BYTES:
             yield held
             held, size = [], 0
-        held.append((block.column(0), block.column(1), list(pieces(block.column(2).to_pylist()))))
+        ids, out = (pa.array(block.column(k).to_pylist(), block.column(k).type) for k in (0, 1))  # a slice would keep the batch's texts
+        held.append((ids, out, list(pieces(block.column(2).to_pylist()))))
         size += block.nbytes
     if held:
         yield held
@@ -371,7 +382,8 @@ def score(docs: DataFrame) -> DataFrame:
         for blocks in _held(row_blocks(batches, BLOCK_BYTES)):
             sums = [np.zeros((5, len(ids))) for ids, _, _ in blocks]  # tokens, known, base, score, bytes
             for k in range(shards):
-                counted, (table, levels) = _word_shard(words_at, k), _gram_shard(grams_at, k)
+                counted = table = levels = None  # else they would outlive the shard while the next one is read
+                counted, (table, levels) = _shard(words_at, grams_at, k)
                 for group, total in ((g, total) for (_, _, groups), total in zip(blocks, sums, strict=True) for g in groups):
                     texts, read = total.shape[1], Stream(group)
                     words, owner = np.concatenate([read.words, np.full(len(read.ends), _END)]), np.concatenate([read.word_text, read.ends])
