@@ -44,6 +44,92 @@ def toggles(clicks: DataFrame) -> DataFrame:
     return clicks.groupBy("post_id").transformWithStateInPandas(Toggle(), "post_id string, clicks long, built boolean, visible boolean", "Update", "None")
 
 
+class ExpiringToggle(StatefulProcessor):
+    """As ``Toggle``, with state that ends.
+
+    An event id is kept until the watermark passes its event's time: a repetition after that is late. Late events change
+    nothing and come out as rows of kind ``late``. A post without events for ``idle_ms`` of event time gives its last
+    state once more as kind ``expired``, and its state is removed; a click after that starts anew.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clicks = handle.getValueState("clicks", "clicks long, last long")
+        self.events = handle.getMapState("events", "event_id long", "at long")
+
+    def _row(self, key, kind: str, clicks: int, event: int | None, at: int) -> dict:
+        return {"post_id": key[0], "kind": kind, "event_id": event, "at": at, "clicks": clicks, "built": clicks > 0, "visible": clicks % 2 == 1}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        clicks, last = self.clicks.get() if self.clicks.exists() else (0, -1)
+        late, before = [], clicks
+        for r in rows:
+            r = r[r["known"]]
+            for event, at in zip(r["event_id"].tolist(), r["at"].tolist(), strict=True):
+                if at <= passed:
+                    late.append((event, at))
+                elif not self.events.containsKey((event,)):
+                    self.events.updateValue((event,), (at,))
+                    clicks, last = clicks + 1, max(last, at)
+        out = [self._row(key, "late", clicks, event, at) for event, at in late]
+        if clicks > before:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.clicks.update((clicks, last))
+            # the next id to be dropped, or the end of the post
+            self.handle.registerTimer(min(self._kept(passed), default=last + self.idle_ms))
+            out.append(self._row(key, "state", clicks, None, last))
+        if out:
+            yield pd.DataFrame(out).astype({"event_id": "Int64"})
+
+    def _kept(self, passed: int) -> list[int]:
+        """Drop the ids of events that the watermark has passed; the times of the others."""
+        rows = [(k[0], v[0]) for k, v in self.events.iterator()] if self.events.exists() else []
+        for event, at in rows:
+            if at <= passed:
+                self.events.removeKey((event,))
+        return [at for _, at in rows if at > passed]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        clicks, last = self.clicks.get()
+        kept = self._kept(passed)
+        if kept or passed < last + self.idle_ms:
+            self.handle.registerTimer(min(kept, default=last + self.idle_ms))
+            return
+        self.clicks.clear()
+        self.events.clear()
+        yield pd.DataFrame([self._row(key, "expired", clicks, None, last)]).astype({"event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+EXPIRING = "post_id string, kind string, event_id long, at long, clicks long, built boolean, visible boolean"
+
+
+def expiring_toggles(clicks: DataFrame, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """Stream of toggles with bounded state from clicks (post_id, event_id, ts): rows of kinds state, late and expired.
+
+    ``late`` is the watermark's delay, ``idle`` how long a post's state stays after its last event; times come out in
+    milliseconds. Rows without post, event id or time are no clicks, but their times move the clock. Ids of events are held for the delay only, whatever a post's number of clicks is. Needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    timed = clicks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    # without the marked column itself, which would let Spark drop late rows before the operator sees them; and without a
+    # filter, which Spark would move before the clock
+    zero = F.lit(0).cast("long")
+    own = timed.select("post_id", F.coalesce("event_id", zero).alias("event_id"), F.coalesce(F.unix_millis("ts"), zero).alias("at"), (F.col("event_id").isNotNull() & F.col("ts").isNotNull()).alias("known"))
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return own.groupBy("post_id").transformWithStateInPandas(ExpiringToggle(ms), EXPIRING, "Append", "EventTime")
+
+
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
