@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 from claimscope.session import discard, stored
 
-__all__ = ["discard", "numbered", "row_blocks", "stored", "text_or_empty"]
+__all__ = ["discard", "numbered", "row_blocks", "stored", "text_or_empty", "unused"]
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each with underscores before it until no column of ``df`` is called so (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of bounded size, so that a few long texts do not fill a worker.
 

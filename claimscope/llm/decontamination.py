@@ -2,16 +2,17 @@
 
 Each test item is indexed by its word pairs (an item of one word by that word), with BM25 impacts divided by the item's
 score for itself, so that a score of 1 means that a passage holds all of the item and one threshold serves items of all
-lengths. Every document is cut into overlapping passages of twice the longest item at least; each passage is a query,
-and all items above the threshold are retrieved: passages whose terms' greatest impacts do not sum up to the threshold
+lengths. Every document is cut into overlapping passages of twice an item's length, rounded up to a power of two, so items
+of like lengths share passages and no item changes those of others; each passage is a query, and all items above the threshold are retrieved: passages whose terms' greatest impacts do not sum up to the threshold
 have no pivot and are left out at once, the others walk the postings with block maxima. A retrieved item is verified
 in the surroundings of every passage that retrieved it: a word of the item is held if it lies in a shingle of five words
 (or of all words of a shorter item) that stands there. The item is a leak if at least 0.8 of its words are held, or 0.8 of
 its question (all but its last line or sentence); both shares are reported.
 
 Words are lower-cased runs of letters and digits, and single characters of scripts that put no blanks between words.
-Items without words name no passage. Items are indexed in blocks of at most ``BLOCK_ITEMS``, one pass over the documents
-each, so what is broadcast is bounded by a block.
+Items without words name no passage. Document frequencies and the mean length are those of all items, summed up by Spark,
+so neither scores nor leaks depend on how items are dealt. Items are indexed in blocks of about ``BLOCK_ITEMS``, one pass
+over the documents each, so what is broadcast is bounded by a block; each block reads its own part of the stored items.
 
 Nulls: null texts of documents or items are empty; a null ``doc_id`` is passed through, a null ``item_id`` too. Repeated
 documents and items give repeated rows. Empty tables give no rows. Extra columns are ignored by ``leaks`` and kept by
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import row_blocks, text_or_empty
+from claimscope.llm.common import row_blocks, stored, text_or_empty
+from claimscope.session import shared_path
 
 THRESHOLD = 0.5
 OVERLAP, SHINGLE = 0.8, 5
 K1, B = 1.2, 0.75
-LEAST_PASSAGE, POSTING_BLOCK, BLOCK_ITEMS = 128, 8, 20_000
+SHORTEST, POSTING_BLOCK, BLOCK_ITEMS = 64, 8, 20_000
 #: Kana, Han, Thai, Lao, Burmese and Khmer.
 _UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_UNSPACED}](?<=\w)|[^\W{_UNSPACED}]+")
@@ -65,12 +68,35 @@ def question_words(text: str) -> int:
     return len(words(text))
 
 
+class Statistics(NamedTuple):
+    """Of all items that have words: their number, their mean number of terms, and how many hold each term (1 where it is not named)."""
+
+    items: int
+    mean: float
+    df: dict[str, int]
+
+
+def terms_of(ws: list[str]) -> list[str]:
+    """The terms of an item: its word pairs, or its only word."""
+    return [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)] if len(ws) > 1 else ws
+
+
+def statistics_of(items: Iterable[str]) -> Statistics:
+    own = [t for t in map(terms_of, map(words, items)) if t]
+    df = Counter(t for ts in own for t in set(ts))
+    return Statistics(len(own), sum(map(len, own)) / max(len(own), 1), {t: n for t, n in df.items() if n > 1})
+
+
+def length_class(n_words: int) -> int:
+    return max(SHORTEST, 1 << (n_words - 1).bit_length())
+
+
 class Index:
-    """Postings of a block of items with normalised impacts and block maxima; arrays, as a block may hold many items."""
+    """Postings of items of like lengths with normalised impacts and block maxima; arrays, as there may be many items."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
-        tokened = [(i, words(t), question_words(t)) for i, t in items]
-        self.items = sorted((x for x in tokened if x[1]), key=lambda x: len(x[1]))
+    def __init__(self, items: list[tuple[int | None, list[str], int]], statistics: Statistics):
+        """items: id, words (at least one), question words."""
+        self.items = sorted(items, key=lambda x: len(x[1]))
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws, _ in self.items for w in ws}))}
         self.size = size = len(self.vocabulary) + 1  # the last code stands after an item of one word
         parts = []
@@ -84,13 +110,15 @@ class Index:
         #: the postings of term k are those from starts[k] to starts[k + 1]
         self.keys, first, found = np.unique(terms, return_index=True, return_counts=True)
         self.starts = np.append(first, len(terms))
-        lengths = np.bincount(ids, tf, len(self.items)) if len(self.items) else np.zeros(0)
-        n, df = len(self.items), np.repeat(found, found)
-        room = K1 * (1 - B + B * lengths[ids] / (lengths.mean() if n else 1))
+        names, frequency = [*self.vocabulary, ""], statistics.df.get
+        every = np.array([frequency(f"{names[k // size]} {names[k % size]}".rstrip(), 1) for k in self.keys.tolist()], dtype=float)
+        lengths, n = np.bincount(ids, tf, len(self.items)) if len(self.items) else np.zeros(0), statistics.items
+        df = np.repeat(every, found)
+        room = K1 * (1 - B + B * lengths[ids] / (statistics.mean or 1))
         impact = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + room)
-        self.ids, self.impacts = ids.astype(np.int32), impact / np.bincount(ids, impact, n)[ids] if n else impact
-        self.greatest = np.maximum.reduceat(self.impacts, first) if n else np.zeros(0)
-        self.passage = max([LEAST_PASSAGE, *(2 * len(ws) for _, ws, _ in self.items)])
+        self.ids, self.impacts = ids.astype(np.int32), impact / np.bincount(ids, impact, len(self.items))[ids] if len(self.items) else impact
+        self.greatest = np.maximum.reduceat(self.impacts, first) if len(self.items) else np.zeros(0)
+        self.passage = 2 * length_class(max((len(ws) for _, ws, _ in self.items), default=1))
         self.single = {ws[0] for _, ws, _ in self.items if len(ws) == 1}
 
     def postings(self, term: int) -> tuple[list[int], list[float], dict[int, float]]:
@@ -152,9 +180,8 @@ class Index:
                 covered[k : k + n] = True
         return covered
 
-    def search(self, text: str) -> list[Leak]:
-        """The leaks of a document, each item once, with its best passage's score."""
-        found = words(text)
+    def search(self, found: list[str]) -> list[Leak]:
+        """The leaks of a document's words, each item once, with its best passage's score."""
         if not found or not len(self.keys):
             return []
         get = self.vocabulary.get
@@ -196,13 +223,52 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items in blocks; each holds about ``BLOCK_ITEMS`` items at most, and takes about 1 KB an item."""
+class Block:
+    """The indexes of a block of items, one for each class of lengths."""
+
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
+        """``statistics``: of all items, those of the block alone where it is the only one."""
+        statistics = statistics or statistics_of(t for _, t in items)
+        classes: dict[int, list] = {}
+        for item, text in items:
+            if ws := words(text):
+                classes.setdefault(length_class(len(ws)), []).append((item, ws, question_words(text)))
+        self.indexes = [Index(own, statistics) for _, own in sorted(classes.items())]
+
+    def search(self, text: str) -> list[Leak]:
+        found = words(text) if self.indexes else []
+        return [leak for index in self.indexes for leak in index.search(found)]
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[Block]:
+    """The items in blocks of about ``BLOCK_ITEMS``; one takes about 1 KB an item.
+
+    Of several blocks, each reads its own items, and those of its terms that several items hold, from stored parts.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    if blocks == 1:
+        yield Block([(r["item_id"], r["text"]) for r in items.collect()])
+        return
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in row_blocks(batches):
+            own = [terms_of(words(t)) for t in block.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(map(len, own), pa.int64()), pa.array([sorted(set(t)) for t in own], pa.list_(pa.string()))], ["block", "length", "terms"])
+
+    spark = benchmark.sparkSession
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    places = [shared_path(spark, name) for name in ("items", "frequencies")]
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(places[0])
+    cuts = stored(dealt.select("block", "item_id", "text").mapInArrow(cut, "block int, length long, terms array<string>"), "terms")
+    sums = cuts.where("length > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    terms = cuts.select("block", F.explode("terms").alias("term"))
+    shared = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    terms.distinct().join(shared, "term").repartition(blocks, "block").write.partitionBy("block").parquet(places[1])
+    known, frequencies = (spark.read.schema(schema).parquet(p) for p, schema in zip(places, ("item_id long, text string, block int", "term string, df long, block int"), strict=True))
     for k in range(blocks):
-        yield Index([(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == k).collect()])
+        df = {r["term"]: r["df"] for r in frequencies.where(F.col("block") == k).collect()}
+        yield Block([(r["item_id"], r["text"]) for r in known.where(F.col("block") == k).collect()], Statistics(sums["n"], sums["length"] / max(sums["n"], 1), df))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -210,7 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
-    def by_block(index: Index) -> DataFrame:
+    def by_block(index: Block) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +295,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
     spark = docs.sparkSession
 
-    def clean(index: Index) -> Column:
+    def clean(index: Block) -> Column:
         shared = spark.sparkContext.broadcast(index)
 
         @F.pandas_udf("boolean")

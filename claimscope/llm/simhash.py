@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm import resemblance
-from claimscope.llm.common import row_blocks, stored, text_or_empty
+from claimscope.llm.common import row_blocks, stored, text_or_empty, unused
 from claimscope.llm.graph import components
 
 WORDS = 3
@@ -138,15 +138,17 @@ def keep_first(docs: DataFrame, words: int = resemblance.WORDS, similarity: floa
 
     Near-duplicates are documents whose shingles of ``words`` words have at least this Jaccard similarity, not those of
     ``near_duplicates``. Documents without an id come after those with one, and documents with one id are told apart by
-    their texts; of rows with the same id and text one stays.
+    their texts; of rows with the same id and text one stays. No column is changed, whatever it is called.
     """
     found = resemblance.groups(docs, words, similarity)
     rows = found.groupBy("root", "doc_id", "tie").agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "rows")
-    kept = stored(rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.tie").alias("__text"), (F.col("first.rows") > 1).alias("__many")), "kept")
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__tie", F.xxhash64(text_or_empty()))
+    own_id, own_tie, kept_id, kept_tie, several = unused(docs, "__id", "__tie", "__kept", "__text", "__many")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    kept = stored(first.select(F.col("first.doc_id").alias(kept_id), F.col("first.tie").alias(kept_tie), (F.col("first.rows") > 1).alias(several)), "kept")
+    rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_tie, F.xxhash64(text_or_empty()))
     # by shuffle: the kept ids grow with the corpus, so a broadcast of them has no bound
-    out = rows.join(kept.hint("merge"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__tie") == F.col("__text")))
+    out = rows.join(kept.hint("merge"), F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_tie) == F.col(kept_tie)))
     # where a kept id and text stand in several rows, one of them stays
-    many = out.where("__many").dropDuplicates(["__id", "__tie"])
-    return out.where("not __many").unionByName(many).select(*docs.columns)
+    many = out.where(F.col(several)).dropDuplicates([own_id, own_tie])
+    return out.where(~F.col(several)).unionByName(many).select(*docs.columns)

@@ -122,7 +122,7 @@ def _items(draw, n):
 def test_wand_retrieves_all_above_the_threshold():
     draw = random.Random(1)
     words, items = _items(draw, 60)
-    index = decontamination.Index(items)
+    index = decontamination.Index([(k, decontamination.words(t), decontamination.question_words(t)) for k, t in items], decontamination.statistics_of(t for _, t in items))
     for _ in range(200):
         own = [index.vocabulary[w] for w in index.items[draw.randrange(60)][1]]
         terms = [int(np.searchsorted(index.keys, a * index.size + b)) for a, b in zip(own, own[1:], strict=False)]
@@ -140,11 +140,13 @@ def _plain_leaks(items, text):
     known = [(i, split(t), decontamination.question_words(t)) for i, t in items if split(t)]
     terms = [Counter(zip(ws, ws[1:], strict=False)) if len(ws) > 1 else Counter([(ws[0], None)]) for _, ws, _ in known]
     df, mean, n = Counter(t for c in terms for t in c), sum(sum(c.values()) for c in terms) / len(terms), len(terms)
-    found, passage = split(text), max([128, *(2 * len(ws) for _, ws, _ in known)])
+    found = split(text)
     out = set()
     for (item, ws, question), c in zip(known, terms, strict=True):
         impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, tf in c.items()}
-        covered = [False] * len(ws)
+        covered, passage = [False] * len(ws), 128
+        while passage < 2 * len(ws):
+            passage *= 2
         for start in range(0, max(1, len(found) - passage // 2), passage // 2):
             own = found[start : start + passage + 1]
             there = set(zip(own, own[1:], strict=False)) | {(x, None) for x in own[:passage]}
@@ -164,7 +166,7 @@ def test_leaks_against_scoring_every_passage():
     draw = random.Random(21)
     words, items = _items(draw, 40)
     items += [(100, "kalo mite su"), (101, words[3]), (102, "日本の首都は東京である"), (103, "what is it " + words[5])]
-    index, hits = decontamination.Index(items), 0
+    index, hits = decontamination.Block(items), 0
     for _ in range(150):
         text = " ".join(draw.choice(words) for _ in range(draw.randint(0, 500)))
         for _, passage in draw.sample(items, draw.randint(0, 3)):
@@ -185,7 +187,7 @@ def test_a_leak_is_found_beside_a_passage_that_scores_higher():
     draw.shuffle(pairs)
     filler = " ".join(f"other{k}" for k in range(400))
     text = " ".join(ws[: int(0.86 * len(ws))]) + " " + filler + " " + " zz ".join(pairs)
-    assert [leak.item for leak in decontamination.Index(items).search(text)] == [4]
+    assert [leak.item for leak in decontamination.Block(items).search(text)] == [4]
 
 
 def test_leaks_in_documents_of_all_kinds(spark):
@@ -214,12 +216,46 @@ def test_leaks_in_documents_of_all_kinds(spark):
     assert decontamination.leaks(docs.limit(0), benchmark).count() == 0 and decontamination.leaks(docs, benchmark.limit(0)).count() == 0
 
 
-def test_index_in_blocks_gives_the_same(spark, monkeypatch):
-    words, items = _items(random.Random(9), 12)
-    docs = spark.createDataFrame([(k, t, 0.0, "x", 1) for k, t in items], DOCS)
+def _scored(docs, benchmark):
+    return {(r["doc_id"], r["item_id"]): (r["score"], r["question_overlap"], r["answer_overlap"]) for r in decontamination.leaks(docs, benchmark).collect()}
+
+
+def _mixed(draw, items, words, n):
+    """Texts that hold parts of items, and pairs of theirs scattered in other words."""
+    out = []
+    for k in range(n):
+        parts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 200)))]
+        for _, passage in draw.sample(items, draw.randint(0, 3)):
+            ws = passage.split(" ")
+            low = draw.randint(0, len(ws) // 3)
+            parts.append(" ".join(ws[low : low + draw.randint(len(ws) // 2, len(ws))]))
+        draw.shuffle(parts)
+        out.append((k, " ".join(parts), 0.0, "x", 1))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 13])
+def test_blocks_change_neither_leaks_nor_scores(spark, monkeypatch, block):
+    draw = random.Random(9)
+    words, items = _items(draw, 40)
+    items += [(50, items[3][1]), (None, items[5][1]), (51, "kalo"), (52, None), (53, "")]
+    docs = spark.createDataFrame(_mixed(draw, items[:40], words, 80), DOCS)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 4)
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()} == {(k, k) for k, _ in items}
+    one = _scored(docs, benchmark)
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", block)
+    several = _scored(docs, benchmark)
+    assert len(one) > 30 and one.keys() == several.keys()
+    assert all(x == y or all(a == b or math.isclose(a, b, rel_tol=1e-12) for a, b in zip(x, y, strict=True)) for x, y in ((one[k], several[k]) for k in one))
+    assert decontamination.drop_leaked(docs, benchmark).count() == 80 - len({d for d, _ in one})
+
+
+def test_a_long_item_changes_no_passage_of_others(spark):
+    draw = random.Random(10)
+    words, items = _items(draw, 40)
+    docs = spark.createDataFrame(_mixed(draw, items, words, 80), DOCS)
+    long = (99, " ".join(f"unrelated{k}" for k in range(3000)))
+    plain, more = (_scored(docs, spark.createDataFrame(rows, "item_id long, text string")) for rows in (items, [*items, long]))
+    assert len(plain) > 30 and plain.keys() == more.keys() and all(plain[k][1:] == more[k][1:] for k in plain)
 
 
 # --- extraction ---

@@ -124,3 +124,11 @@ def test_rows_without_id_or_with_a_repeated_id_stay_unless_they_are_copies(spark
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted([(None, text[0]), (None, text[1]), (4, text[2]), (5, text[3]), (5, text[4]), (3, text[5].upper())], key=key)
     one = spark.createDataFrame([(None, text[0], "x", 1), (None, text[2], "x", 1), (4, text[2], "x", 1)], DOCS)
     assert sorted(r["doc_id"] or -1 for r in simhash.keep_first(one).collect()) == [-1, 4]
+
+
+def test_keep_first_leaves_columns_of_any_name(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, 777, "a", True, "n"), (2, text, 888, "b", False, "m"), (3, "something else entirely", 999, "c", None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, __tie string, __many boolean, __KEPT string")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
