@@ -6,9 +6,11 @@ their geometric mean. A path counts with its container's share of the page's tex
 part in that, less so in boxes of its own), headings with the path that they announce, paths inside an article or main
 element ``MARKED`` times, and those whose class or id speaks of menus, sidebars,
 footers, adverts, notices or comments a tenth. Paths that reach a
-share of the best one are the content; inside a marked article a smaller share is enough. Elements that are never part
-of an article by the meaning of their tag or role (menus, footers, sidebars, forms, scripts, styles, a page's header) or
-that are hidden take no part.
+share of the best one are the content; inside a marked article a smaller share is enough, and in the elements that hold
+content, tables, listings and lists of links are kept with it. Elements that are never part of an article by the meaning of
+their tag or role (menus, footers, sidebars, scripts, styles, a page's header) or that are hidden take no part. Nor do
+forms, but for those around a page: a form with little text for each of its controls is left out unless an article stands in
+it. A head ends where the first element or text of a body begins, whether or not its end is marked.
 
 Nulls: null html is an empty page with an empty text; null page_id and url are passed through. Each page is read by
 itself, whole, whatever its length; repeated rows give equal texts and an empty table no rows. Extra columns are ignored.
@@ -48,15 +50,25 @@ _SVG_END = re.compile(r"</svg\s*>", re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_NEVER = frozenset("nav footer aside form button dialog menu head fieldset input select object template audio video canvas map".split())
+_NEVER = frozenset("nav footer aside button dialog menu head fieldset input select object template audio video canvas map".split())
+#: Elements that a head may hold (of those that are not read whole or void).
+_OF_HEAD = frozenset("head template object".split())
+_CONTROLS = frozenset("input select textarea button".split())
+_UNSEEN = re.compile(r"""type\s*=\s*["']?hidden""", re.I)
+#: Characters of text for each control from which a form is a page, or a part of one, rather than a form.
+FORM_TEXT = 100
+#: What is kept in an element that holds content, whatever its ratios are.
+_KEPT = frozenset("table tbody thead tfoot tr td th caption pre ul ol li dl dt dd blockquote figure figcaption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN = frozenset("article main".split())
 _CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of these tags first.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names the bare text of an element among what the element holds.
+BARE = "#"
 #: Boxes that stand apart from what is around them.
-_BOXES = frozenset("div section td".split())
+_BOXES = frozenset(["div", "section", "td", BARE])
 #: What a class or id calls menus, sidebars, footers, adverts, notices and reader comments, and words that say that it
 #: stands around them.
 _NAMES = frozenset(
@@ -75,6 +87,7 @@ class Block(NamedTuple):
     text: str
     linked: int
     heading: bool
+    form: int = 0  # the form around it, from 1
 
 
 def _attributes(attrs: str) -> tuple[str, bool]:
@@ -100,6 +113,8 @@ def blocks(page: str) -> list[Block]:
     never = within = 0  # open elements that are no content, or that are an article
     words: list[str] = []
     links = linked = 0
+    forms: list[int] = []  # open ones
+    controls, whole = [0], [True]  # per form: its controls, whether an article stands in it
 
     def flush() -> None:
         nonlocal linked
@@ -107,9 +122,9 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(words)).split())
             if text:
                 path = stack[-1][1] if stack else ""
-                # headings and paragraphs belong to the element around them
-                container = path.rpartition("/")[0] if stack and stack[-1][0] not in ("div", "section", "article", "main", "body", "td") else path
-                out.append(Block(path, container, text, linked, bool(stack) and stack[-1][0] in _HEADINGS))
+                # headings and paragraphs belong to the element around them; bare text of an element counts by itself
+                container = path.rpartition("/")[0] if stack and stack[-1][0] not in ("div", "section", "article", "main", "body", "td") else f"{path}/{BARE}"
+                out.append(Block(path, container, text, linked, bool(stack) and stack[-1][0] in _HEADINGS, forms[-1] if forms else 0))
             words.clear()
         linked = 0
 
@@ -120,6 +135,13 @@ def blocks(page: str) -> list[Block]:
             tag, _, bad = stack.pop()
             never -= bad
             within -= tag in _MAIN
+            if tag == "form":
+                forms.pop()
+
+    def end_head() -> None:
+        at = next((k for k, (tag, _, _) in enumerate(stack) if tag == "head"), None)
+        if at is not None and stack[-1][0] == "head":
+            close(at)
 
     after, pictures = 0, True  # the end of the picture that is being left out; whether one can still be closed
     for m in _TOKEN.finditer(page):
@@ -127,6 +149,8 @@ def blocks(page: str) -> list[Block]:
             continue
         text = m["text"]
         if text is not None:
+            if never and stack[-1][0] == "head" and not text.isspace():
+                end_head()
             if not never:
                 words.append(text)
                 if links:
@@ -134,8 +158,14 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
+            if forms and (m["raw"] or "").lower() == "textarea":
+                controls[forms[-1]] += 1
             continue
         tag, end = tag.lower(), m["end"] or m["end2"]
+        if forms and not end and tag in _CONTROLS:
+            controls[forms[-1]] += not _UNSEEN.search(m["attrs"] or "")
+        if never and not end and stack[-1][0] == "head" and tag not in _OF_HEAD and tag not in _VOID:
+            end_head()
         if tag == "svg":  # a picture, left out with all that it holds; one that is never closed holds nothing
             if pictures and not end and not m[0].endswith("/>"):
                 closed = _SVG_END.search(page, m.end())
@@ -176,8 +206,18 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, f"{above}/{tag}{name}" if len(stack) < DEEPEST else above, bad))
         never += bad
         within += tag in _MAIN
+        if tag == "form":
+            controls.append(0)
+            whole.append(False)
+            forms.append(len(controls) - 1)
+        elif tag in _MAIN:
+            for form in forms:
+                whole[form] = True
     close(0)
-    return out
+    text_of = [0] * len(controls)
+    for b in out:
+        text_of[b.form] += len(b.text)
+    return [b for b in out if whole[b.form] or text_of[b.form] >= FORM_TEXT * controls[b.form]]
 
 
 def _prior(path: str) -> float:
@@ -234,10 +274,23 @@ def content(found: list[Block]) -> list[str]:
     by_path = scores(found)
     best = max(by_path.values())
     inside = {p: _prior(p) >= MARKED for p in by_path}
-    chosen = {p for p, x in by_path.items() if x > 0 and x >= (LEAST_INSIDE if inside[p] else LEAST_SHARE) * best}
+    core = {p for p, x in by_path.items() if x > 0 and x >= (LEAST_INSIDE if inside[p] else LEAST_SHARE) * best}
+    chosen = core | {p for p in by_path if inside[p] and not by_path[p]}  # links alone, but in the article
+    # tables, listings and lists in a content element go with it, unless they are in a box of their own
+    around = {b.container for b in found if b.path in core and not b.heading}
+    for b in found:
+        if b.path not in chosen and by_path[b.path] > 0 and any(_below(b.path, c) for c in around) and _prior(b.path) >= 1:
+            chosen.add(b.path)
     return [b.text for b in found if b.path in chosen]
 
 
+def _below(path: str, container: str) -> bool:
+    """Whether a path leads from a container through nothing but tables, listings and lists."""
+    if not container or not path.startswith(container + "/"):
+        return False
+    return all(step.partition(".")[0] in _KEPT for step in path[len(container) + 1 :].split("/"))
+
+
 def main_text(page: str) -> str:
     return "\n".join(content(blocks(page)))
 

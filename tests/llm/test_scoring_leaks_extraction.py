@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -297,6 +298,92 @@ def test_ratios_decide_without_marked_articles():
     assert parts[0] in beside and parts[2] in beside and "Short, it is." in beside
 
 
+LONG = "<p>Text it is, and long. With more of it, and more, until it ends here.</p>" * 3
+LINES = "\n".join(["Text it is, and long. With more of it, and more, until it ends here."] * 3)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<html><head><title>x</title><body><article>{LONG}</article>", LINES),
+        (f"<html><head><title>x</title><div class=post>{LONG}</div>", LINES),
+        ("<html><head><meta charset=a><link rel=x>Plain text, and more of it.", "Plain text, and more of it."),
+        ("<head><title>x</title><b>Bold, it is.</b>", "Bold, it is."),
+        (f"<head><style>p{{}}</style><script>x</script></head><body>{LONG}", LINES),
+        (f"<body><form id=f><input type=hidden><div class=post>{LONG}</div><input type=text></form>", LINES),
+        (f"<body><form id=f><select><option>no</select><input><input><input><article><p>Short, it is.</p></article></form>", "Short, it is."),
+        (f"<body><div class=post>{LONG}</div><form><p>Subscribe to our news, it is free.</p><input><button>Go</button></form>", LINES),
+        (f"<body><div class=post>{LONG}</div><form><textarea>no</textarea><p>Say what you think, please.</p></form>", LINES),
+        (f"<article>{LONG}<h2>Sources</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>", f"{LINES}\nSources\nOne\nTwo"),
+        (f"<body><ul><li><a href=1>no</a></ul><div class=post>{LONG}<table><tr><td>1</td><td>two</td></tr></table><pre>code x</pre></div>", f"{LINES}\n1\ntwo\ncode x"),
+    ],
+)
+def test_no_part_of_a_page_is_lost(page, text):
+    assert extraction.main_text(page) == text
+
+
+def test_bare_boxes_beside_an_article_are_no_content():
+    """A page of div elements alone: links, an advert, the article, a footer."""
+    links = "".join(f"<li><a href=x>word{k}</a></li>" for k in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div>Buy this, now and here. It is cheap.</div><div><h1>The title, it is</h1>{LONG}</div><div>(c) some.example, all of it.</div>"
+    assert extraction.main_text(page) == f"The title, it is\n{LINES}"
+
+
+class _Reader(HTMLParser):
+    """Block texts of well-formed pages by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.words, self.never = [], [], 0
+
+    def flush(self):
+        text = " ".join("".join(self.words).split())
+        if text:
+            self.out.append(text)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "a", "br"):
+            if tag not in ("script", "style"):  # they part no text
+                self.flush()
+            self.never += tag in ("nav", "aside", "footer", "script", "style")
+        elif tag == "br":
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            if tag not in ("script", "style"):
+                self.flush()
+            self.never -= tag in ("nav", "aside", "footer", "script", "style")
+
+    def handle_data(self, data):
+        if not self.never:
+            self.words.append(data)
+
+
+def test_blocks_equal_those_of_another_parser():
+    draw = random.Random(31)
+
+    def inline(n):
+        return "".join(draw.choice(["word ", "two, ", "x &amp; y ", "&eacute;t&#233; ", "<b>bold</b> ", "<a href='a>b'>link</a> ", "<br>", "1 &lt; 2 ", "\n\t", "<!-- no -->"]) for _ in range(n))
+
+    def nested(depth):
+        tag = draw.choice(["div", "section", "p", "ul", "blockquote", "nav", "aside", "footer", "table", "h2", "script"])
+        if tag == "script":
+            return "<script>if (a < b) { '<p>no</p>' }</script>"
+        if tag in ("p", "h2") or not depth:
+            return f"<p class='c{draw.randint(1, 9)}'>{inline(4)}</p>"
+        inner = [f"<li>{inline(3)}</li>" if tag == "ul" else f"<tr><td>{inline(2)}</td><td>{inline(2)}</td></tr>" if tag == "table" else draw.choice([nested(depth - 1), inline(2)]) for _ in range(draw.randint(1, 4))]
+        return f"<{tag}>{''.join(inner)}</{tag}>"
+
+    for _ in range(300):
+        page = f"<html><head><title>no</title><style>p {{}}</style></head><body>{''.join(nested(4) for _ in range(4))}</body></html>"
+        reader = _Reader()
+        reader.feed(page[page.index("<body>") :])
+        reader.flush()
+        assert [b.text for b in extraction.blocks(page)] == reader.out
+
+
 def _plain_scores(found):
     """The scores by their definition, path by path."""
     paths = list(dict.fromkeys(b.path for b in found))
@@ -308,7 +395,7 @@ def _plain_scores(found):
     def share(container):
         above = container.rpartition("/")[0]
         own = math.sqrt(texts.get(container, 0) / (max(texts.values()) or 1))
-        return max(own, share(above) * (0.5 if container.rpartition("/")[2].split(".")[0] in ("div", "section", "td") else 1) if above else 0)
+        return max(own, share(above) * (0.5 if container.rpartition("/")[2].split(".")[0] in ("div", "section", "td", "#") else 1) if above else 0)
 
     out = {}
     for k, p in enumerate(paths):
