@@ -30,10 +30,19 @@ def _one_decoded(part: Column) -> Column:
     return F.when(~part.rlike(rf"^(?:{_REFERENCE})$"), part).when(number.isNotNull(), _character(number.cast("long"))).otherwise(F.coalesce(F.element_at(names, body), part))
 
 
+#: References that most texts have and no others, the ampersand last, as what it leaves is decoded already.
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7", "amp": "&"}
+_OTHER = rf"&(?!(?:{'|'.join(_COMMON)});)[#a-zA-Z]"
+
+
 def decoded(text: Column) -> Column:
     """Character references by number and by name, each decoded once; unknown ones stay."""
+    plain = text
+    for name, character in _COMMON.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
     parts = F.regexp_extract_all(text, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, _one_decoded), "")).otherwise(text)
+    every = F.array_join(F.transform(parts, _one_decoded), "")  # looks names up one by one, so only where there are others
+    return F.when(~F.contains(text, F.lit("&")), text).when(text.rlike(_OTHER), every).otherwise(plain)
 
 
 def escaped(text: Column) -> Column:

@@ -13,22 +13,33 @@ from pyspark.sql import functions as F
 def term_counts(docs: DataFrame, key: str, words: Column, stop: Sequence[str] = ()) -> DataFrame:
     """(key, term, tf): one row per distinct term of a document that is no stop word.
 
-    Documents are dealt by their key before they are cut into words: that moves their texts once, in place of a row per
-    term, and each document is counted where it lies.
+    A document's words are sorted and counted in its row, so neither texts nor words are shuffled. Only where keys are
+    repeated, which is looked up in the key column when this is called, rows of one key and term are added up.
     """
-    found = docs.repartition(key).select(key, F.explode(words).alias("term"))
+    own = docs.select(key, F.sort_array(words).alias("__w"))
+    # where a run of equal words starts; the next one starts where it ends
+    starts = F.array_compact(F.transform("__w", lambda w, i: F.when((i == 0) | (w != F.get("__w", i - 1)), i)))
+    run = lambda s, k: F.struct(F.get("__w", s).alias("term"), (F.coalesce(F.get("__starts", k + 1), F.size("__w")) - s).cast("long").alias("tf"))
+    found = own.select(key, "__w", starts.alias("__starts")).select(key, F.explode(F.transform("__starts", run)).alias("__r")).select(key, "__r.term", "__r.tf")
     kept = found.where(~F.col("term").isin(*dict.fromkeys(stop))) if stop else found  # a hash set, tested row by row
-    return kept.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return kept.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return kept
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tf_idf(counts: DataFrame, documents: int) -> DataFrame:
-    """Adds w = tf * (ln((1 + n) / (1 + df)) + 1), the smooth inverse document frequency."""
+def weighted(counts: DataFrame, frequency: DataFrame, documents: int) -> DataFrame:
+    """Adds df and w = tf * (ln((1 + n) / (1 + df)) + 1), the smooth inverse document frequency, by a table (term, df)."""
     weight = F.col("tf") * (F.ln((F.lit(1.0) + documents) / (1 + F.col("df"))) + 1)
-    return counts.join(document_frequency(counts), "term").withColumn("w", weight)
+    return counts.join(frequency, "term").withColumn("w", weight)
+
+
+def tf_idf(counts: DataFrame, documents: int) -> DataFrame:
+    """The weights by the frequencies of the same counts."""
+    return weighted(counts, document_frequency(counts), documents)
 
 
 def l2_normalised(weights: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +10,53 @@ from pyspark.sql import functions as F
 from claimscope.rules import NO_SENTIMENT, SENTIMENT_LABELS, SENTIMENT_LABELS_EN
 
 
+def _seen(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """term, pos, n, all_pos, all_n: positive and all labelled documents that hold a term, and of the corpus."""
+    seen = counts.join(labels, key).groupBy("term").agg(F.sum("positive").alias("pos"), F.count(F.lit(1)).alias("n"))
+    totals = labels.join(counts.select(key), key, "left_semi").agg(F.coalesce(F.sum("positive"), F.lit(0)).alias("all_pos"), F.count(F.lit(1)).alias("all_n"))
+    return seen.crossJoin(F.broadcast(totals))  # totals: one row
+
+
+def _odds() -> Column:
+    return F.ln(((F.col("pos") + 1) / (F.col("all_pos") + 2)) / ((F.col("n") - F.col("pos") + 1) / (F.col("all_n") - F.col("all_pos") + 2)))
+
+
 def word_scores(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """(term, score): probability that a term comes from a positive document, from add-one document shares.
 
     ``counts``: key, term, read twice and best a stored table; ``labels``: key, positive (0 or 1).
     """
-    seen = counts.join(labels, key).groupBy("term").agg(F.sum("positive").alias("pos"), F.count(F.lit(1)).alias("n"))
-    totals = labels.join(counts.select(key), key, "left_semi").agg(F.sum("positive").alias("all_pos"), F.count(F.lit(1)).alias("all_n"))
-    odds = F.ln(((F.col("pos") + 1) / (F.col("all_pos") + 2)) / ((F.col("n") - F.col("pos") + 1) / (F.col("all_n") - F.col("all_pos") + 2)))
-    return seen.crossJoin(F.broadcast(totals)).select("term", (1 / (1 + F.exp(-odds))).alias("score"))  # totals: one row
+    return _seen(counts, labels, key).select("term", (1 / (1 + F.exp(-_odds()))).alias("score"))
+
+
+def log_odds(counts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The model of whole strings, (term, odds): each term's log odds, and under the empty term those of a positive document.
+
+    ``counts`` and ``labels`` as for ``word_scores``; ``counts`` is read three times.
+    """
+    totals = labels.join(counts.select(key), key, "left_semi").agg(F.coalesce(F.sum("positive"), F.lit(0)).alias("all_pos"), F.count(F.lit(1)).alias("all_n"))
+    prior = totals.select(F.lit("").alias("term"), F.ln((F.col("all_pos") + 1) / (F.col("all_n") - F.col("all_pos") + 1)).alias("odds"))
+    return _seen(counts, labels, key).where("term <> ''").select("term", _odds().alias("odds")).unionByName(prior)
+
+
+class SentimentProvider:
+    """Sentiment of strings by a model of ``log_odds``, best a stored table: the probability that all words of a string
+    come from a positive text, each as often as it stands there. Words that the model does not know say nothing; a string
+    without known words has the corpus' share of positive texts. ``words`` cuts a column of strings into words.
+
+    A provider of another kind has the same method.
+    """
+
+    def __init__(self, model: DataFrame, words: Callable[[Column], Column]):
+        self.model, self.words = model, words
+
+    def scores(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, score) of every row. Rows are counted by word before they are joined; keys should be unique."""
+        own = rows.select(key, F.explode_outer(self.words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("times"))
+        known = self.model.where("term <> ''")
+        joint = own.join(known, "term", "left").groupBy(key).agg(F.sum(F.coalesce(F.col("times") * F.col("odds"), F.lit(0.0))).alias("joint"))
+        prior = self.model.where("term = ''").select(F.col("odds").alias("prior"))
+        return joint.crossJoin(F.broadcast(prior)).select(key, (1 / (1 + F.exp(-(F.col("joint") + F.col("prior"))))).alias("score"))  # prior: one row
 
 
 def label(mean: Column, labels: Sequence[str] = SENTIMENT_LABELS, top: float = 0.9) -> Column:
@@ -45,7 +83,3 @@ def label_three(score: Column) -> Column:
     """Three classes; exactly 0.5 and 0.3 have none."""
     return F.when(score > 0.5, "quite positive").when((score < 0.5) & (score > 0.3), "quite negative").when(score < 0.3, "strong negative")
 
-
-def mean_of(scores: Column) -> Column:
-    """Mean of an array of scores; null for an empty one."""
-    return F.try_divide(F.aggregate(scores, F.lit(0.0), lambda s, x: s + x), F.size(scores))

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from claimscope.functions import html, text, urls
 from claimscope.functions.providers import ExtractLinks, dictionary_segmenter, hashed_embedding
-from claimscope.operators import classify, dom, domains, factcheck, feedback, keywords, paragraphs, redirects, segmentation, sentiment
+from claimscope.operators import classify, dom, domains, factcheck, feedback, keywords, models, paragraphs, redirects, segmentation, sentiment
+from claimscope.operators.counters import Counters
 from claimscope.plans import article, render
 from claimscope.rules import ICON_URL, LATIN_STOP_WORDS, NO_VERDICT, REPORT_HEADINGS, SITE_RULES, STOP_WORDS, ban_lines, site_rules
 from claimscope.session import shared_path, stored, table
-from claimscope.sources import readers
+from claimscope.sources import quarantine, readers
 from claimscope.sources.replay import PageReplay
+from claimscope.sources.seen import SeenLinks
 from claimscope.streaming import posts
+from claimscope.streaming.sink import FileSink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,6 +346,25 @@ def link_seen(spark: SparkSession, sf: str) -> DataFrame:
     return pages.join(pages.where("page_id % 3 = 0").select("url"), "url", "left_semi").select("page_id", "url")
 
 
+def _seen_links(spark: SparkSession, sf: str) -> SeenLinks:
+    """A store of a third of the pages' links, added in two parts that overlap."""
+    pages, path = table(spark, sf, "pages"), shared_path(spark, "seen")
+    seen = SeenLinks(spark, f"seen_{path.rpartition('-')[2]}", path, buckets=16)
+    for rest in (6, 3):
+        seen.add(pages.where(F.col("page_id") % rest == 0))
+    return seen
+
+
+@query("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def link_seen_store(spark: SparkSession, sf: str) -> DataFrame:
+    return _seen_links(spark, sf).seen(table(spark, sf, "pages").select("page_id", "url"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def link_unseen_store(spark: SparkSession, sf: str) -> DataFrame:
+    return _seen_links(spark, sf).unseen(table(spark, sf, "pages").select("page_id", "url"))
+
+
 @query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
 def link_unseen(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
@@ -400,6 +422,39 @@ def search_json(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("conv_id", "turn", "r.title", "r.link")
 
 
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN 1 END AS pos, CASE turn % 5 WHEN 1 THEN 'no JSON' WHEN 2 THEN 'no array' WHEN 3 THEN 'without link' END AS reason, md5(role) AS title_md5
+    FROM conversations WHERE turn % 5 IN (1, 2, 3) UNION ALL SELECT conv_id, turn, 0, '', md5(role) FROM conversations WHERE turn % 5 IN (0, 3)"""
+)
+def search_json_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Search answers made of the turns' texts: whole, cut off, an object in place of an array, an element without link, none."""
+    kind = F.col("turn") % 5
+    whole = F.to_json(F.struct(F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("link")))
+    lacking = F.to_json(F.struct(F.col("role").alias("title")))
+    body = F.when(kind == 0, F.concat(F.lit("["), whole, F.lit("]"))).when(kind == 1, F.concat(F.lit("["), whole)).when(kind == 2, whole).when(kind == 3, F.concat(F.lit("["), whole, F.lit(","), lacking, F.lit("]")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", body.alias("body"))
+    good, bad = quarantine.json_arrays(rows, "body", {"title": "string", "link": "string"})
+    fine = good.select("conv_id", "turn", "pos", F.lit("").alias("reason"), F.md5("title").alias("title_md5"))
+    return fine.unionByName(bad.select("conv_id", "turn", "pos", "reason", F.md5("role").alias("title_md5")))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'too few fields' WHEN doc_id % 7 = 1 THEN 'too many fields' WHEN doc_id % 7 = 2 THEN 'a value of another type' ELSE '' END AS reason, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL"""
+)
+def csv_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as CSV lines of which some are ragged or hold a word in place of a number; all come back, with their reasons."""
+    path, kind = shared_path(spark, "ragged"), F.col("doc_id") % 7
+    key, size = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = F.when(kind == 0, F.array(key, quoted)).when(kind == 1, F.array(key, quoted, size, size)).when(kind == 2, F.array(key, quoted, F.lit("many"))).otherwise(F.array(key, quoted, size))
+    table(spark, sf, "documents").where("text is not null").select(F.array_join(cells, ",")).write.text(path)
+    good, bad = quarantine.csv(spark, path, "doc_id long, text string, n_chars long", header=False)
+    # a broken record starts with its number and holds the quoted text
+    text_of = F.replace(F.regexp_extract(quarantine.RECORD, r'(?s)^\d+,"(.*)"[^"]*$', 1), F.lit('""'), F.lit('"'))
+    broken = bad.select(F.regexp_extract(quarantine.RECORD, r"^(\d+),", 1).cast("long").alias("doc_id"), quarantine.REASON, F.md5(text_of).alias("text_md5"))
+    return good.select("doc_id", F.lit("").alias("reason"), F.md5("text").alias("text_md5")).unionByName(broken)
+
+
 # --- posts ---
 
 
@@ -660,9 +715,19 @@ def nb_model(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, label, score FROM best WHERE r = 1"""
 )
 def nb_predict(spark: SparkSession, sf: str) -> DataFrame:
-    unit, model = _model(spark, sf)
-    return classify.predict(unit, model, "doc_id").select("doc_id", "label", "score")
+    """By a stored model: the first call on these tables fits and saves it, later ones read its latest complete version."""
+    docs, words = table(spark, sf, "documents"), text.tokens(F.col("text"))
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _MODELS:
+        folder = shared_path(spark, "titles")
+        labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")).distinct()
+        models.train_titles(docs, labels, "doc_id", words, folder, LATIN_STOP_WORDS)
+        _MODELS[place] = folder
+    return models.predict_titles(docs, "doc_id", words, models.load(spark, _MODELS[place]), LATIN_STOP_WORDS).select("doc_id", "label", "score")
+
 
+#: Folders of saved models by application and tables.
+_MODELS: dict[tuple[str, str], str] = {}
 
 _SENTIMENT = f"""{_COUNTS}, lab AS (SELECT DISTINCT doc_id, quality AS positive FROM labels),
     seen AS (SELECT term, sum(positive) AS pos, count(*) AS n FROM counts JOIN lab USING (doc_id) GROUP BY term),
@@ -713,6 +778,24 @@ def sentiment_bucket_v4(spark: SparkSession, sf: str) -> DataFrame:
     return _mean_sentiment(spark, sf).select("doc_id", sentiment.label_older(F.col("mean")).alias("label"), sentiment.label_three(F.col("mean")).alias("label_three"))
 
 
+_TITLE_TEXT = f"""t AS (SELECT page_id, coalesce(nullif({_stripped_sql(f"regexp_extract(html, '{html.TITLE.replace('(?s)', '')}', 1, 's')")}, ''), '') AS title FROM pages)"""
+
+
+@query(
+    f"""WITH {_SENTIMENT}, {_TITLE_TEXT}, odds AS (SELECT term, ln(score / (1 - score)) AS odds FROM wordscores), prior AS (SELECT ln((all_pos + 1.0) / (all_n - all_pos + 1)) AS prior FROM totals),
+    w AS (SELECT page_id, unnest(regexp_extract_all(lower(title), '{text.TOKEN}')) AS term FROM t),
+    joint AS (SELECT page_id, sum(coalesce(odds, 0)) AS joint FROM w LEFT JOIN odds USING (term) GROUP BY page_id)
+    SELECT page_id, round(1 / (1 + exp(-(coalesce(joint, 0) + prior))), 6) AS score FROM t LEFT JOIN joint USING (page_id), prior"""
+)
+def sentiment_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles as whole strings: the joint odds of all their words."""
+    counts = _counts(spark, sf)
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("positive")).distinct()
+    provider = sentiment.SentimentProvider(stored(sentiment.log_odds(counts, labels, "doc_id"), "odds"), text.tokens)
+    titled = table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    return provider.scores(titled, "page_id", "title").select("page_id", F.round("score", 6).alias("score"))
+
+
 # --- fact checks ---
 
 _CLAIMS = f"""{_COUNTS}, {_TOP}, art AS (SELECT DISTINCT doc_id, term FROM ranked WHERE rank <= 5),
@@ -764,6 +847,16 @@ def report_counters(spark: SparkSession, sf: str) -> DataFrame:
     return _reports(spark, sf)
 
 
+@query(f"WITH {_REPORTS} SELECT * FROM reports")
+def report_counters_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters from three increments, one of which is added twice."""
+    counters = Counters(shared_path(spark, "counters"), ["user_id"], dict.fromkeys(_KINDS, "sum"))
+    events = table(spark, sf, "events")
+    for k in (0, 1, 1, 2):
+        counters.add(f"day {k}", feedback.report_counters(events.where(F.col("event_id") % 3 == k), "user_id", "event_type", _KINDS))
+    return counters.current(spark).select("user_id", *_KINDS)
+
+
 @query(f"WITH {_REPORTS} SELECT user_id, CASE WHEN fake + biased + outdated >= {feedback.HIDE_FROM} THEN 2 ELSE 0 END AS state FROM reports")
 def report_hide(spark: SparkSession, sf: str) -> DataFrame:
     return _reports(spark, sf).select("user_id", feedback.visibility(F.col("fake") + F.col("biased") + F.col("outdated")).alias("state"))
@@ -832,6 +925,21 @@ def report_html(spark: SparkSession, sf: str) -> DataFrame:
     return render.report_table(rows, ["domain", "part"], "page_id", "row").select("domain", "part", F.md5("html").alias("html_md5"), "n")
 
 
+@query(
+    f"""WITH {_DOMAINS}, r AS (SELECT domain, page_id, '<tr><td><img src=''' || {_escaped_sql(f"'{ICON_URL}' || host")} || ''' /><a href=''' || {_escaped_sql("url")} || '''>' || coalesce({_escaped_sql(_title_sql())}, '') || '</a></td>'
+      || '<td>' || page_id || '</td><td></td><td>undefined</td><td>{NO_VERDICT}</td></tr>' AS row, (row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1) // 100 AS part FROM domains)
+    SELECT domain, part, md5('{_HEAD}' || string_agg(row, '' ORDER BY page_id) || '</table>') AS html_md5, count(*) AS n FROM r GROUP BY ALL"""
+)
+def report_html_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of each domain by the table function in SQL: parts of a hundred rows, whatever their page ids are."""
+    spark.udtf.register("report_parts", render.report_parts())
+    pages = table(spark, sf, "pages").withColumn("domain", urls.registered_domain(F.col("url")))
+    row = render.report_row(F.col("url"), html.title(F.col("html")), F.col("page_id"), F.lit(None).cast("string"), F.lit("undefined"), F.lit(NO_VERDICT))
+    rows = pages.select("domain", "page_id", row.alias("row"))
+    found = spark.sql("SELECT domain, part, html, n FROM report_parts(TABLE(SELECT domain, page_id, row FROM {rows}) PARTITION BY (domain) ORDER BY (page_id), 'row', 100)", rows=rows)
+    return found.select("domain", "part", F.md5("html").alias("html_md5"), "n")
+
+
 def _shown_sql(x: str) -> str:
     return f"replace({_escaped_sql(f"coalesce(nullif({x}, ''), 'N/A')")}, chr(10), '<br>')"
 
@@ -909,6 +1017,33 @@ def stored_articles(spark: SparkSession, sf: str) -> DataFrame:
     return readers.accepted_articles(spark, path).withColumn("reason", F.lit("")).select(columns).unionByName(readers.rejected_articles(spark, path).select(columns))
 
 
+@query(
+    """WITH r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'news_title' || CASE WHEN page_id % 2 = 0 THEN ',news_link' ELSE '' END WHEN page_id % 2 = 0 THEN 'news_link' ELSE '' END AS reason FROM pages)
+    SELECT page_id, reason, CASE WHEN reason = '' THEN count(*) FILTER (reason = '') OVER () END AS ids, CASE WHEN reason = '' THEN count(*) FILTER (reason = '') OVER () END AS last_id FROM r"""
+)
+def articles_exactly_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a stream of batches of links into the store with a ledger: ids without gaps, rejected rows in quarantine."""
+    spark.dataSource.register(PageReplay)
+    pages = spark.readStream.format("page_replay").options(path=f"{sf.rstrip('/')}/pages.parquet", linksPerBatch=512, tasksPerBatch=32).load()
+    rows = pages.select("page_id", F.when(F.col("page_id") % 5 != 0, "a title").alias("news_title"), F.md5("html").alias("news_content"), F.when(F.col("page_id") % 2 != 0, F.col("url")).alias("news_link"))
+    sink = FileSink(shared_path(spark, "ledger"), ["news_title", "news_content", "news_link"])
+    posts.run_through(rows, sink, shared_path(spark, "ledger-state"))
+    numbers = sink.accepted(spark).agg(F.count_distinct("ID").alias("ids"), F.max("ID").alias("last_id"))  # one row
+    good = sink.accepted(spark).select("page_id", F.lit("").alias("reason")).crossJoin(F.broadcast(numbers))
+    none = F.lit(None).cast("long")
+    return good.unionByName(sink.rejected(spark).select("page_id", "reason", none.alias("ids"), none.alias("last_id")))
+
+
+@query("SELECT user_id AS post_id, count(DISTINCT event_id) AS clicks, count(DISTINCT event_id) % 2 = 1 AS visible FROM events WHERE event_type = 'click' GROUP BY user_id")
+def click_toggle_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """The toggles with state that ends: each post's last state, whether or not it has expired since."""
+    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*").where("event_type = 'click'")
+    clicks = events.select(F.col("user_id").cast("string").alias("post_id"), "event_id", "ts")
+    states = posts.expiring_toggles(clicks.unionByName(clicks))
+    found = posts.latest_states(states, ["post_id"], "clicks", shared_path(spark, "expiring"), shared_path(spark, "expiring-state"), mode="append")
+    return found.where("kind <> 'late'").select(F.col("post_id").cast("long").alias("post_id"), "clicks", "visible")
+
+
 @query("SELECT CAST(doc_id AS INTEGER) AS \"Bug_ID\", source AS \"COMMENT\", md5(text) AS image_md5 FROM documents")
 def bug_report_store(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "bugs")
@@ -928,15 +1063,15 @@ def page_replay(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH l AS (SELECT page_id, regexp_extract_all(html, '{html.HREF}', 1) AS links FROM pages) SELECT page_id, unnest(range(1, len(links) + 1)) AS pos, unnest(links) AS href FROM l")
 def page_links_lateral(spark: SparkSession, sf: str) -> DataFrame:
     """Links by the table function, joined laterally."""
-    spark.udtf.register("extract_links", ExtractLinks)
-    table(spark, sf, "pages").select("page_id", "html").createOrReplaceTempView("__claimscope_pages")
-    return spark.sql("SELECT p.page_id, CAST(l.pos AS BIGINT) AS pos, l.href FROM __claimscope_pages p, LATERAL extract_links(p.html) l")
+    found = table(spark, sf, "pages").lateralJoin(ExtractLinks(F.col("html").outer()))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*")
-    once = posts.first_seen(events, ["user_id", "event_type"], late="3650 days").select("user_id", "event_type")
+    span = table(spark, sf, "events").agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0  # a post stays known for as long as the events last
+    once = posts.first_seen(events, ["user_id", "event_type"], late=f"{span + 1} days").select("user_id", "event_type")
     return posts.drained(once, shared_path(spark, "stream"), shared_path(spark, "stream-state"))
 
 

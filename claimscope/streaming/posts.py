@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -133,7 +133,7 @@ def expiring_toggles(clicks: DataFrame, late: str = "10 minutes", idle: str = "1
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def latest_states(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> DataFrame:
+def latest_states(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, mode: str = "update") -> DataFrame:
     """Run a stream of states over what its source holds now; of each key the state of greatest ``order``.
 
     Each micro-batch appends its states, so a repeated attempt of a batch changes nothing.
@@ -142,7 +142,7 @@ def latest_states(stream: DataFrame, keys: list[str], order: str, path: str, che
     before = spark.conf.get(_STORE)
     spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # map states need it
     try:
-        sink = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        sink = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
         sink.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
     finally:
         spark.conf.set(_STORE, before)
@@ -157,6 +157,18 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_through(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream into a sink of micro-batches until its source has nothing more, then stop it.
+
+    For sources that cannot tell their end beforehand, as those of Python that admit so much at a time.
+    """
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def polled(stream: DataFrame, path: str, checkpoint: str, seconds: int = 4):
     """Run for good, one micro-batch every so many seconds; however often posts change meanwhile, they are read once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
