@@ -244,6 +244,12 @@ def page_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
+@query(f"SELECT page_id, translate(nullif({_stripped_sql(f"regexp_extract(html, '{html.TITLE.replace('(?s)', '')}', 1, 's')")}, ''), chr(13) || chr(10) || chr(9) || ' ' || chr(12288) || chr(160), '') AS title FROM pages")
+def listing_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles as listings need them, without any blanks."""
+    return table(spark, sf, "pages").select("page_id", html.cleaned(html.title(F.col("html"))).alias("title"))
+
+
 @query(
     f"""SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN nullif({_stripped_sql(f"regexp_extract(html, '{html.HEADING.replace('(?s)', '')}', 1, 's')")}, '') END,
       nullif({_stripped_sql(f"regexp_extract(html, '{html.TITLE.replace('(?s)', '')}', 1, 's')")}, ''), 'NONE') AS title FROM pages"""
@@ -897,9 +903,9 @@ def reported_link_ratings(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id AS post_id, count(DISTINCT event_id) AS clicks, true AS built, count(DISTINCT event_id) % 2 = 1 AS visible FROM events WHERE event_type = 'click' GROUP BY user_id")
 def click_toggle_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The toggles as a stream with state: events are observed twice, the last state of each post is shown."""
-    events = spark.readStream.schema("event_id long, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*").where("event_type = 'click'")
+    events = posts.stateful_session(spark).readStream.schema("event_id long, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*").where("event_type = 'click'")
     clicks = events.select(F.col("user_id").cast("string").alias("post_id"), "event_id")
-    states = posts.latest_states(posts.toggles(clicks.unionByName(clicks)), ["post_id"], "clicks", shared_path(spark, "toggles"), shared_path(spark, "toggles-state"))
+    states = posts.latest_states(posts.toggles(clicks.unionByName(clicks)), ["post_id"], "clicks", shared_path(spark, "toggles"), shared_path(spark, "toggles-state"), reader=spark)
     return states.withColumn("post_id", F.col("post_id").cast("long"))
 
 
@@ -1037,10 +1043,10 @@ def articles_exactly_once(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id AS post_id, count(DISTINCT event_id) AS clicks, count(DISTINCT event_id) % 2 = 1 AS visible FROM events WHERE event_type = 'click' GROUP BY user_id")
 def click_toggle_expiring(spark: SparkSession, sf: str) -> DataFrame:
     """The toggles with state that ends: each post's last state, whether or not it has expired since."""
-    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*").where("event_type = 'click'")
+    events = posts.stateful_session(spark).readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf.rstrip('/')}/events.parquet*").where("event_type = 'click'")
     clicks = events.select(F.col("user_id").cast("string").alias("post_id"), "event_id", "ts")
     states = posts.expiring_toggles(clicks.unionByName(clicks))
-    found = posts.latest_states(states, ["post_id"], "clicks", shared_path(spark, "expiring"), shared_path(spark, "expiring-state"), mode="append")
+    found = posts.latest_states(states, ["post_id"], "clicks", shared_path(spark, "expiring"), shared_path(spark, "expiring-state"), mode="append", reader=spark)
     return found.where("kind <> 'late'").select(F.col("post_id").cast("long").alias("post_id"), "clicks", "visible")
 
 

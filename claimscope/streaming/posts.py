@@ -130,23 +130,24 @@ def expiring_toggles(clicks: DataFrame, late: str = "10 minutes", idle: str = "1
     return own.groupBy("post_id").transformWithStateInPandas(ExpiringToggle(ms), EXPIRING, "Append", "EventTime")
 
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB, as map states and timers need it."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
 
 
-def latest_states(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, mode: str = "update") -> DataFrame:
+def latest_states(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, mode: str = "update", reader: SparkSession | None = None) -> DataFrame:
     """Run a stream of states over what its source holds now; of each key the state of greatest ``order``.
 
-    Each micro-batch appends its states, so a repeated attempt of a batch changes nothing.
+    Each micro-batch appends its states, so a repeated attempt of a batch changes nothing. The stream's session needs the
+    RocksDB store (``stateful_session``); the result is read in ``reader``, or else in the same.
     """
-    spark: SparkSession = stream.sparkSession
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # map states need it
-    try:
-        sink = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        sink.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
-    finally:
-        spark.conf.set(_STORE, before)
-    rows = spark.read.schema(stream.schema).parquet(path)
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    sink.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
+    rows = (reader or stream.sparkSession).read.schema(stream.schema).parquet(path)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), order).alias("state")).select(*keys, "state.*")
 
 
