@@ -1106,16 +1106,17 @@ _LINES = ("圖像來源，Reuters", "更多風傳媒報導")
 
 
 @query(
-    """WITH r AS (SELECT * FROM (VALUES (0, 'chinatimes.com', 'skip'), (1, 'cna.com.tw', 'skip'), (2, 'ettoday.net', 'break'), (3, 'ltn.com.tw', 'break'), (4, 'pts.org.tw', 'all'), (5, 'newtalk.tw', 'all'),
+    f"""WITH {_PARAGRAPHS}, own AS (SELECT p.page_id, coalesce({_title_sql()}, '') AS title, coalesce(c.content, '') AS content FROM pages p LEFT JOIN (SELECT page_id, string_agg(text, '' ORDER BY pos) AS content FROM paragraphs GROUP BY page_id) c USING (page_id)),
+    r AS (SELECT * FROM (VALUES (0, 'chinatimes.com', 'skip'), (1, 'cna.com.tw', 'skip'), (2, 'ettoday.net', 'break'), (3, 'ltn.com.tw', 'break'), (4, 'pts.org.tw', 'all'), (5, 'newtalk.tw', 'all'),
       (6, 'setn.com', 'all'), (7, 'thenewslens.com', 'skip'), (8, 'udn.com', 'all'), (9, 'udn.com', 'all'), (10, 'yahoo.com', 'both'), (11, 'yahoo.com', 'all'), (12, 'yahoo.com', 'all'), (13, 'rfi.fr', 'skip'),
       (14, 'rti.org.tw', 'all'), (15, 'storm.mg', 'both'), (16, 'bbc.com', 'skip'), (17, 'bbc.com', 'skip'), (18, 'mirrormedia.mg', 'all'), (19, 'cw.com.tw', 'all'), (20, 'epochtimes.com', 'all'),
       (21, 'nytimes.com', 'all'), (22, 'wsj.com', 'all'), (23, 'worldjournal.com', 'break')) v(rule, domain, ends))
-    SELECT 'https://news.' || domain || '/' || page_id AS url, domain, 'Title ' || page_id AS title, 'one ' || page_id || CASE ends WHEN 'all' THEN '圖像來源，Reuters' ELSE '' END
+    SELECT 'https://news.' || domain || '/' || page_id AS url, domain, rtrim('Title ' || page_id || ' ' || title) AS title, content || 'one ' || page_id || CASE ends WHEN 'all' THEN '圖像來源，Reuters' ELSE '' END
       || CASE WHEN ends <> 'break' THEN 'two & ' || page_id ELSE '' END || CASE WHEN ends IN ('all', 'skip') THEN '更多風傳媒報導three' ELSE '' END AS content
-    FROM pages JOIN r ON page_id % 24 = rule"""
+    FROM own JOIN r ON page_id % 24 = rule"""
 )
 def site_rules_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """An article a page in the markup of each site's rules, taken apart by the rules and the ban and break lines."""
+    """Each page's title and paragraphs in the markup of one site's rules, taken apart by the rules and the ban and break lines."""
     rows = []
     for k, (domain, _, title_sel, body_sel, _, _) in enumerate(SITE_RULES):
         outer, _, inner = body_sel.rpartition(" ")
@@ -1126,9 +1127,11 @@ def site_rules_extract(spark: SparkSession, sf: str) -> DataFrame:
     markup = spark.createDataFrame(rows, "rule int, site string, a0 string, a1 string, t0 string, t1 string, b0 string, b1 string, p0 string, p1 string")
     line = lambda *x: F.concat("p0", *[y if isinstance(y, Column) else F.lit(y) for y in x], "p1")
     key = F.col("page_id").cast("string")
-    parts = [line("one ", key), line(_LINES[0]), line("two &amp; ", key), line(_LINES[1]), line("three")]
-    page = F.concat(F.lit("<html><body>"), "a0", "t0", F.lit("Title "), key, "t1", "b0", *parts, "b1", "a1", F.lit("</body></html>"))
-    pages = table(spark, sf, "pages").join(F.broadcast(markup), F.col("page_id") % len(SITE_RULES) == F.col("rule"))
+    own = F.array_join(F.transform("paras", lambda p: F.concat("p0", html.escaped(p), "p1")), "")
+    parts = [own, line("one ", key), line(_LINES[0]), line("two &amp; ", key), line(_LINES[1]), line("three")]
+    page = F.concat(F.lit("<html><body>"), "a0", "t0", F.lit("Title "), key, F.lit(" "), html.escaped(F.coalesce("title", F.lit(""))), "t1", "b0", *parts, "b1", "a1", F.lit("</body></html>"))
+    read = table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.paragraphs(F.col("html")).alias("paras"))
+    pages = read.join(F.broadcast(markup), F.col("page_id") % len(SITE_RULES) == F.col("rule"))
     made = pages.select(F.concat(F.lit("https://news."), "site", F.lit("/"), key).alias("url"), page.alias("html"))
     return dom.extract(made, site_rules(spark), ban_lines(spark))
 

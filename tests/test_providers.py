@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from claimscope.functions import providers
+from claimscope.functions import text as texts
 from claimscope.operators import keywords
 
 
@@ -22,3 +23,30 @@ def test_links_as_a_table_function(spark):
     spark.udtf.register("extract_links", providers.ExtractLinks)
     got = spark.sql("""SELECT l.* FROM (SELECT '<a href="/x">a<b>b</b></a> <a class="c" href="/y">z</a>' AS html) p, LATERAL extract_links(p.html) l""").collect()
     assert [tuple(r) for r in got] == [(1, "/x", "ab"), (2, "/y", "z")]
+
+
+def test_keywords_by_embedding_equal_brute_force(spark):
+    import math
+    import re
+    import zlib
+
+    def vector(t):
+        v, padded = [0.0] * 64, f" {t.lower()} "
+        for k in range(len(padded) - 2):
+            h = zlib.crc32(padded[k : k + 3].encode())
+            v[h % 64] += 1 if h & 0x10000 else -1
+        return v
+
+    def similarity(a, b):
+        lengths = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / lengths, 6) if lengths else None
+
+    rows = [(1, "Storm hits the coast, the storm of the year"), (2, "markets rise as markets do"), (3, ""), (4, None), (5, "one")]
+    docs = spark.createDataFrame(rows, "k long, t string")
+    got = keywords.by_embedding(docs, "k", F.col("t"), texts.tokens(F.col("t")), providers.hashed_embedding(), 3)
+    want = []
+    for k, t in rows:
+        scored = [(similarity(vector(t), vector(w)), w) for w in set(re.findall(r"\w{2,}", (t or "").lower()))]
+        scored.sort(key=lambda x: (-x[0] if x[0] is not None else 2, x[1]))
+        want += [(k, w, s, r) for r, (s, w) in enumerate(scored[:3], 1)]
+    assert sorted((r.k, r.term, r.similarity, r["rank"]) for r in got.collect()) == sorted(want)
