@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from claimscope.session import shared_path
 
 LENGTH, END_ID, SEED = 256, 50256, 20240101
 SHARD_BYTES, FLUSH_BYTES, READ_RECORDS = 32 << 20, 16 << 20, 16384
+#: Of the shuffle to the shards; where there are more shards, a partition owns consecutive ones and writes one after the other.
+MOST_PARTITIONS = 10_000
 LEVEL = 6
 _NO_ID = -(1 << 63)
 
@@ -203,17 +206,18 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
             yield flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # every partition holds one shard, so what is gathered here is bounded by its size
-        group = pa.Table.from_batches([b for b in batches if b.num_rows], schema=pa.schema([("shard", pa.int64()), ("shares", pa.binary()), ("ids", pa.binary())]))
-        if not group.num_rows:
-            return
-        shard = group.column("shard")[0].as_py()
+        # a partition's rows come shard by shard, so what is gathered here is bounded by one shard
+        rows = ((shard, shares, ids) for b in batches for shard, shares, ids in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for shard, own in groupby(rows, key=lambda r: r[0]):
+            yield write_shard(shard, [r[1:] for r in own])
+
+    def write_shard(shard: int, group: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         first = shard * per_shard
         out = np.zeros(min(per_shard, size - first), dtype=layout)
         placed = np.full(len(out) * length, END_ID, dtype="<u2")
         unpacker = zstandard.ZstdDecompressor()
         inside = [np.zeros(0, dtype=_BEGIN)]
-        for shares, ids in zip(group.column("shares").to_pylist(), group.column("ids").to_pylist(), strict=True):
+        for shares, ids in group:
             share = np.frombuffer(unpacker.decompress(shares), dtype=_SHARE)
             at = share["slot"] - first
             placed[_places(at * length + share["at"], share["n"])] = np.frombuffer(unpacker.decompress(ids), dtype="<u2")
@@ -235,12 +239,16 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, seed: int =
             index = index[np.lexsort((index["at"], index["record"]))]
             file.write(np.searchsorted(index["record"], _steps(len(out))).astype("<i8").tobytes())
             file.write(index.tobytes())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array([shard]), pa.array([f"{folder}/{name}"]), pa.array([first]), pa.array([len(out)]), pa.array([length], pa.int32())], ["shard", "path", "first", "slots", "length"]
         )
 
     dealt = table.mapInArrow(deal, "shard long, shares binary, ids binary")
-    placed_by_range = dealt.repartitionById(max(1, -(-size // per_shard)), F.col("shard").cast("int"))
+    shards = max(1, -(-size // per_shard))
+    each = -(-shards // MOST_PARTITIONS)  # consecutive shards of a partition
+    placed_by_range = dealt.repartitionById(-(-shards // each), (F.col("shard") / each).cast("int"))
+    if each > 1:
+        placed_by_range = placed_by_range.sortWithinPartitions("shard")
     return stored(placed_by_range.mapInArrow(write, FILES), "shards")
 
 

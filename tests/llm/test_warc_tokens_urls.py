@@ -159,3 +159,15 @@ def test_url_filters_as_of_fetch_time(spark):
     assert got == sorted((k, p or "", names[p], p is not None) for k, _, _, p in asked)
     assert not any(r["blocked"] for r in url_filters.as_of(captures, entries.limit(0)).collect())
     assert url_filters.as_of(captures.limit(0), entries).count() == 0
+
+
+def test_partitions_of_several_shards_write_the_same(spark, monkeypatch):
+    rows = [(k, f"words number {k} " * (k % 30)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = []
+    for most in (10_000, 4, 1):
+        monkeypatch.setattr(token_files, "MOST_PARTITIONS", most)
+        files = token_files.write_shards(docs, shared_path(spark, "test"), length=16, shard_bytes=48 * 20)
+        rows_of = sorted((r["slot"], r["shard"], bytes(r["ids"]), str(r["documents"])) for r in token_files.read_shards(files).collect())
+        found.append((sorted((r["shard"], r["first"], r["slots"]) for r in files.collect()), rows_of))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 20
