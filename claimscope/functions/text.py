@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-#: Ends of a shortened post.
+#: What ends a shortened post, and what stands for a link without text.
 SHOW_MORE = r"(\r\n|\n|\r)(さらに表示|Show More)$"
+NO_TEXT = "[連結]"
 
 
 def tokens(text: Column) -> Column:
@@ -36,7 +37,7 @@ def post_text(parts: Column) -> Column:
 def inline_links(links: Column) -> Column:
     """Array of (text, href) without script links; an empty text becomes a placeholder."""
     real = F.filter(links, lambda x: x["href"].isNotNull() & ~x["href"].startswith("javascript:"))
-    return F.transform(real, lambda x: F.struct(F.coalesce(F.nullif(x["text"], F.lit("")), F.lit("[連結]")).alias("text"), x["href"].alias("href")))
+    return F.transform(real, lambda x: F.struct(F.coalesce(F.nullif(x["text"], F.lit("")), F.lit(NO_TEXT)).alias("text"), x["href"].alias("href")))
 
 
 def preview(url: Column, title: Column, description: Column, source: Column) -> Column:

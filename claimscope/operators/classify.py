@@ -33,8 +33,8 @@ def decoded(rows: DataFrame, table: DataFrame, label: str) -> DataFrame:
 def fit(weights: DataFrame, labels: DataFrame, key: str, alpha: float = 1.0) -> DataFrame:
     """(label, term, loglik, prior): smoothed log likelihoods for every class and known term.
 
-    ``weights``: key, term, w, read twice and best a stored table; ``labels``: key, label. Classes are few; terms times
-    classes rows are made.
+    ``weights``: key, term, w, read twice and best a stored table; ``labels``: key, label. Terms times classes rows are
+    made; the number of classes is checked before they are broadcast.
     """
     labelled = weights.join(labels.select(key, "label"), key)
     sums = stored(labelled.groupBy("label", "term").agg(F.sum("w").alias("sw")), "sums")
@@ -42,7 +42,9 @@ def fit(weights: DataFrame, labels: DataFrame, key: str, alpha: float = 1.0) ->
     totals = sums.groupBy("label").agg(F.sum("sw").alias("total"))
     size = sums.agg(F.count_distinct("term").alias("v"), F.lit(1).alias("one"))
     all_docs = classes.agg(F.sum("docs").alias("all_docs"))
-    heads = classes.join(totals, "label").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(all_docs))  # one row each
+    heads = stored(classes.join(totals, "label").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(all_docs)), "heads")  # one row each
+    if heads.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     terms = sums.select("term").distinct()
     grid = terms.crossJoin(F.broadcast(heads))  # a row per class
     return grid.join(sums, ["label", "term"], "left").select(

@@ -599,6 +599,7 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf: str, counts: DataFrame) -> DataFrame:
+    """Weights of counts; the documents are counted when the query is built."""
     return keywords.tf_idf(counts, table(spark, sf, "documents").count())
 
 
@@ -968,7 +969,7 @@ def article_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_DOMAINS}, t AS (SELECT page_id, url, {_title_sql()} AS title FROM domains) SELECT page_id, title FROM t WHERE title = (SELECT min(title) FROM t)")
 def article_by_title(spark: SparkSession, sf: str) -> DataFrame:
-    """The report of the pages of one title, as a request names it."""
+    """The report of the pages of one title, as a request names it; the title is looked up when the query is built."""
     pages = table(spark, sf, "pages")
     wanted = pages.agg(F.min(html.title(F.col("html")))).first()[0]
     return article.report(pages, table(spark, sf, "documents"), table(spark, sf, "labels"), table(spark, sf, "benchmark"), title=wanted).select("page_id", "title")

@@ -83,7 +83,6 @@ def test_sentiment_labels_at_their_bounds(spark):
     want = ["絕對正面", "絕對正面", "極度正面", "極度正面", "相對正面", "中立", "相對負面", "相對負面", "極度負面", "絕對負面", "絕對負面", "undefined"]
     assert column(spark, means, sentiment.label, "double") == want
     assert column(spark, [0.8, 0.79], sentiment.label_older, "double") == ["abs positive", "strong positive"]
-    assert column(spark, [[], [0.5, 1.0]], sentiment.mean_of, "array<double>") == [None, 0.75]
 
 
 def test_partial_verdict_is_not_taken_for_the_full_one(spark):
