@@ -151,3 +151,14 @@ def test_toxicity_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.score(docs, labels).collect()] == [0.0]
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_common_licences_are_kept():
+    """Ordinary texts of other sources than the test tables, where the machine has them."""
+    from pathlib import Path
+
+    compressor = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False)
+    for name in ("GPL-3", "GPL-2", "Apache-2.0", "Artistic", "BSD"):
+        path = Path("/usr/share/common-licenses") / name
+        if path.exists():
+            assert quality.judge(path.read_text(), compressor).kept, name
