@@ -114,7 +114,7 @@ class Aligner:
     #: Bytes of new parts that are encoded at once.
     AT_ONCE = 1 << 20
 
-    def __init__(self, vocabulary: str, model: str, most_bytes: int = 160 << 20):
+    def __init__(self, vocabulary: str, model: str, most_bytes: int = 112 << 20):
         import sentencepiece
 
         self.encode_a = worker_encoder(vocabulary).encoding.encode_ordinary  # strings of special tokens are plain text
