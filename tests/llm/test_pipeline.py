@@ -53,7 +53,7 @@ def _kept(texts, labels, items):
             by_id[k] = min(t, by_id.get(k, t))
     rows = sorted({(known[k], by_id[k]): k for k in seen}.items(), key=lambda x: (x[1], x[0]))
     model = toxicity.learn([t for (_, t), _ in rows], [y for (y, _), _ in rows], sum(known[k] for k in seen) / len(seen))
-    toxic, packer, index = toxicity.Scorer(model), zstandard.ZstdCompressor(level=3, write_content_size=False), decontamination.Index(items)
+    toxic, packer, index = toxicity.Scorer(model), zstandard.ZstdCompressor(level=3, write_content_size=False), decontamination.Block(items)
     good = [(k, t) for k, t in texts if toxic(t or "") < 0.7 and quality.judge(t or "", packer).kept]
     sets = [set(resemblance.shingles(t).tolist()) for _, t in good]
     root = list(range(len(good)))
