@@ -13,18 +13,12 @@ from pyspark.sql import functions as F
 def term_counts(docs: DataFrame, key: str, words: Column, stop: Sequence[str] = ()) -> DataFrame:
     """(key, term, tf): one row per distinct term of a document that is no stop word.
 
-    A document's words are sorted and counted in its row, so neither texts nor words are shuffled. Only where keys are
-    repeated, which is looked up in the key column when this is called, rows of one key and term are added up.
+    Texts are cut and counted where they are read, in generated code; only the sums (key, term, tf) of a task's documents
+    are shuffled, never the texts, and a repeated key is added up with the rest.
     """
-    own = docs.select(key, F.sort_array(words).alias("__w"))
-    # where a run of equal words starts; the next one starts where it ends
-    starts = F.array_compact(F.transform("__w", lambda w, i: F.when((i == 0) | (w != F.get("__w", i - 1)), i)))
-    run = lambda s, k: F.struct(F.get("__w", s).alias("term"), (F.coalesce(F.get("__starts", k + 1), F.size("__w")) - s).cast("long").alias("tf"))
-    found = own.select(key, "__w", starts.alias("__starts")).select(key, F.explode(F.transform("__starts", run)).alias("__r")).select(key, "__r.term", "__r.tf")
+    found = docs.select(key, F.explode(words).alias("term"))
     kept = found.where(~F.col("term").isin(*dict.fromkeys(stop))) if stop else found  # a hash set, tested row by row
-    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return kept.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
-    return kept
+    return kept.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
