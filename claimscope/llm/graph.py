@@ -19,7 +19,8 @@ def _hung(edges: DataFrame, up: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, F.col("a") == F.col("u"))
+    # by shuffle, here and in all joins of links: nodes grow with the corpus, so a broadcast of them would fill the driver
+    joined = both.join(least.hint("merge"), F.col("a") == F.col("u"))
     if up:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

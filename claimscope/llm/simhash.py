@@ -104,19 +104,19 @@ def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) whose closure joins all distinct fingerprints at most two bits apart. ``prints`` is read repeatedly."""
     cells = _cells(prints)
     shared = cells.groupBy("cell", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying")).where("n > 1")
-    members = stored(cells.join(shared, ["cell", "key"]), "cells")
+    members = stored(cells.join(shared.hint("merge"), ["cell", "key"]), "cells")
     small, large = members.where(F.col("n") <= SMALL_CELL), members.where(F.col("n") > SMALL_CELL)
     other = small.select("cell", "key", F.col("fp").alias("b"))
     near = (
         small.select("cell", "key", F.col("fp").alias("a"))
-        .join(other, ["cell", "key"])
+        .join(other.hint("merge"), ["cell", "key"])
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS))
         .select("a", "b")
     )
     blanked = large.groupBy("fp").agg(F.bit_or("varying").alias("varying")).mapInArrow(_blanked, "mask long, rest long, fp long")
     met = blanked.groupBy("mask", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = met.where("n = 2").select("a", F.col("last").alias("b"))
-    more = met.where("n > 2").select("mask", "rest", "a").join(blanked, ["mask", "rest"]).select("a", F.col("fp").alias("b")).where("a <> b")
+    more = met.where("n > 2").select("mask", "rest", "a").join(blanked.hint("merge"), ["mask", "rest"]).select("a", F.col("fp").alias("b")).where("a <> b")
     return near.unionByName(pairs).unionByName(more)
 
 
@@ -125,11 +125,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = stored(fingerprints(docs), "fingerprints")
     prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(links(prints))
-    grouped = prints.join(roots, prints["fp"] == roots["node"]).select("fp", "first", "root")
+    grouped = prints.join(roots.hint("merge"), prints["fp"] == roots["node"]).select("fp", "first", "root")
     named = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    joined = grouped.join(named, "root").select(F.col("fp").alias("node"), "least")
-    own = prints.join(joined, prints["fp"] == joined["node"], "left").select(F.col("fp").alias("print"), F.coalesce("least", "first").alias("component_id"))
-    out = marked.join(own, marked["fp"] == own["print"])
+    joined = grouped.join(named.hint("merge"), "root").select(F.col("fp").alias("node"), "least")
+    own = prints.join(joined.hint("merge"), prints["fp"] == joined["node"], "left").select(F.col("fp").alias("print"), F.coalesce("least", "first").alias("component_id"))
+    out = marked.join(own.hint("merge"), marked["fp"] == own["print"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from claimscope.llm import graph, resemblance, simhash
+from claimscope.llm.common import stored
 
 DOCS = "doc_id long, text string, fp string, component_id int"
 
@@ -79,6 +80,20 @@ def test_documents_of_all_kinds(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def test_nothing_that_grows_with_the_documents_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(graph, "stored", kept)
+    monkeypatch.setattr(simhash, "stored", kept)
+    texts = [" ".join(f"w{k}" for k in range(90)), " ".join(f"w{k}" for k in range(91)), "other", None]
+    plans.append(simhash.near_duplicates(spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], DOCS))._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)
+
+
 def _replaced(words, at, mark):
     return " ".join(f"{mark}{k}" if k in at else w for k, w in enumerate(words))
 
