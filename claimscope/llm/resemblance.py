@@ -1,7 +1,8 @@
-"""Near-duplicates by resemblance: MinHash bands name candidates, the Jaccard similarity of the word shingles decides.
+"""Near-duplicates by resemblance: fingerprints and MinHash bands name candidates, the Jaccard similarity of the word shingles decides.
 
 A text's distinct shingles of ``WORDS`` lower-cased words give ``BANDS`` band keys of ``ROWS`` minima each, and a sketch
-of ``SKETCH`` bits, one of each further minimum. Texts with equal shingles are one node. Candidate pairs are compared in
+of ``SKETCH`` bits, one of each further minimum. Texts with equal shingles are one node. A caller's fingerprints name
+candidates first: nodes of one fingerprint, and of fingerprints that the caller links. Candidate pairs of bands are compared in
 three steps, each over the cells whose members are not all joined by the step before: the members of a cell with one of
 them, its centre; with about ``CENTRES`` of them, of different components; and with all of other components. Lengths,
 sketches and the shingles themselves are compared within the join, so that only links are ever written, never the pairs
@@ -16,7 +17,7 @@ one shingle. Repeated rows come back as often as they occur. An empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,25 +70,27 @@ def _signed(x: int) -> int:
 _SKETCHES = [f"s{k}" for k in range(SKETCH // 64)]
 
 
-def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, tie, node, n, sketch, bands): hashes of the text and of its shingles, their number, sketch and band keys."""
+def _signatures(docs: DataFrame, words: int, fingerprint: Callable[[str], int] | None) -> DataFrame:
+    """(doc_id, tie, node, n, fp, sketch, bands): hashes of the text and of its shingles, their number, the text's
+    fingerprint (0 without one), sketch and band keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches):
-            nodes, sizes, keys, sketches = [], [], [], []
+            nodes, sizes, prints, keys, sketches = [], [], [], [], []
             for text in block.column(2).to_pylist():
                 own = shingles(text, words)
                 nodes.append(_signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
                 sizes.append(len(own))
+                prints.append(_signed(fingerprint(text)) if fingerprint else 0)
                 bands, sketch = _signature(own)
                 keys.append(bands if len(own) else bands[:0])  # all texts without words are one node
                 sketches.append(sketch)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
             parts = [pa.array(x) for x in np.array(sketches).T]
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *parts, lists], ["doc_id", "tie", "node", "n", *_SKETCHES, "bands"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), *parts, lists], ["doc_id", "tie", "node", "n", "fp", *_SKETCHES, "bands"])
 
-    schema = f"doc_id long, tie long, node long, n long, {', '.join(f'{s} long' for s in _SKETCHES)}, bands array<long>"
+    schema = f"doc_id long, tie long, node long, n long, fp long, {', '.join(f'{s} long' for s in _SKETCHES)}, bands array<long>"
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
     return chosen.mapInArrow(scan, schema)
 
@@ -125,17 +128,31 @@ def _renamed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     """``column`` replaced by its root, where it has one."""
     named = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     others = [c for c in rows.columns if c != column]
-    return rows.join(named, F.col(column) == F.col("__node"), "left").select(*others, F.coalesce("__root", column).alias(column))
+    return rows.join(named.hint("merge"), F.col(column) == F.col("__node"), "left").select(*others, F.coalesce("__root", column).alias(column))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """Components (node, root) of all nodes that have a near-duplicate."""
+def _named(prints: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidate pairs (a, b) by fingerprints (fp, node): nodes of one fingerprint with the first of them, and the first
+    nodes of two fingerprints that ``near`` links."""
+    first = stored(prints.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = prints.join(first.hint("merge"), "fp").where("node <> first").select(*_ordered("node", "first"))
+    side = lambda fp, node: first.select(F.col("fp").alias(fp), F.col("first").alias(node)).hint("merge")
+    linked = near(first).join(side("a", "one"), "a").join(side("b", "other"), "b").where("one <> other")
+    return stored(same.unionByName(linked.select(*_ordered("one", "other"))).distinct(), "named")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, named: DataFrame | None, words: int, least: float) -> DataFrame:
+    """Components (node, root) of all nodes that have a near-duplicate. ``named``: candidate pairs beside those of the bands."""
     cells = nodes.select("node", F.explode("bands").alias("key"))
     centres = cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("m > 1")
     members = stored(cells.join(centres.hint("merge"), "key"), "members")
-    profiles = _profiles(docs, nodes, members, words)
+    known = members.select("node")
+    if named is not None:
+        known = known.unionByName(named.select(F.explode(F.array("a", "b")).alias("node")))
+    profiles = _profiles(docs, nodes, known, words)
     side = lambda node, look: profiles.select(F.col("node").alias(node), F.col("look").alias(look)).hint("merge")
-    pairs = members.where("node <> centre").select(*_ordered("node", "centre")).distinct().join(side("a", "__a"), "a")
+    pairs = members.where("node <> centre").select(*_ordered("node", "centre"))
+    pairs = (pairs if named is None else pairs.unionByName(named)).distinct().join(side("a", "__a"), "a")
     other = side("__node", "__b")
     near = pairs.join(other, (F.col("b") == F.col("__node")) & _near("__a", "__b", least)).select("a", "b")
     roots = stored(components(near), "roots")
@@ -168,10 +185,21 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataF
     return roots
 
 
-def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, tie (a hash of its text), root (the same within a group of near-duplicates)."""
-    marked = stored(_signatures(docs, words), "signatures")
+def groups(
+    docs: DataFrame,
+    words: int = WORDS,
+    least: float = SIMILARITY,
+    fingerprint: Callable[[str], int] | None = None,
+    near: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """One row per document: doc_id, tie (a hash of its text), root (the same within a group of near-duplicates).
+
+    ``fingerprint`` of a text (unsigned, 64 bits) and ``near``, which links distinct fingerprints (fp, signed) as rows a, b,
+    name candidate pairs before the bands do.
+    """
+    marked = stored(_signatures(docs, words, fingerprint), "signatures")
     one = [F.first(c).alias(c) for c in ("n", *_SKETCHES, "bands")]
     nodes = stored(marked.groupBy("node").agg(*one, F.first(F.struct("doc_id", "tie")).alias("at")), "nodes")
     rows = marked.select("doc_id", "tie", F.col("node").alias("root"))
-    return _renamed(rows, _links(docs, nodes, words, least), "root")
+    named = _named(marked.select("fp", "node").distinct(), near) if fingerprint and near else None
+    return _renamed(rows, _links(docs, nodes, named, words, least), "root")

@@ -136,11 +136,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
-    Near-duplicates are documents whose shingles of ``words`` words have at least this Jaccard similarity, not those of
-    ``near_duplicates``. Documents without an id come after those with one, and documents with one id are told apart by
+    Fingerprints and their links are those of ``near_duplicates``; an exact check follows: documents are near-duplicates if
+    their shingles of ``words`` words have at least this Jaccard similarity. Pairs of that similarity differ in up to ten
+    bits and more, beyond any grid of fingerprints, so MinHash bands add theirs to the candidates. Documents without an id come after those with one, and documents with one id are told apart by
     their texts; of rows with the same id and text one stays. No column is changed, whatever it is called.
     """
-    found = resemblance.groups(docs, words, similarity)
+    found = resemblance.groups(docs, words, similarity, fingerprint, links)
     rows = found.groupBy("root", "doc_id", "tie").agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "rows")
     own_id, own_tie, kept_id, kept_tie, several = unused(docs, "__id", "__tie", "__kept", "__text", "__many")

@@ -147,3 +147,26 @@ def test_keep_first_leaves_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, __tie string, __many boolean, __KEPT string")
     got = simhash.keep_first(docs)
     assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+def test_stage_takes_candidates_from_fingerprints_and_checks_them(spark, monkeypatch):
+    signature = resemblance._signature
+
+    def no_bands(own):  # a text shares bands with none but equal ones
+        keys, sketch = signature(own)
+        return keys + own.sum().view("int64"), sketch
+
+    monkeypatch.setattr(resemblance, "_signature", no_bands)
+    draw = random.Random(6)
+    rows, dropped, at = [], set(), 0
+    while len(dropped) < 5:
+        words = [f"v{draw.randrange(9000)}" for _ in range(3000)]
+        copy = _replaced(words, {draw.randrange(3000)}, "new")
+        if (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(copy)).bit_count() <= 2:
+            rows, dropped, at = [*rows, (at, " ".join(words), "x", 1), (at + 1, copy, "x", 1)], dropped | {at + 1}, at + 2
+    core = " ".join(f"core{k}" for k in range(51))  # a long repeat gives one fingerprint, but the rest differs
+    for mark in "pq":
+        rows, at = [*rows, (at, " ".join([core] * 60 + [f"{mark}{k}" for k in range(60)]), "x", 1)], at + 1
+    assert (simhash.fingerprint(rows[-1][1]) ^ simhash.fingerprint(rows[-2][1])).bit_count() <= 2
+    got = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {r[0] for r in rows} - dropped
