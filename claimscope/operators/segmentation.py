@@ -36,14 +36,25 @@ def tagged(words: Column) -> Column:
 
 def state_counts(texts: DataFrame, words: Column) -> DataFrame:
     """(kind, state, value, n) of texts that are cut into words: kinds start, transition (value: the state that follows) and
-    emission (value: the character). One pass, and one shuffle of sums that every task has added up."""
-    own = texts.select(tagged(words).alias("t")).where(F.size("t") > 0)
+    emission (value: the character). One pass, and two shuffles of sums that every task has added up.
+
+    Words are counted first, apart by whether they begin a text and by the length of the word that follows; the characters
+    of each distinct word are then tagged once, not at each of its places.
+    """
+    own = texts.select(F.array_compact(F.array_remove(words, "")).alias("w"))
+    following = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(0)))
+    placed = own.select(F.posexplode(F.arrays_zip(F.col("w").alias("word"), following.alias("next"))).alias("at", "x"))
+    found = placed.select("x.word", (F.col("at") == 0).alias("first"), (F.length("x.next") == 1).alias("single"))  # single: null at the end
+    counted = found.groupBy("word", "first", "single").agg(F.count(F.lit(1)).alias("n"))
+    own = counted.select("first", "single", "n", tagged(F.array("word")).alias("t"))
     row = lambda kind, state, value: F.struct(F.lit(kind).alias("kind"), state.alias("state"), value.alias("value"))
-    first = F.array(row("start", F.get("t", F.lit(0))["s"], F.lit(None).cast("string")))
+    begun = F.when(F.col("first"), F.get("t", F.lit(0))["s"])
+    after = F.when(F.col("single"), "S").when(~F.col("single"), "B")
+    start = F.array(row("start", begun, F.lit(None).cast("string")))
     emitted = F.transform("t", lambda x: row("emission", x["s"], x["c"]))
-    moved = F.transform("t", lambda x, i: row("transition", x["s"], F.get("t", i + 1)["s"]))
-    rows = own.select(F.explode(F.concat(first, emitted, moved)).alias("r")).select("r.*")
-    return rows.where("kind <> 'transition' or value is not null").groupBy("kind", "state", "value").agg(F.count(F.lit(1)).alias("n"))
+    moved = F.transform("t", lambda x, i: row("transition", x["s"], F.coalesce(F.get("t", i + 1)["s"], after)))
+    rows = own.select("n", F.explode(F.concat(start, emitted, moved)).alias("r")).select("r.*", "n")
+    return rows.where("state is not null and (kind <> 'transition' or value is not null)").groupBy("kind", "state", "value").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -24,6 +24,22 @@ def test_counts_of_states(spark):
     }
 
 
+def test_words_are_counted_before_their_characters_are_tagged(spark):
+    draw = random.Random(2)
+    texts = [[draw.choice(["a", "bc", "def", "g", "𠀀h", ""]) for _ in range(draw.randint(0, 12))] for _ in range(60)]
+    want: dict = {}
+    for t in texts:
+        tags = [(c, "S" if len(w) == 1 else "B" if k == 0 else "E" if k == len(w) - 1 else "M") for w in t for k, c in enumerate(w)]
+        cells = [("emission", s, c) for c, s in tags] + [("transition", a[1], b[1]) for a, b in zip(tags, tags[1:], strict=False)] + [("start", s, None) for _, s in tags[:1]]
+        for cell in cells:
+            want[cell] = want.get(cell, 0) + 1
+    counts = segmentation.state_counts(spark.createDataFrame([(t,) for t in texts], "w array<string>"), F.col("w"))
+    assert {(r.kind, r.state, r.value): r.n for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(aggregates) == 2 and "Aggregate [word" in aggregates[1]
+
+
 def test_probabilities_sum_to_one(spark):
     model = _model(spark, ["甲乙 丙 甲丁戊", "丙 丙"]).collect()
     e = {}
