@@ -57,7 +57,12 @@ def fit(weights: DataFrame, labels: DataFrame, key: str, alpha: float = 1.0) ->
 
 def predict(weights: DataFrame, model: DataFrame, key: str) -> DataFrame:
     """(key, label, score): the class of greatest log probability; ties go to the smaller label. Unknown terms do not count."""
-    per_class = weights.join(model, "term").groupBy(key, "label").agg((F.sum(F.col("w") * F.col("loglik")) + F.max("prior")).alias("score"))
+    return best(weights.join(model, "term"), key)
+
+
+def best(rows: DataFrame, key: str) -> DataFrame:
+    """(key, label, score) by rows of a weight with a class' log likelihood: key, w, label, loglik, prior."""
+    per_class = rows.groupBy(key, "label").agg((F.sum(F.col("w") * F.col("loglik")) + F.max("prior")).alias("score"))
     rounded = per_class.withColumn("score", F.round("score", 6))
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "label")
     return rounded.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

@@ -58,20 +58,38 @@ def load(spark: SparkSession, folder: str, number: int | None = None) -> Version
 # --- naive Bayes over unit TF-IDF weights ---
 
 
-def train_titles(docs: DataFrame, labels: DataFrame, key: str, words: Column, folder: str, stop: tuple[str, ...] = ()) -> int:
-    """Fit a classifier of texts by labels (key, label) and save it: document frequencies, log likelihoods, the number of texts."""
-    counts = stored(keywords.term_counts(docs, key, words, stop), "counts")
+def train_titles(docs: DataFrame, labels: DataFrame, key: str, words: Column, folder: str, stop: tuple[str, ...] = (), counts: DataFrame | None = None) -> int:
+    """Fit a classifier of texts by labels (key, label) and save it: document frequencies, log likelihoods, the number of texts.
+
+    ``counts``: the texts' term counts as a stored table, where the caller has them.
+    """
+    counts = stored(keywords.term_counts(docs, key, words, stop), "counts") if counts is None else counts
     documents = docs.count()
     frequency = stored(keywords.document_frequency(counts), "frequency")
-    unit = stored(keywords.l2_normalised(keywords.weighted(counts, frequency, documents), key).select(key, "term", "w"), "unit")
+    unit = stored(labelled_units(counts, frequency, documents, labels, key), "unit")
     return save(folder, {"frequency": frequency, "likelihood": classify.fit(unit, labels, key)}, documents=documents)
 
 
-def predict_titles(docs: DataFrame, key: str, words: Column, model: Version, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(key, label, score) of texts by a saved classifier: nothing is fitted. Texts without a known word have no row."""
-    counts = keywords.term_counts(docs, key, words, stop)
-    unit = keywords.l2_normalised(keywords.weighted(counts, model.tables["frequency"], model.figures["documents"]), key)
-    return classify.predict(unit.select(key, "term", "w"), model.tables["likelihood"], key)
+def labelled_units(counts: DataFrame, frequency: DataFrame, documents: int, labels: DataFrame, key: str) -> DataFrame:
+    """(key, term, w): unit weights of the labelled texts, the only ones that a classifier is fitted on, by all texts' frequencies."""
+    own = counts.join(labels.select(key), key, "left_semi")
+    return keywords.l2_normalised(keywords.weighted(own, frequency, documents), key).select(key, "term", "w")
+
+
+def predict_titles(docs: DataFrame, key: str, words: Column, model: Version, stop: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:
+    """(key, label, score) of texts by a saved classifier: nothing is fitted. Texts without a known word have no row.
+
+    Counts meet a term's frequency and its likelihoods in one join, and the weights of a text in one exchange, which its
+    scores are added up in too. ``counts`` as for ``train_titles``.
+    """
+    counts = keywords.term_counts(docs, key, words, stop) if counts is None else counts
+    likelihood = model.tables["likelihood"]
+    likes = likelihood.groupBy("term").agg(F.collect_list(F.struct("label", "loglik")).alias("likes"))  # a class each
+    known = model.tables["frequency"].join(likes, "term", "left")
+    unit = keywords.l2_normalised(keywords.weighted(counts, known, model.figures["documents"]).select(key, "w", "likes"), key)
+    rows = unit.select(key, "w", F.explode("likes").alias("x")).select(key, "w", "x.label", "x.loglik")
+    priors = likelihood.groupBy("label").agg(F.first("prior").alias("prior"))  # classes, whose number was checked
+    return classify.best(rows.join(F.broadcast(priors), "label"), key)
 
 
 def predicting(key: str, words: Column, folder: str, write: Callable[[DataFrame, int], None], stop: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from claimscope.functions import html
 from claimscope.functions import text as texts
-from claimscope.operators import keywords, models, sentiment
+from claimscope.operators import classify, keywords, models, sentiment
 from claimscope.operators.counters import Counters
 from claimscope.plans import render
+from claimscope.session import stored
 from claimscope.sources import markers, quarantine
 from claimscope.sources.seen import SeenLinks
 
@@ -231,3 +232,20 @@ def test_references_are_decoded_once(spark):
     cases = {"a &lt;b&gt; &amp;lt; &copy;": "a <b> &lt; ©", "&#38;lt; &amp;": "&lt; &", "&hellip; &amp;amp; &nbsp;": "… &amp;  ", "x & y &unknown; &#39;": "x & y &unknown; '", "": "", "&": "&", "&amp": "&amp"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r[0]: r[1] for r in rows.select("t", html.decoded(F.col("t"))).collect()} == cases
+
+
+def test_prediction_equals_that_of_unit_weights_in_two_exchanges(spark, tmp_path):
+    texts = [(1, "good clear good"), (2, "bad noise noise"), (3, "good plain text"), (4, "bad text other"), (5, "unseen")]
+    docs = spark.createDataFrame([*texts, (6, None)], "k long, t string")
+    labels = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (9, "b")], "k long, label string")
+    words = F.split("t", " ")
+    counts = stored(keywords.term_counts(docs, "k", words), "counts")
+    models.train_titles(docs, labels, "k", words, str(tmp_path / "m"), counts=counts)
+    model = models.load(spark, str(tmp_path / "m"))
+    unit = keywords.l2_normalised(keywords.weighted(counts, keywords.document_frequency(counts), docs.count()), "k").select("k", "term", "w")
+    key = lambda r: (r.k, r.label, round(r.score, 6))
+    want = sorted(map(key, classify.predict(unit, classify.fit(unit, labels, "k"), "k").collect()))
+    got = models.predict_titles(docs, "k", words, model, counts=counts)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k#") == 1  # beside the join by the term
+    assert sorted(map(key, got.collect())) == want and [r[0] for r in want] == [1, 2, 3, 4]
