@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -77,26 +76,94 @@ def dictionary_segmenter(dictionary: DataFrame, model: DataFrame | None = None,
     return cut
 
 
-def hashed_embedding(size: int = 64) -> Callable[[Column], Column]:
-    """Unit vectors of character trigrams by hash, standing in for a sentence model; null texts give null."""
-
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                if t is None:
-                    out.append(None)
-                    continue
-                v, padded = np.zeros(size), f" {t.lower()} "
-                for k in range(len(padded) - 2):
-                    h = zlib.crc32(padded[k : k + 3].encode("utf-8", "replace"))
-                    v[h % size] += 1 if h & 0x10000 else -1
-                norm = np.linalg.norm(v)
-                out.append((v / norm if norm else v).tolist())
-            yield pd.Series(out)
-
-    return embed
+#: Characters whose trigrams are hashed at a time.
+HASHED_AT_ONCE = 1 << 20
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _trigram_hashes(points: np.ndarray) -> np.ndarray:
+    """zlib.crc32 of the UTF-8 bytes of every three neighbouring code points."""
+    n = max(0, len(points) - 2)
+    crc = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(3):  # as if all were ASCII
+        crc = _CRC[(crc ^ points[at : at + n]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+    wide = points > 0x7F
+    rest = np.flatnonzero(wide[:n] | wide[1 : n + 1] | wide[2 : n + 2])
+    if len(rest):
+        crc[rest] = _wide_hashes([points[rest + at] for at in range(3)])
+    return ~crc
+
+
+def _wide_hashes(trigrams: list[np.ndarray]) -> np.ndarray:
+    """The same, before the last inversion, of trigrams of any code points, by the bytes that each has."""
+    crc = np.full(len(trigrams[0]), 0xFFFFFFFF, dtype=np.uint32)
+    for points in trigrams:
+        points = np.where((points >= 0xD800) & (points < 0xE000), np.uint32(0x3F), points)  # no character: a question mark
+        n = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        first = np.array([0, 0, 0xC0, 0xE0, 0xF0], dtype=np.uint32)[n]
+        for k in range(int(n.max())):
+            own = points >> (6 * np.maximum(n - 1 - k, 0)).astype(np.uint32)
+            byte = own & np.uint32(0x3F) | np.uint32(0x80) if k else own | first
+            crc = np.where(n > k, _CRC[(crc ^ byte) & np.uint32(0xFF)] ^ (crc >> np.uint32(8)), crc)
+    return crc
+
+
+class HashedEmbedding:
+    """Unit vectors of character trigrams by hash, standing in for a sentence model; null texts give null.
+
+    As every provider of embeddings: a function of a column, and ``vectors``, the same for texts within a task.
+    """
+
+    def __init__(self, size: int = 64):
+        self.size = size
+
+    def vectors(self, texts: Sequence[str]) -> np.ndarray:
+        """One row a text."""
+        sums = np.zeros(len(texts) * self.size)
+        at = 0
+        while at < len(texts):
+            padded, chars, first = [], 0, at
+            while at < len(texts) and (not padded or chars < HASHED_AT_ONCE):
+                padded.append(f" {texts[at].lower()} ")
+                chars, at = chars + len(padded[-1]), at + 1
+            lengths = np.array([len(x) for x in padded])
+            owner = np.repeat(np.arange(first, at), lengths)
+            inside = np.ones(chars, dtype=bool)  # a trigram begins here and ends in the same text
+            ends = np.cumsum(lengths)
+            inside[ends - 1] = inside[ends - 2] = False
+            points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            for low in range(0, chars, HASHED_AT_ONCE):  # a long text in parts
+                part = points[low : low + HASHED_AT_ONCE + 2]
+                h = _trigram_hashes(part)
+                here = inside[low : low + len(h)]
+                h, whose = h[here].astype(np.int64), owner[low : low + len(here)][here]
+                found = np.bincount((whose - first) * self.size + h % self.size, np.where(h & 0x10000, 1.0, -1.0), (at - first) * self.size)
+                sums[first * self.size : at * self.size] += found
+        v = sums.reshape(len(texts), self.size)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))  # of whole numbers, so exact in any order
+        return np.divide(v, norm, out=v, where=norm > 0)
+
+    def __call__(self, text: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                vectors = iter(self.vectors([t for t in texts if t is not None]).tolist())
+                yield pd.Series([None if t is None else next(vectors) for t in texts], dtype=object)
+
+        return embed(text)
+
+
+def hashed_embedding(size: int = 64) -> HashedEmbedding:
+    return HashedEmbedding(size)
 
 
 @F.udtf(returnType="pos int, href string, text string")
