@@ -73,7 +73,7 @@ def train_titles(docs: DataFrame, labels: DataFrame, key: str, words: Column, fo
 def labelled_units(counts: DataFrame, frequency: DataFrame, documents: int, labels: DataFrame, key: str) -> DataFrame:
     """(key, term, w): unit weights of the labelled texts, the only ones that a classifier is fitted on, by all texts' frequencies."""
     own = counts.join(labels.select(key), key, "left_semi")
-    return keywords.l2_normalised(keywords.weighted(own, frequency, documents), key).select(key, "term", "w")
+    return keywords.l2_normalised(keywords.weighted(own, frequency, documents, key), key).select(key, "term", "w")
 
 
 def predict_titles(docs: DataFrame, key: str, words: Column, model: Version, stop: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:

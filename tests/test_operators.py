@@ -121,3 +121,27 @@ def test_site_rules_extract_titles_and_contents(spark):
     pages = spark.createDataFrame([(u, h) for u, h, _, _ in PAGES] + [("https://other.example/", "<h1>x</h1><p>y</p>"), ("https://www.cna.com.tw/x", None)], "url string, html string")
     got = {r["url"]: (r["title"], r["content"]) for r in dom.extract(pages, rules.site_rules(spark), rules.ban_lines(spark)).collect()}
     assert got == {u: (t, c) for u, _, t, c in PAGES}
+
+
+def test_terms_are_counted_without_an_exchange(spark):
+    rows = [(1, "the b a b the c b"), (2, ""), (3, None), (4, "the the"), (None, "x x y"), (6, "é Z é z zz")]
+    docs = spark.createDataFrame(rows, "d long, t string")
+    words = F.filter(F.split("t", " "), lambda x: x != "")
+    got = keywords.term_counts(docs, "d", words, ["the"])
+    want = {(d, w, t.split().count(w)) for d, t in rows for w in (t or "").split() if w != "the"}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) and dict(got.dtypes)["tf"] == "bigint"
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_repeated_keys_are_added_up(spark):
+    rows = [(1, "b a b"), (1, "b c"), (2, "a"), (None, "x"), (None, "x y")]
+    got = keywords.term_counts(spark.createDataFrame(rows, "d long, t string"), "d", F.split("t", " "))
+    assert sorted((str(r.d), r.term, r.tf) for r in got.collect()) == [("1", "a", 1), ("1", "b", 3), ("1", "c", 1), ("2", "a", 1), ("None", "x", 2), ("None", "y", 1)]
+
+
+def test_weights_travel_as_whole_numbers(spark):
+    counts = spark.createDataFrame([(k, f"t{k * j % 7}{j}", j + 1) for k in range(30) for j in range(4)], "d long, term string, tf long")
+    plain, by_key = keywords.tf_idf(counts, 30), keywords.tf_idf(counts, 30, "d")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, by_key.collect()))
+    above = keywords.l2_normalised(by_key, "d").select("d", "term", "w")._jdf.queryExecution().executedPlan().toString()
+    assert above.index("AS w#") < above.index("REPARTITION_BY_COL")  # plans print from the result down
