@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ _STEP = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)?(?:#(?P<id>[\w-]+))?(?:\.(?P<cls
 
 #: Site rules, and ban lines, that may be sent to every task.
 MOST_RULES = 100_000
+#: Pages of an Arrow batch that a task holds as trees, paragraphs and results at a time.
+PAGES_AT_ONCE = 64
 
 
 class Element:
@@ -84,7 +86,10 @@ def tree(page: str) -> Element:
     builder = _Builder()
     builder.feed(page)
     builder.close()
-    return builder.root
+    root, builder.at = builder.root, None
+    for node in root.below():
+        node.parent = None  # no circles: a tree is freed with its page, not by a later collection
+    return root
 
 
 def _matches(node: Element, step: re.Match) -> bool:
@@ -140,19 +145,25 @@ def extract(pages: DataFrame, rules: DataFrame, bans: DataFrame) -> DataFrame:
     for name, rows in (("rules", rules), ("ban lines", bans)):
         if rows.limit(MOST_RULES + 1).count() > MOST_RULES:
             raise ValueError(f"more than {MOST_RULES} {name}")
-    by_site = rules.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("priority", "title_sel", "body_sel", "stop_mode", "stop_text"))).alias("rules"))
+    own: dict[str, list] = {}
+    for r in rules.where("domain is not null").orderBy("domain", "priority", "title_sel", "body_sel", "stop_mode", "stop_text").collect():
+        own.setdefault(r["domain"], []).append((r["title_sel"], r["body_sel"], r["stop_mode"], r["stop_text"]))
+    shared = rules.sparkSession.sparkContext.broadcast(own)
     skip, stop = ([r["text"] for r in bans.where((F.col("mode") == m) & F.col("domain").isNull()).collect()] for m in ("skip", "break"))
     site = bans.where("domain is not null").groupBy(F.col("domain").alias("ban_domain")).agg(F.collect_set("text").alias("site_bans"))
 
-    @F.pandas_udf("title string, paragraphs array<string>, mode string, stop_text string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for pages, sites in batches:
-            rows = [_extracted(p or "", [(r["title_sel"], r["body_sel"], r["stop_mode"], r["stop_text"]) for r in own]) for p, own in zip(pages, sites, strict=True)]
-            yield pd.DataFrame(rows, columns=["title", "paragraphs", "mode", "stop_text"])
-
-    chosen = pages.select("url", "html").withColumn("domain", registered_domain(F.col("url")))
-    joined = chosen.join(F.broadcast(by_site), "domain").join(F.broadcast(site), F.col("domain") == F.col("ban_domain"), "left")
-    got = joined.withColumn("x", run("html", "rules")).select("url", "domain", "site_bans", "x.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(low, PAGES_AT_ONCE)
+                rows = [_extracted(p or "", shared.value[d]) for p, d in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                columns = [pa.array([r[k] for r in rows], pa.list_(pa.string()) if k == 1 else pa.string()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["url", "domain", "title", "paragraphs", "mode", "stop_text"])
+
+    sites = rules.select("domain").distinct()
+    chosen = pages.select("url", registered_domain(F.col("url")).alias("domain"), "html").join(F.broadcast(sites), "domain", "left_semi")
+    read = chosen.select("url", "domain", "html").mapInArrow(run, "url string, domain string, title string, paragraphs array<string>, mode string, stop_text string")
+    got = read.join(F.broadcast(site), F.col("domain") == F.col("ban_domain"), "left")
     as_array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     banned = F.concat(as_array(skip), F.coalesce("site_bans", F.array().cast("array<string>")))
     kept = by_mode(F.col("paragraphs"), F.col("mode"), banned, as_array(stop), F.col("stop_text"))

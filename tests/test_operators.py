@@ -145,3 +145,21 @@ def test_weights_travel_as_whole_numbers(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, by_key.collect()))
     above = keywords.l2_normalised(by_key, "d").select("d", "term", "w")._jdf.queryExecution().executedPlan().toString()
     assert above.index("AS w#") < above.index("REPARTITION_BY_COL")  # plans print from the result down
+
+
+def test_site_rules_in_small_parts(spark, monkeypatch):
+    columns = "domain string, priority int, title_sel string, body_sel string, stop_mode string, stop_text string"
+    site = spark.createDataFrame([("a.example", 2, "h2", "p", "none", None), ("a.example", 1, "h1", "p", "none", None), ("b.example", 1, "h1", "div p", "none", None)], columns)
+    rows = [(f"https://{'abc'[k % 3]}.example/{k}", f"<h{1 + k % 2}>T{k}</h{1 + k % 2}><div><p>one {k}<p>two</div>" if k else None) for k in range(40)]
+    pages = spark.createDataFrame(rows, "url string, html string").coalesce(1)
+    monkeypatch.setattr(dom, "registered_domain", lambda url: F.regexp_extract(url, "//([^/]*)/", 1))
+    monkeypatch.setattr(dom, "PAGES_AT_ONCE", 3)
+    want = {(u, u[8:17], f"T{k}", f"one {k}two") for k, (u, h) in enumerate(rows) if k and (u[8] == "a" or (u[8] == "b" and k % 2 == 0))}
+    got = dom.extract(pages, site, rules.ban_lines(spark))
+    assert {tuple(r) for r in got.collect()} == want
+    assert "html" not in got._jdf.queryExecution().optimizedPlan().schema().toString() and "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trees_hold_no_circles():
+    root = dom.tree("<div><p>a<p>b<ul><li>c</ul></div>")
+    assert [n.tag for n in root.below()] == ["div", "p", "p", "ul", "li"] and {n.parent for n in root.below()} == {None}
