@@ -58,7 +58,7 @@ class ExpiringToggle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.clicks = handle.getValueState("clicks", "clicks long, last long")
-        self.events = handle.getMapState("events", "event_id long", "at long")
+        self.events = handle.getListState("held", "event_id long, at long")  # read and written as a whole: a call a post, not one an event
 
     def _row(self, key, kind: str, clicks: int, event: int | None, at: int) -> dict:
         return {"post_id": key[0], "kind": kind, "event_id": event, "at": at, "clicks": clicks, "built": clicks > 0, "visible": clicks % 2 == 1}
@@ -67,44 +67,47 @@ class ExpiringToggle(StatefulProcessor):
         if key[0] is None:
             return
         passed = timerValues.getCurrentWatermarkInMs()
-        clicks, last = self.clicks.get() if self.clicks.exists() else (0, -1)
+        known = self.clicks.exists()
+        clicks, last = self.clicks.get() if known else (0, -1)
+        held = dict(self.events.get()) if known else {}
         late, before = [], clicks
         for r in rows:
-            r = r[r["known"]]
-            for event, at in zip(r["event_id"].tolist(), r["at"].tolist(), strict=True):
+            for event, at, real in zip(r["event_id"].tolist(), r["at"].tolist(), r["known"].tolist(), strict=True):
+                if not real:
+                    continue
                 if at <= passed:
                     late.append((event, at))
-                elif not self.events.containsKey((event,)):
-                    self.events.updateValue((event,), (at,))
+                elif event not in held:
+                    held[event] = at
                     clicks, last = clicks + 1, max(last, at)
         out = [self._row(key, "late", clicks, event, at) for event, at in late]
         if clicks > before:
-            for t in list(self.handle.listTimers()):
+            for t in list(self.handle.listTimers()) if known else ():
                 self.handle.deleteTimer(t)
             self.clicks.update((clicks, last))
             # the next id to be dropped, or the end of the post
-            self.handle.registerTimer(min(self._kept(passed), default=last + self.idle_ms))
+            self.handle.registerTimer(min(self._kept(held, passed), default=last + self.idle_ms))
             out.append(self._row(key, "state", clicks, None, last))
         if out:
             yield pd.DataFrame(out).astype({"event_id": "Int64"})
 
-    def _kept(self, passed: int) -> list[int]:
-        """Drop the ids of events that the watermark has passed; the times of the others."""
-        rows = [(k[0], v[0]) for k, v in self.events.iterator()] if self.events.exists() else []
-        for event, at in rows:
-            if at <= passed:
-                self.events.removeKey((event,))
-        return [at for _, at in rows if at > passed]
+    def _kept(self, held: dict[int, int], passed: int) -> list[int]:
+        """Hold the ids of events that the watermark has not passed, and no others; their times."""
+        kept = [(event, at) for event, at in held.items() if at > passed]
+        if kept:
+            self.events.put(kept)
+        else:
+            self.events.clear()
+        return [at for _, at in kept]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         clicks, last = self.clicks.get()
-        kept = self._kept(passed)
+        kept = self._kept(dict(self.events.get()), passed)
         if kept or passed < last + self.idle_ms:
             self.handle.registerTimer(min(kept, default=last + self.idle_ms))
             return
         self.clicks.clear()
-        self.events.clear()
         yield pd.DataFrame([self._row(key, "expired", clicks, None, last)]).astype({"event_id": "Int64"})
 
     def close(self) -> None:

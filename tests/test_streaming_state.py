@@ -189,3 +189,40 @@ def test_ids_of_a_hot_post_are_held_for_the_delay_only(spark, tmp_path):
         query.awaitTermination()
         sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert max(sizes) <= sizes[0] + 2  # as many ids after 400 events as after 100
+
+
+class _Calls:
+    """State of one post that counts the calls to it, each of which is a round trip to Spark."""
+
+    def __init__(self):
+        self.n, self.value, self.held = 0, None, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            if name == "exists":
+                return self.value is not None
+            if name == "update":
+                self.value = args[0]
+            elif name == "put":
+                self.held = list(args[0])
+            return iter(self.held) if self.value is not None and name == "get" and self.held else self.value if name == "get" else []
+
+        return call
+
+    getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+
+def test_calls_to_state_do_not_grow_with_a_posts_events():
+    import pandas as pd
+
+    def calls(n):
+        toggle, clicks, events, handle = posts.ExpiringToggle(1000), _Calls(), _Calls(), _Calls()
+        toggle.handle, toggle.clicks, toggle.events = handle, clicks, events
+        handle.__dict__["registerTimer"] = lambda at: None
+        rows = pd.DataFrame({"event_id": [*range(n), *range(n)], "at": [10] * (2 * n), "known": True})
+        out = list(toggle.handleInputRows(("p",), iter([rows]), handle))
+        assert out[0]["clicks"].tolist() == [n] and len(events.held) == n
+        return clicks.n + events.n + handle.n
+
+    assert calls(200) == calls(2)
