@@ -163,3 +163,21 @@ def test_site_rules_in_small_parts(spark, monkeypatch):
 def test_trees_hold_no_circles():
     root = dom.tree("<div><p>a<p>b<ul><li>c</ul></div>")
     assert [n.tag for n in root.below()] == ["div", "p", "p", "ul", "li"] and {n.parent for n in root.below()} == {None}
+
+
+def test_report_of_one_title_is_that_part_of_the_whole(spark, monkeypatch):
+    from claimscope.plans import article
+
+    bodies = ["storm coast storm wind", "markets rise", "storm markets vote", "", "wind vote vote"]
+    pages = spark.createDataFrame([(k, f"https://a.example/{k}", f"<html><title>T{k % 2}</title><article><p>{b}</p></article></html>") for k, b in enumerate(bodies)], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(1, "storm wind"), (2, "markets rise vote")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality long")
+    claims = spark.createDataFrame([(7, "a storm claim"), (8, "vote claim")], "item_id long, text string")
+    kept = []
+    real = article.stored
+    monkeypatch.setattr(article, "stored", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+    every = article.report(pages, docs, labels, claims)
+    whole = sorted(tuple(r) for r in every.collect() if r["title"] == "T1")
+    kept.clear()
+    assert sorted(tuple(r) for r in article.report(pages, docs, labels, claims, title="T1").collect()) == whole and len(whole) == 2
+    assert dict(kept)["articles"].count() == 2  # the other pages are not stored
