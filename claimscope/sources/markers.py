@@ -27,6 +27,11 @@ def put(spark: SparkSession, path: str, text: str) -> bool:
     return bool(files.rename(draft, where))
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    files, where = _opened(spark, path)
+    return bool(files.exists(where))
+
+
 def get(spark: SparkSession, path: str) -> str:
     files, where = _opened(spark, path)
     size, stream = files.getFileStatus(where).getLen(), files.open(where)

@@ -3,16 +3,18 @@
 A batch's rows are written first and count only when the ledger names the batch, which happens in one step. An attempt that
 dies before it leaves files or rows that nobody reads and that the next attempt replaces; a batch in the ledger is left
 alone. Rows that lack a required value go to quarantine with the reason. Accepted rows get ids without gaps, from the
-ledger's next id on: numbers within each partition of the batch, and the partitions' starts, of which one row each reaches
-the driver. One query writes a sink at a time.
+ledger's next id on: numbers within each partition of the batch, and the partitions' starts. Files hold the numbers, and
+readers add the starts, so a batch takes one job; a database holds the ids, for which one row a partition reaches the
+driver. One query writes a sink at a time, its batches in order.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope.session import discard, stored
@@ -38,47 +40,77 @@ def numbered(rows: DataFrame, first: int, name: str) -> tuple[DataFrame, int]:
     return ids.drop("__part", "__start", "__row"), at - first
 
 
+#: An entry of the ledger of files.
+ENTRY = "batch long, first_id long, next_id long"
+
+
 class FileSink:
-    """``writeStream.foreachBatch(FileSink(path, required))``; read with ``accepted``, ``rejected``."""
+    """``writeStream.foreachBatch(FileSink(path, required))``; read with ``accepted``, ``rejected``.
+
+    A batch is written in one pass over its rows and one job: ``reason`` is empty in acceptable rows, which ``__row`` numbers
+    (the partition above 33 bits, the acceptable rows before it in the partition below). What a batch costs does not
+    depend on how many there were.
+    """
 
     def __init__(self, path: str, required: Sequence[str] = (), id_column: str = "ID"):
         self.path, self.required, self.id_column = path.rstrip("/"), tuple(required), id_column
+        self._own: dict | None = None
+
+    @cached_property
+    def _marks(self) -> tuple[F.Column, F.Column, F.Column]:
+        """Columns of a batch, made once: the reason, the number (which acceptable rows alone ask for, and so count up), the count."""
+        return missing(self.required).alias("reason"), F.when(F.col("reason") == "", F.monotonically_increasing_id()).alias("__row"), F.count("__row").alias("n")
+
+    def _marker(self, batch: int) -> str:
+        return f"{self.path}/ledger/{batch:012}"
 
     def last(self, spark: SparkSession) -> dict | None:
         """The latest entry of the ledger."""
         found = markers.names(spark, f"{self.path}/ledger")
         return json.loads(markers.get(spark, f"{self.path}/ledger/{found[-1]}")) if found else None
 
+    def _before(self, spark: SparkSession, batch: int) -> dict | None:
+        """The same; the ledger is not listed if the batch follows on the last one that this object committed."""
+        follows = self._own is not None and self._own["batch"] == batch - 1 and not markers.there(spark, self._marker(batch))
+        return self._own if follows else self.last(spark)
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        last = self.last(spark)
+        last = self._before(spark, batch)
         if last is not None and batch <= last["batch"]:
             return
-        first = last["next_id"] if last else 1
-        # stored once: the source is not asked twice, and both parts of the batch come from the same rows
-        marked = stored(rows.withColumn("reason", missing(self.required)).withColumn("__row", F.monotonically_increasing_id()), "batch")
-        good, count = numbered(marked.where("reason = ''").drop("reason"), first, self.id_column)
-        good.write.mode("overwrite").parquet(f"{self.path}/accepted/batch={batch}")
-        bad = marked.where("reason <> ''").drop("__row")
-        bad.write.mode("overwrite").parquet(f"{self.path}/rejected/batch={batch}")
-        self.commit(spark, batch, first, count)
-        discard(marked)
+        first, seen = last["next_id"] if last else 1, Observation()
+        reason, number, count = self._marks
+        marked = rows.select("*", reason).select("*", number).observe(seen, count)
+        # the ledger tells which batches are whole, so no mark of success beside it
+        marked.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.path}/rows/batch={batch}")
+        n = seen.get["n"]
+        self.commit(spark, batch, first, n)
+        self._own = {"batch": batch, "next_id": first + n}
 
     def commit(self, spark: SparkSession, batch: int, first: int, count: int) -> None:
         entry = {"batch": batch, "first_id": first, "next_id": first + count}
-        if not markers.put(spark, f"{self.path}/ledger/{batch:012}", json.dumps(entry)):
+        if not markers.put(spark, self._marker(batch), json.dumps(entry)):
             raise RuntimeError(f"batch {batch} was committed by another writer")
 
-    def _committed(self, spark: SparkSession, part: str) -> DataFrame:
+    def _committed(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Rows of committed batches, and their entries."""
         batches = [int(n) for n in markers.names(spark, f"{self.path}/ledger")]
-        return spark.read.parquet(f"{self.path}/{part}").where(F.col("batch").isin(batches)).drop("batch")
+        entries = spark.read.schema(ENTRY).json(f"{self.path}/ledger") if batches else spark.createDataFrame([], ENTRY)
+        return spark.read.parquet(f"{self.path}/rows").where(F.col("batch").isin(batches)), entries
 
     def accepted(self, spark: SparkSession) -> DataFrame:
-        return self._committed(spark, "accepted")
+        rows, entries = self._committed(spark)
+        good = rows.where("reason = ''").drop("reason").withColumn("__part", F.shiftright("__row", 33))
+        sizes = good.groupBy("batch", "__part").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy("batch").orderBy("__part")) - F.col("__n")  # a row a partition
+        starts = sizes.join(entries.select("batch", "first_id"), "batch").select("batch", "__part", (F.col("first_id") + before).alias("__start"))
+        number = F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+        return good.join(starts, ["batch", "__part"]).withColumn(self.id_column, number).drop("batch", "__part", "__start", "__row")
 
     def rejected(self, spark: SparkSession) -> DataFrame:
         """Rows of committed batches that lack a required value, with ``reason``."""
-        return self._committed(spark, "rejected")
+        return self._committed(spark)[0].where("reason <> ''").drop("batch", "__row")
 
 
 class JdbcSink:

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from claimscope.sources import markers
 from claimscope.sources.replay import PageReplay
 from claimscope.streaming import posts
 from claimscope.streaming.sink import FileSink, JdbcSink
@@ -59,6 +60,36 @@ def test_file_sink_with_a_batch_of_no_rows(spark, tmp_path):
     _check(spark, sink, range(3))
 
 
+def test_a_batch_takes_one_job_and_no_look_at_earlier_ones(spark, tmp_path, monkeypatch):
+    sink, jobs = FileSink(str(tmp_path / "store"), ["news_title"]), []
+    sink(_batch(spark, 0, 10), 0)
+    monkeypatch.setattr(markers, "names", lambda *args: pytest.fail("the ledger was listed"))
+    for batch in range(1, 4):
+        rows = spark.range(10 * batch, 10 * batch + 10, 1, 5).selectExpr("id AS k", "IF(id % 5 = 0, NULL, 't') AS news_title", "'c' AS news_content")
+        spark.sparkContext.setJobGroup(f"{tmp_path}-{batch}", "")
+        sink(rows, batch)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{tmp_path}-{batch}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.undo()
+    _check(spark, sink, range(40))
+    assert jobs == [1, 1, 1]
+
+
+def test_file_sink_sees_what_another_object_committed(spark, tmp_path):
+    one, other = (FileSink(str(tmp_path / "store"), ["news_title"]) for _ in range(2))
+    for sink, batch in ((one, 0), (other, 1), (one, 1), (other, 2), (one, 3), (other, 3), (one, 4)):
+        sink(_batch(spark, 7 * batch, 7), batch)
+    _check(spark, one, range(35))
+
+
+def test_file_sink_of_empty_batches_alone_and_of_none_rejected(spark, tmp_path):
+    sink = FileSink(str(tmp_path / "store"), ["news_title"])
+    sink(_batch(spark, 0, 0), 0)
+    assert sink.accepted(spark).count() == sink.rejected(spark).count() == 0
+    sink(_batch(spark, 1, 4), 1)
+    assert _check(spark, sink, range(1, 5)) and sink.rejected(spark).count() == 0
+
+
 def test_jdbc_sink_holds_a_killed_and_repeated_batch_once(spark, tmp_path, monkeypatch):
     sink = JdbcSink(f"jdbc:derby:{tmp_path / 'db'};create=true", "ARTICLES", DERBY, str(tmp_path / "bad"), ["news_title"], createTableColumnTypes="news_title VARCHAR(50), news_content VARCHAR(50)")
     sink(_batch(spark, 0, 12), 0)
@@ -147,6 +178,27 @@ def test_page_stream_into_the_sink_after_a_batch_died(spark, tmp_path):
     assert sorted(r["page_id"] for r in sink.rejected(spark).collect()) == list(range(0, 20, 3))
 
 
+def test_a_row_group_is_read_by_one_task_and_a_footer_once(tmp_path):
+    import pandas as pd
+
+    for at, name in enumerate("ab"):
+        rows = pd.DataFrame({"page_id": range(100 * at, 100 * at + 100), "url": "u", "html": "<p>"})
+        rows.to_parquet(tmp_path / f"{name}.parquet", row_group_size=40)
+    reader = PageReplay({"path": str(tmp_path), "linksPerBatch": "70", "tasksPerBatch": "32"}).streamReader(None)
+    start, seen, tasks = reader.initialOffset(), [], []
+    while (end := reader.latestOffset()) != start:
+        parts = reader.partitions(start, end)
+        tasks.append(len(parts))
+        seen += [k for part in parts for batch in reader.read(part) for k in batch.column(0).to_pylist()]
+        start = end
+    assert seen == list(range(200)) and tasks == [2, 3, 2]  # groups of 40, 40 and 20 links in either file
+    few = PageReplay({"path": str(tmp_path), "linksPerBatch": "200", "tasksPerBatch": "4"}).streamReader(None)
+    parts = few.partitions({"links": 0}, {"links": 200})
+    assert len(parts) <= 4 and [k for part in parts for batch in few.read(part) for k in batch.column(0).to_pylist()] == seen
+    (tmp_path / "b.parquet").write_bytes(b"")  # its footer is known
+    assert reader.latestOffset() == {"links": 200}
+
+
 def _at(minute):
     return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
 
