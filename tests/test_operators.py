@@ -181,3 +181,41 @@ def test_report_of_one_title_is_that_part_of_the_whole(spark, monkeypatch):
     kept.clear()
     assert sorted(tuple(r) for r in article.report(pages, docs, labels, claims, title="T1").collect()) == whole and len(whole) == 2
     assert dict(kept)["articles"].count() == 2  # the other pages are not stored
+
+
+def _title_tables(spark, folder, titles):
+    bodies = ["storm coast storm wind", "markets rise", "storm markets vote", "", "wind vote vote"]
+    pages = [(k, f"https://a.example/{k}", f"<html><title>{t}</title><article><p>{b}</p></article></html>") for k, (t, b) in enumerate(zip(titles, bodies, strict=True))]
+    tables = {
+        "pages": (pages, "page_id long, url string, html string"),
+        "documents": ([(1, "storm wind"), (2, "markets rise vote"), (3, "calm")], "doc_id long, text string"),
+        "labels": ([(1, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality long, toxic long"),
+        "benchmark": ([(7, "a storm claim: 錯誤"), (8, "vote claim")], "item_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_query_by_title_returns_the_whole_report(spark, tmp_path):
+    import duckdb
+
+    from claimscope import queries
+
+    sf = _title_tables(spark, tmp_path, ["T1", "T0", "T1", "T0", "T0"])
+    every, got = queries.article_report(spark, sf), queries.article_by_title(spark, sf)
+    assert got.columns == every.columns and {"keywords", "sentiment", "item_id", "verdict"} <= set(got.columns)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(tuple(r) for r in every.collect() if r["title"] == "T0") and [r[0] for r in rows] == [1, 3, 4]
+    assert [r[3] for r in rows] == ["rise,markets", None, "vote,wind"] and rows[2][5] == 8
+    duck = duckdb.connect()
+    for name in ("pages", "documents", "labels", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
+    want = duck.sql(queries.ORACLES["article_by_title"])
+    assert want.columns == got.columns and sorted(want.fetchall()) == rows
+
+
+def test_query_by_title_without_titles_has_no_rows(spark, tmp_path):
+    from claimscope import queries
+
+    assert queries.article_by_title(spark, _title_tables(spark, tmp_path, ["", " ", "", "", ""])).count() == 0
